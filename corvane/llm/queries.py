@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import termfreq
+from . import termfreq, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,7 +20,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_term_frequencies(spark, sf).filter(F.col("mark").isNotNull()).select("trigram", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found)}
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.fault_rates(validity.syntax_verdicts(_table(spark, sf, "files")))
+
+
+def p2_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.syntax_verdicts(_table(spark, sf, "files"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_verdicts(spark, sf).filter("faults > 0").select("file_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
