@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import termfreq, validity
+from . import docpairs, termfreq, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,7 +32,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_verdicts(spark, sf).filter("faults > 0").select("file_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found)}
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.documented_functions(_table(spark, sf, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_pairs(spark, sf).select("id", "func_name").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
