@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, termfreq, validity
+from . import docpairs, provenance, termfreq, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,7 +40,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pairs(spark, sf).select("id", "func_name").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found)}
+def p4_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.provenance(_table(spark, sf, "files"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_provenance(spark, sf).filter("reason is not null").select("file_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
