@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the workers this package where their PYTHONPATH doesn't already hold it."""
+    package = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_corvane", False):
+        return spark
+    at = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._corvane = True
+    return spark
