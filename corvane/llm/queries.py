@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, provenance, termfreq, validity
+from . import docpairs, leakage, packing, provenance, splitting, termfreq, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,7 +48,27 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_provenance(spark, sf).filter("reason is not null").select("file_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found)}
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_oversized(_table(spark, sf, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_pieces(spark, sf).select("id").distinct()
+
+
+def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.windows_of_documents(_table(spark, sf, "documents"))
+
+
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).filter(F.col("run") >= leakage.RUN).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p7_leaks, p7_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
@@ -61,4 +81,5 @@ FROM c, n"""
 SQL = {
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
+    "p5_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 800",
 }
