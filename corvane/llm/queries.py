@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, leakage, packing, provenance, splitting, termfreq, validity
+from . import docpairs, leakage, packing, pii, provenance, splitting, termfreq, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,7 +68,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).filter(F.col("run") >= leakage.RUN).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p7_leaks, p7_found)}
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p7_leaks, p7_found, p8_redacted, p8_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
