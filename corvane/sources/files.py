@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,47 @@ def read_tree(spark: SparkSession, root: str, *, sizes: bool = True, globs: tupl
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if sizes:
         raw = raw.filter(sized(F.col("length")))
+    raw = raw.select("path", "modificationTime", "length", "content").unionByName(_underscored(spark, root, sizes))
     path = F.regexp_replace("path", r"^file:/*", "/")
     inside = X.relative(path, root)
     kept = raw.filter(~excluded(inside, globs)).filter(is_text(F.col("content")))
     return kept.select(inside.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), "length", X.valid_text(F.col("content")).alias("content"))
 
 
+_RAW = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _underscored(spark: SparkSession, root: str, sizes: bool) -> DataFrame:
+    """Files below a name that begins with an underscore, which Spark's own listing passes over."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, todo = [], [(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop, False)]
+    while todo:
+        fs, at, hidden = todo.pop()
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if name.startswith(".") or name in SKIPPED:
+                continue
+            below = hidden or name.startswith("_")
+            if s.isDirectory():
+                todo.append((fs, s.getPath(), below))
+            elif below and (not sizes or 0 < s.getLen() <= MAX_SIZE):
+                found.append((s.getPath().toString(), s.getModificationTime() / 1000, s.getLen()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as files
+
+        for b in batches:
+            contents = []
+            for uri in b.column(0).to_pylist():
+                system, at = files.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                with system.open_input_stream(at) as f:
+                    contents.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.binary())], ["path", "modificationTime", "length", "content"])
+
+    listed = spark.createDataFrame(found, "path string, t double, length bigint").select("path", F.timestamp_seconds("t").alias("modificationTime"), "length")
+    return listed.mapInArrow(read, _RAW)
+
+
 def aliases(settings: DataFrame, content: str = "content") -> DataFrame:
     """``prefix, target, ord`` of the path aliases in JSON settings with comments (tsconfig, jsconfig)."""
     plain = F.regexp_replace(F.regexp_replace(content, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
