@@ -175,10 +175,30 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
+#: Digits with at most a few signs between them; fewer than six are no number of interest.
+_RUN = re.compile(r"\d(?:[\s().\-/\u00a0\u2007\u2009\u202f\u2011\u2013A-Z]{0,4}\d){5,}")
+
+
+def _windows(spans: Iterator[tuple[int, int]], before: int, after: int, size: int) -> list[tuple[int, int]]:
+    """Where to look around anchors, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        s, e = max(0, s - before), min(size, e + after)
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _numbers(text: str, cues: list[tuple[int, str]], found: Found) -> None:
+    near = _windows((m.span() for m in _RUN.finditer(text)), 8, 24, len(text))
+    if not near:
+        return
     for p in _IDS:
-        for m in p.finditer(text):
-            found.add(*m.span(), "idnum")
+        for low, high in near:
+            for m in p.finditer(text, low, high):
+                found.add(*m.span(), "idnum")
     for end, kind in cues:
         # what follows a cue: a few words like "is" or "no.", then the number
         m = re.compile(r"[\s.:=#\-]*(?:(?:is|no|nr|number|num|nummer|numéro|número|me|on|at|under|unter|au|en|it|de|als|ist|est|es)\b[\s.:=#]*){0,3}").match(text, end)
@@ -190,19 +210,29 @@ def _numbers(text: str, cues: list[tuple[int, str]], found: Found) -> None:
             elif kind == "phone" and 7 <= n <= 20:
                 found.add(p.start(), p.start() + len(p[0].rstrip("-./( ")), "phone")
     for k, p in enumerate(_PHONES):
-        for m in p.finditer(text):
-            s, e = m.span()
-            body = m[0].rstrip("-./( \r\n")
-            e = s + len(body)
-            if 7 <= _digits(body) <= 20 and (k or _digits(body) >= 8):
-                found.add(s, e, "phone")
+        for low, high in near:
+            for m in p.finditer(text, low, high):
+                body = m[0].rstrip("-./( \r\n")
+                if 7 <= _digits(body) <= 20 and (k or _digits(body) >= 8):
+                    found.add(m.start(), m.start() + len(body), "phone")
+
+
+_POSTAL = re.compile(r"(?<!\w)\d{5}(?!\w)")
+_STREET = re.compile(rf"[^\W\d_][ ](?i:{_TYPES})")
+
+
+def _line(text: str, at: int) -> int:
+    """``at``, or the end of the word it falls into."""
+    while 0 < at < len(text) and not text[at - 1].isspace():
+        at += 1
+    return at
 
 
 def _addresses(text: str, found: Found) -> None:
-    if not re.search(r"\d", text):
-        return
+    postal = _windows((m.span() for m in _POSTAL.finditer(text)), 160, 100, len(text))
+    streets = _windows((m.span() for m in _STREET.finditer(text)), 90, 160, len(text))
     for p in (_SPANISH, _FRENCH, _ENGLISH, _GERMAN):
-        for m in p.finditer(text):
+        for m in (m for low, high in (streets if p is _ENGLISH else postal) for m in p.finditer(text, _line(text, low), high)):
             value = m[0]
             s, e = m.span()
             if p is _ENGLISH and value.endswith(".") and not re.search(r"(?<!\w)\w{2}\.$", value):
@@ -222,9 +252,10 @@ def _plausible(family: str) -> bool:
 
 
 def _persons(text: str, given: frozenset[str] | set[str], families: frozenset[str] | set[str], found: Found) -> None:
-    at = 0
+    at, a, b = 0, _DIRECT.search(text), _INVERTED.search(text)
     while at < len(text):
-        a, b = _DIRECT.search(text, at), _INVERTED.search(text, at)
+        a = _DIRECT.search(text, at) if a and a.start() < at else a
+        b = _INVERTED.search(text, at) if b and b.start() < at else b
         if a is None and b is None:
             return
         left = min(m.start() for m in (a, b) if m)
