@@ -167,4 +167,18 @@ SQL = {
         SELECT array_to_string(p[:k], '/') AS path, CASE WHEN k = 1 THEN '' ELSE array_to_string(p[:k - 1], '/') END AS parent, p[k] AS name, CAST(k AS INT) AS depth, bool_or(k = len(p)) AS is_file FROM e GROUP BY ALL""",
     "debounce_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, count(*) AS events, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, n""",
+    "grep_regex": f"""WITH l AS ({_lines(FILES, "path", "content")}), m AS (SELECT path, n, unnest(regexp_extract_all(line, 'raise ([\\p{{L}}\\p{{N}}_]+)Error\\(')) AS match, generate_subscripts(regexp_extract_all(line, 'raise ([\\p{{L}}\\p{{N}}_]+)Error\\('), 1) AS k FROM l)
+        SELECT path AS file, CAST(n AS INT) AS line, match FROM m QUALIFY row_number() OVER (PARTITION BY path ORDER BY n, k) <= 5""",
+    "grep_short_pattern_cap": f"""WITH f AS (SELECT path, content FROM {FILES} ORDER BY path LIMIT 100),
+        p AS (SELECT path, content, unnest(list_filter(range(1, length(content)), lambda i: substr(content, i, 2) = '=>')) AS pos FROM f)
+        SELECT path AS file, CAST(length(left(content, pos - 1)) - length(replace(left(content, pos - 1), chr(10), '')) + 1 AS INT) AS line, '=>' AS match
+        FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) AS r FROM p) WHERE r <= 5 ORDER BY path, pos LIMIT 20""",
+    "bm25_batch": f"""WITH t AS (SELECT doc_id, {raw('text')} AS ts FROM documents WHERE text IS NOT NULL), c AS (SELECT count(*) AS n, avg(len(ts)) AS average FROM t),
+        q AS (SELECT item_id AS qid, unnest({raw('text')}) AS term FROM eval_items WHERE text IS NOT NULL), p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t),
+        d AS (SELECT term, ln((any_value(n) + 1) / count(*)) AS idf FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+        s AS (SELECT qid, doc_id, sum(idf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * dl / average) + 1)) AS score FROM p JOIN d USING (term) JOIN q USING (term), c GROUP BY qid, doc_id)
+        SELECT qid, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 3""",
+    "pack_merged": f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE rank <= 20), c AS (SELECT *, max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+        i AS (SELECT *, sum(CASE WHEN start_line <= reach + 5 THEN 0 ELSE 1 END) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM c)
+        SELECT file_path AS path, min(start_line) AS start_line, max(end_line) AS end_line, arg_min(name, {{'a': start_line, 'b': end_line, 'c': rank}}) AS name, max(score) AS score, count(*) AS parts FROM i GROUP BY file_path, island""",
 }
