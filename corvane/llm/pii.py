@@ -9,6 +9,7 @@ its boundaries. Types are tried from the most to the least certain, and no two m
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -122,16 +123,18 @@ class Found:
     """Mentions of a text, none within another."""
 
     def __init__(self, text: str):
-        self.text, self.spans = text, []
+        self.text = text
+        self.spans: list[tuple[int, int, str]] = []  # in order and apart
 
     def free(self, s: int, e: int) -> bool:
-        return all(e <= a or s >= b for a, b, _ in self.spans)
+        i = bisect_left(self.spans, (e,))
+        return i == 0 or self.spans[i - 1][1] <= s
 
     def add(self, s: int, e: int, kind: str) -> bool:
         while e > s and self.text[e - 1].isspace():
             e -= 1
         if e > s and self.free(s, e):
-            self.spans.append((s, e, kind))
+            insort(self.spans, (s, e, kind))
             return True
         return False
 
@@ -166,7 +169,7 @@ def _emails(text: str, anchors: list[int], found: Found) -> None:
                 continue
         if text[e : e + 1] in (":", "/") and text[e + 1 : e + 2].strip() and name.lower() in ("git", "hg", "svn", "ssh"):
             continue
-        if text[e : e + 1] == ":" and re.match(r":[\w~./-]*/", text[e:]):
+        if _PATH.match(text, e):
             continue
         found.add(s, e, "email")
 
@@ -246,6 +249,10 @@ def _addresses(text: str, found: Found) -> None:
             found.add(s, e, "address")
 
 
+_NEXT = re.compile(r"[ ]([\w'-]+)")
+_PATH = re.compile(r":[\w~./-]*/")
+
+
 def _plausible(family: str) -> bool:
     core = family.split(" ")[-1]
     return len(core) > 1 and not any(w.lower() in _COMMON for w in core.split("-"))
@@ -277,12 +284,12 @@ def _person(text: str, m: re.Match, first: str, family: str, direct: bool, given
         return False
     if first.lower().rstrip(".") in ("mr", "mrs", "ms", "dr", "prof", "st", "sr", "sra", "mme", "no", "vs"):
         return False
-    following = re.match(r"[ ]([\w'-]+)", text[m.end() :])
+    following = _NEXT.match(text, m.end())
     known = family.split(" ")[-1].lower() in families or family.lower() in families
     if following and following[1].lower() in _COMMON and following[1][0].isupper() and not known:
         return False
     named = first.lower() in given
-    cue = bool(_PERSON_CUES.search(text[max(0, m.start() - 40) : m.start()].split("\n")[-1] if m.start() else ""))
+    cue = bool(_PERSON_CUES.search(text[max(0, m.start() - 40) : m.start()].split("\n")[-1]))
     if len(first) == 2 and first[1] == ".":
         return known or cue or bool(_SAYS.match(text, m.end()))
     if direct:

@@ -14,7 +14,7 @@ class JsonLexer(Lexer):
         return STRING if c == '"' and len(token) > 1 else NUMBER if c in "-0123456789" and (c != "-" or len(token) > 1) else "B"
 
 
-LEXER = JsonLexer(r"""[ \t\r\n]*((?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[a-zA-Z]\w*|[^ \t\r\n])""", "true false null { } [ ] , :")
+LEXER = JsonLexer(r"""[ \t\r\n]*+((?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[a-zA-Z]\w*|[^ \t\r\n]|\Z)""", "true false null { } [ ] , :")
 
 
 class Json(Parser):
