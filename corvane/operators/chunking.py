@@ -1,4 +1,4 @@
-"""Texts to line-addressed chunks: a native fold over lines, and definitions of Python files by their syntax tree."""
+"""Texts to line-addressed chunks: a native fold over lines, and definitions where these can be told."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import braces
 
 #: Characters from which a chunk is closed, and without which, stripped, it is left out.
 MOST, LEAST = 800, 50
 #: Lines repeated from the neighbours, and characters of their previews.
 OVERLAP, PREVIEW = 5, 500
 #: Imports, exports and signatures in a summary, and its characters.
-IMPORTS, SIGNATURES, SUMMARY = 20, 30, 2000
+IMPORTS, EXPORTS, SIGNATURES, SUMMARY = 20, 10, 30, 2000
 COMMENT = {"python": "#", "bash": "#", "ruby": "#", "yaml": "#", "toml": "#"}
 
 _RANGES = "struct<at: int, begin: int, size: int, done: array<struct<begin: int, end: int>>>"
@@ -52,26 +53,43 @@ def chunk_lines(files: DataFrame, path: str = "path", content: str = "content",
 DEFINED = "path string, content string, start_line int, end_line int, type string, name string, context array<string>, is_anchor boolean"
 
 
-def _definitions(path: str, text: str) -> list[tuple] | None:
-    """Outermost definitions, the gaps between them and a summary; None where the text has no syntax tree."""
+def _python(path: str, text: str) -> tuple[list[tuple], list[str], list[str], list[str]] | None:
+    """Definitions (start, end, kind, name), imports, exports and signatures."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    lines = text.split("\n")
-    rows, covered = [], []
+    found = []
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            body = "\n".join(lines[start - 1 : node.end_lineno])
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            covered.append((start, node.end_lineno))
-            if len(body) >= LEAST:
-                rows.append((path, body, start, node.end_lineno, kind, node.name, [f"File: {path}", f"{kind.capitalize()}: {node.name}"], False))
+            found.append((start, node.end_lineno, "class" if isinstance(node, ast.ClassDef) else "function", node.name))
+    imports = [ast.unparse(n) for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom))]
+    return found, imports, [], [s for s, _ in outline(text) or []]
+
+
+def _braced(path: str, text: str) -> tuple[list[tuple], list[str], list[str], list[str]]:
+    family = braces.FAMILIES[path.rpartition(".")[2].lower()]
+    found, lines = braces.definitions(text, family), text.split("\n")
+    imports, exports = braces.imports(text, family)
+    return [d[:4] for d in found], imports, exports, [lines[d.start - 1].strip().rstrip("{ ") for d in found]
+
+
+def _definitions(path: str, text: str) -> list[tuple] | None:
+    """Outermost definitions, the gaps between them and a summary; None where none is found."""
+    parsed = (_python if path.rpartition(".")[2].lower() in ("py", "pyw", "pyi") else _braced)(path, text)
+    if parsed is None or not parsed[0]:
+        return None
+    found, imports, exports, signatures = parsed
+    lines, rows = text.split("\n"), []
+    for start, end, kind, name in found:
+        body = "\n".join(lines[start - 1 : end])
+        if len(body) >= LEAST:
+            rows.append((path, body, start, end, kind, name, [f"File: {path}", f"{kind.capitalize()}: {name}"], False))
     if not rows:
         return None
     at = 1
-    for a, b in [*sorted(covered), (len(lines) + 1, 0)]:
+    for a, b in [*sorted(f[:2] for f in found), (len(lines) + 1, 0)]:
         while at < a and not lines[at - 1].strip():
             at += 1
         end = a - 1
@@ -80,13 +98,12 @@ def _definitions(path: str, text: str) -> list[tuple] | None:
         body = "\n".join(lines[at - 1 : end])
         if at <= end and len(body.strip()) >= LEAST:
             rows.append((path, body, at, end, "block", "", [f"File: {path}"], False))
-        at = b + 1
+        at = max(at, b + 1)
     rows = [piece for row in rows for piece in _split(row)]
-    imports = [lines[n.lineno - 1].strip() for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom))][:IMPORTS]
-    signatures = [s for s, _ in outline(text) or []][:SIGNATURES]
-    if imports or signatures:
-        summary = "\n".join(f"# {x}" for x in [*imports, *signatures])[:SUMMARY]
-        rows.append((path, summary, 1, 1, "anchor", "", [f"File: {path}"], True))
+    shown = [*imports[:IMPORTS], *exports[:EXPORTS], *signatures[:SIGNATURES]]
+    if shown:
+        mark = "#" if path.endswith(("py", "pyw", "pyi")) else "//"
+        rows.append((path, "\n".join(f"{mark} {x}" for x in shown)[:SUMMARY], 1, 1, "anchor", "", [f"File: {path}"], True))
     return sorted(rows, key=lambda r: (not r[7], r[2]))
 
 
@@ -131,8 +148,9 @@ def outline(text: str) -> list[tuple[str, int]] | None:
 
 
 def chunk_definitions(files: DataFrame) -> DataFrame:
-    """Chunks by definition for Python files, by lines for all others and for files without a syntax tree."""
-    python = X.extension(F.col("path")).isin("py", "pyw", "pyi")
+    """Chunks by definition for Python (by its syntax tree) and languages with braces, by lines for all
+    others and for files in which no definition is found."""
+    python = X.extension(F.col("path")).isin("py", "pyw", "pyi", *braces.FAMILIES)
     filled = files.filter(F.length(X.stripped(F.col("content"))) > 0).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,6 +129,12 @@ def resolve(files: DataFrame, root: Column | None = None, aliases: DataFrame | N
     return once.select("src", "dst", (F.row_number().over(w) - 1).cast("int").alias("ord"))
 
 
+def still_valid(cache: DataFrame, files: DataFrame, within: float = 0.01) -> DataFrame:
+    """Cached imports (``src, mtime`` and more) of files whose time hasn't changed since."""
+    now = files.select(F.col("path").alias("src"), F.col("mtime").alias("_now"))
+    return cache.join(now, "src").filter(F.abs(F.col("mtime") - F.col("_now")) < within).drop("_now")
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst", begin: int = 0) -> DataFrame:
     """``node, depth``: what ``start`` (column ``node``) reaches within ``depth`` hops, at its least depth.
 

@@ -11,31 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import braces
 from .chunking import outline
 
 #: Levels of indentation and characters of a signature that a map shows.
 LEVELS, WIDTH = 2, 80
-# Extensions whose files may have signatures, and how definitions begin in languages without a tree here.
-CODE = "py js jsx ts tsx go rs java c cpp h hpp".split()
-_DEFINED = {
-    "js": r"^(\s*)((?:export\s+)?(?:default\s+)?(?:async\s+)?function\b[^{;]*|(?:export\s+)?(?:default\s+)?class\s[^{]*|(?:export\s+)?const\s+\w+\s*=\s*(?:async\s*)?\([^)]*\)\s*=>)",
-    "ts": r"^(\s*)((?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function|class|interface|type|enum)\b[^{;=]*|(?:export\s+)?const\s+\w+\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>)",
-    "go": r"^()((?:func|type)\s[^{]*)",
-    "rs": r"^(\s*)((?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|impl|trait)\b[^{;]*)",
-    "java": r"^(\s*)((?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+(?:\([^)]*\))?[^{;=]*)(?=\{)",
-    "c": r"^()(\w[\w\s*]*\([^;{]*\))\s*\{",
-}
-_FAMILY = {"js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "go": "go", "rs": "rs", "java": "java", "c": "c", "h": "c", "cpp": "c", "hpp": "c"}
-
-
 def signatures_of(path: str, text: str) -> list[tuple[str, int]]:
     ext = path.rpartition(".")[2].lower()
-    if ext == "py":
+    if ext in ("py", "pyw", "pyi"):
         return outline(text) or []
-    pattern = _DEFINED.get(_FAMILY.get(ext, ""))
-    if pattern is None:
-        return []
-    return [(" ".join(m[2].split()), min(LEVELS, len(m[1].expandtabs(4)) // 2)) for m in re.finditer(pattern, text, re.M)]
+    return braces.signatures(text, braces.FAMILIES[ext]) if ext in braces.FAMILIES else []
 
 
 def signatures(files: DataFrame) -> DataFrame:
@@ -46,7 +31,7 @@ def signatures(files: DataFrame) -> DataFrame:
             found = [[{"text": s, "depth": d} for s, d in signatures_of(p, t)] for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["path", "sigs"])
 
-    code = files.filter(X.extension(F.col("path")).isin(*CODE) & F.col("content").isNotNull())
+    code = files.filter(X.extension(F.col("path")).isin("py", "pyw", "pyi", *braces.FAMILIES) & F.col("content").isNotNull())
     return code.select("path", "content").mapInArrow(read, "path string, sigs array<struct<text: string, depth: int>>")
 
 
@@ -61,7 +46,7 @@ def shown(sigs: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def skeleton(text: str, keep: frozenset[str] = frozenset(), lines: frozenset[int] = frozenset()) -> str:
-    """A Python file with the bodies of its functions left out, but for those named or on ``lines``; others unchanged."""
+    """A Python file with the bodies of its functions left out, but for those named or on ``lines``."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -89,11 +74,19 @@ def skeleton(text: str, keep: frozenset[str] = frozenset(), lines: frozenset[int
     return "\n".join(source)
 
 
+def skeleton_of(path: str, text: str, keep: frozenset[str] = frozenset(), lines: frozenset[int] = frozenset()) -> str:
+    """The skeleton of a file whose language has one; other files unchanged."""
+    ext = path.rpartition(".")[2].lower()
+    if ext in ("py", "pyw", "pyi"):
+        return skeleton(text, keep, lines)
+    return braces.skeleton(text, braces.FAMILIES[ext], keep, lines) if ext in braces.FAMILIES else text
+
+
 def skeletonize(files: DataFrame, keep: frozenset[str] = frozenset()) -> DataFrame:
     """``path, skeleton``."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if t is None else skeleton(t, keep) if p.endswith(".py") else t for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            out = [None if t is None else skeleton_of(p, t, keep) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "skeleton"])
 
     return files.select("path", "content").mapInArrow(read, "path string, skeleton string")

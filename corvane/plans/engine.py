@@ -159,7 +159,7 @@ class Engine:
             kept = within.filter(F.col("n") <= max_files).orderBy("n").collect()
             reason = "max_files" if within.count() > max_files else "token_budget" if len(kept) < available else None
             for r in kept:
-                shown = outline.skeleton(r["content"]) if skeleton and r["path"] != focus and r["path"].endswith(".py") else r["content"]
+                shown = outline.skeleton_of(r["path"], r["content"]) if skeleton and r["path"] != focus else r["content"]
                 taken.append({"path": r["path"], "content": shown, "reason": "focus file" if r["path"] == focus else "import", "score": None})
             used = sum(-(-len(f["content"]) // 4) + 50 for f in taken)
         chunks: list[dict] = []
@@ -185,7 +185,7 @@ class Engine:
                 cutoff = pack.at_most(inside, max(0, max_files - len(taken)))
                 reason = "max_files" if inside.count() > max_files - len(taken) else "token_budget" if inside.count() < best.count() else reason
                 for r in cutoff.orderBy("rank").collect():
-                    shown = outline.skeleton(r["content"], frozenset({r["name"]} if r["name"] else ())) if skeleton and r["path"].endswith(".py") else r["content"]
+                    shown = outline.skeleton_of(r["path"], r["content"], frozenset({r["name"]} if r["name"] else ())) if skeleton else r["content"]
                     taken.append({"path": r["path"], "content": shown, "reason": f"match: {r['name'] or 'chunk'}", "score": r["score"]})
         sized = [(f["content"].count("\n") + 1, len(f["content"]), -(-len(f["content"]) // 4) + 50) for f in [*taken, *chunks]]
         table = self.spark.createDataFrame(sized, "lines int, chars int, tokens int")

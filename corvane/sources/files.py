@@ -91,7 +91,8 @@ def _underscored(spark: SparkSession, root: str, sizes: bool) -> DataFrame:
 
 def aliases(settings: DataFrame, content: str = "content") -> DataFrame:
     """``prefix, target, ord`` of the path aliases in JSON settings with comments (tsconfig, jsconfig)."""
-    plain = F.regexp_replace(F.regexp_replace(content, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    # strings are kept whole, so that neither a URL nor a glob in them begins a comment
+    plain = F.regexp_replace(content, r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', "$1")
     parsed = settings.select(F.from_json(plain, "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>").alias("j")).select("j.compilerOptions.*")
     one = parsed.select(F.coalesce("baseUrl", F.lit(".")).alias("base"), F.posexplode(F.map_entries("paths")).alias("ord", "e"))
     flat = one.select("base", "ord", F.regexp_replace("e.key", r"\*", "").alias("prefix"), F.explode("e.value").alias("target"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.errors import CorvaneError
 from corvane.functions import text as X
-from corvane.operators import bm25, chunking, delta, graph, grep, outline, pack, probe
+from corvane.operators import bm25, braces, chunking, delta, graph, grep, outline, pack, probe
 from corvane.sources import files as sources
 
 
@@ -228,3 +228,50 @@ def test_read_tree(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.content for r in sources.read_tree(spark, str(tmp_path)).collect()}
     assert set(got) == {"a.py", "__init__.py", "_d/z.py", "fit", "late", "bad"} and got["bad"] == "AB"
+
+
+BRACED = {
+    "a.ts": ("import x from 'y';\nexport { q };\n\n/** doc { */\nexport class A extends B {\n  x = '}';\n  async m(a: { b: number }): Promise<void> {\n    if (a) {\n      return;\n    }\n  }\n}\n\nexport const f = (a = {}) => {\n  return `}${a}`;\n};\ntype T = { a: 1 };\n", [("class", "A", 5, 12), ("function", "f", 14, 16), ("class", "T", 17, 17)]),
+    "a.go": ('package p\nimport (\n\t"x"\n)\n\nfunc (s *T) F(a int) (int, error) {\n\tx := "}"\n\treturn a, nil\n}\n\ntype T struct {\n\ta int\n}\n', [("function", "F", 6, 9), ("class", "T", 11, 13)]),
+    "a.rs": ("use a::b;\n\npub(crate) fn f<'a>(x: &'a str) -> u8 {\n    '}'\n}\nimpl<T> Tr for S<T> {\n    fn g() {\n        1\n    }\n}\nstruct U;\n", [("function", "f", 3, 5), ("class", "S", 6, 10), ("class", "U", 11, 11)]),
+    "A.java": ("package p;\nimport a.B;\n\npublic class A {\n    @Override\n    public <T> int m(int x) throws E {\n        return \"}\".length();\n    }\n}\n", [("class", "A", 4, 9)]),
+    "a.c": ("#include <x.h>\n\nstatic int f(int a) {\n  return a;\n}\n", [("function", "f", 3, 5)]),
+}
+
+
+@pytest.mark.parametrize("path", BRACED)
+def test_braced_definitions(path):
+    text, want = BRACED[path]
+    family = braces.FAMILIES[path.rpartition(".")[2]]
+    assert [(d.kind, d.name, d.start, d.end) for d in braces.definitions(text, family)] == want
+    bare = outline.skeleton_of(path, text)
+    assert bare.count("{") - bare.count("}") == text.count("{") - text.count("}") or "'}'" in text or '"}"' in text
+    assert "// ..." in bare and "return a, nil" not in bare and ".length()" not in bare
+    assert braces.imports(text, family)[0]
+    assert outline.skeleton_of(path, text, frozenset({"f", "F", "m", "g"})) == text
+    for broken in (text[: len(text) // 2], text.replace("}", ""), "", "{{{", "}}}", "func ("):
+        braces.definitions(broken, family)
+        outline.skeleton_of(path, broken)
+
+
+def test_braced_chunks(spark):
+    files = spark.createDataFrame([(p, t.replace("return", "return /* words that make it long enough to stay */")) for p, (t, _) in BRACED.items()], "path string, content string")
+    got = {(r.path, r.type, r.name) for r in chunking.chunk_definitions(files).collect()}
+    assert {("a.ts", "class", "A"), ("a.ts", "function", "f"), ("a.go", "function", "F"), ("A.java", "class", "A"), ("a.ts", "anchor", "")} <= got
+    assert [s for s, _ in outline.signatures_of("a.ts", BRACED["a.ts"][0])][:2] == ["export class A extends B", "async m(a: { b: number }): Promise<void>"]
+
+
+def test_stems(spark):
+    from corvane.functions.stem import stem, stemmed_tokens
+
+    pairs = "consigned consign consistency consist consolatory consolatori conspiring conspir knightly knight knives knive skies sky generously generous hoping hope hopping hop"
+    words = pairs.split()
+    assert all(stem(a) == b for a, b in zip(words[::2], words[1::2]))
+    got = spark.createDataFrame([("notifications useToasts",), (None,), ("",)], "t string").select(stemmed_tokens(F.col("t")).alias("s")).collect()
+    assert {"notif", "toast"} <= set(got[0].s) and got[1].s is None and got[2].s == []
+
+
+def test_cached_edges(spark):
+    cache = spark.createDataFrame([("a", 1.0, "b"), ("c", 1.0, "d"), ("gone", 1.0, "x")], "src string, mtime double, dst string")
+    files = spark.createDataFrame([("a", 1.005), ("c", 2.0)], "path string, mtime double")
+    assert [r.src for r in graph.still_valid(cache, files).collect()] == ["a"]
