@@ -20,6 +20,8 @@ from ..functions import text as X
 from ..session import cut
 
 K1, B, DELTA = 1.5, 0.75, 0.5
+#: Rows of queries and their terms that are broadcast.
+FEW = 100_000
 
 
 def documents(chunks: DataFrame) -> Column:
@@ -74,9 +76,14 @@ def search_many(posting: DataFrame, n: int, average: float, queries: DataFrame,
     The queries' terms alone are read of the index; sums are made per query and document before
     ranking, and the rank is limited within each task before any row is moved for it.
     """
-    mine = posting.join(queries.select("term").distinct(), "term", "left_semi")
-    hits = mine.join(terms(mine, n), "term").join(queries.distinct(), "term")
+    wanted = queries.select("term").distinct()
+    # few terms go to the postings, which then needn't move and can't be skewed by a common one
+    small = F.broadcast if wanted.limit(FEW + 1).count() <= FEW else lambda df: df
+    mine = posting.join(small(wanted), "term", "left_semi")
+    asked = queries.distinct()
+    hits = mine.join(small(terms(mine, n)), "term").join(F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked, "term")
     norm = F.col("idf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / average) + 1)
     scored = hits.groupBy("qid", key).agg(F.sum(norm).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), key)
+    # sums differ in their last digits by the order of addition; equal scores must go by key
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

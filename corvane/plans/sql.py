@@ -177,7 +177,7 @@ SQL = {
         q AS (SELECT item_id AS qid, unnest({raw('text')}) AS term FROM eval_items WHERE text IS NOT NULL), p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t),
         d AS (SELECT term, ln((any_value(n) + 1) / count(*)) AS idf FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
         s AS (SELECT qid, doc_id, sum(idf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * dl / average) + 1)) AS score FROM p JOIN d USING (term) JOIN q USING (term), c GROUP BY qid, doc_id)
-        SELECT qid, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 3""",
+        SELECT qid, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 3""",
     "pack_merged": f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE rank <= 20), c AS (SELECT *, max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
         i AS (SELECT *, sum(CASE WHEN start_line <= reach + 5 THEN 0 ELSE 1 END) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM c)
         SELECT file_path AS path, min(start_line) AS start_line, max(end_line) AS end_line, arg_min(name, {{'a': start_line, 'b': end_line, 'c': rank}}) AS name, max(score) AS score, count(*) AS parts FROM i GROUP BY file_path, island""",

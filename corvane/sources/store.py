@@ -43,8 +43,9 @@ class Store:
         staged = f"{self.root.rstrip('/')}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             if name in ("postings", "trigrams"):
+                # rebalanced: the bucket of a term that a third of all rows have is written by several tasks
                 key = F.col("term" if name == "postings" else "trigram")
-                df = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions(key)
+                df = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions(key)
                 df.write.partitionBy("bucket").parquet(f"{staged}/{name}")
             else:
                 df.write.parquet(f"{staged}/{name}")
