@@ -172,9 +172,11 @@ def term_frequencies(df: DataFrame, term: str, record: str, place: str | None =
     ``place``, or where it is null, a term occurs once per record. Rows whose term or record is null
     don't count; the empty string is a term. ``mark`` is ``rare`` for terms of one record, else
     ``common`` for those in more than ``most_share`` of all counted records, else null. An empty
-    table gives no rows; other columns, whatever their names, are ignored.
+    table gives no rows; other columns, whatever their names, are ignored. ``record`` must be integral.
     """
     spark = df.sparkSession
+    if dict(df.dtypes)[record] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{record!r} must be integral; number the records first")
     at = F.coalesce(F.col(place).cast("int"), F.lit(-1)) if place else F.lit(-1)
     rows = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("bigint").alias("record"), at.alias("place"))
     rows = rows.filter(F.col("term").isNotNull() & F.col("record").isNotNull())

@@ -56,6 +56,11 @@ def test_burst_trie(terms, limit):
     assert [trie.terms[s] for s in slots] == terms and len(set(trie.terms)) == len(trie.terms)
 
 
+def test_records_are_numbers(spark):
+    with pytest.raises(TypeError):
+        termfreq.term_frequencies(spark.createDataFrame([("a", "b")], "t string, r string"), "t", "r")
+
+
 def test_long_terms_route(spark):
     df = spark.createDataFrame([("prefix" * 30 + str(i % 70), i % 9, i) for i in range(3000)], "t string, r long, p int")
     assert termfreq.term_frequencies(df, "t", "r", "p").agg(F.sum("occurrences"), F.count("*")).first()[:] == (3000, 70)
@@ -121,7 +126,9 @@ def test_verdicts(path, text, reason):
     assert provenance.verdict(path, text.replace("\n", "\r\n"))[0] == reason
 
 
-def test_edited_copies(spark):
+@pytest.mark.parametrize("hot", [500_000, 1])
+def test_edited_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(provenance, "HOT", hot)
     body = "".join(f"def function_number_{i}(a, b):\n    return a * {i} + b ** {i + 1}\n\n\n" for i in range(0, 40, 2))
     edited = "# Copyright the other authors\n" + body.replace("a * 6 +", "a - 6 +")
     rows = [
