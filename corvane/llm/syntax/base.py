@@ -19,10 +19,17 @@ CH: dict[str, str] = {}
 KEPT = 200_000
 
 
+class _Kinds(dict):
+    def __missing__(self, token: str) -> str:
+        self[token] = k = token if len(token) == 1 and not token.isalnum() and token != "_" else CH.setdefault(token, chr(0x4E00 + len(CH)))
+        return k
+
+
+_KINDS = _Kinds()
+
+
 def kind(token: str) -> str:
-    if len(token) == 1 and not token.isalnum() and token != "_":
-        return token
-    return CH.setdefault(token, chr(0x4E00 + len(CH)))
+    return _KINDS[token]
 
 
 def kinds(words: str) -> frozenset[str]:
@@ -108,17 +115,20 @@ class Parser:
         return self.S[q]
 
     def at(self, *words: str) -> bool:
-        t = self.t
-        return any(t == kind(w) for w in words)
+        t = self.S[self.p]
+        for w in words:
+            if _KINDS[w] == t:
+                return True
+        return False
 
     def take(self, word: str) -> bool:
-        if self.t == kind(word):
+        if self.S[self.p] == _KINDS[word]:
             self.next()
             return True
         return False
 
     def need(self, word: str) -> None:
-        if self.t != kind(word):
+        if self.S[self.p] != _KINDS[word]:
             self.fail(f"{word!r} expected")
         self.next()
 
