@@ -43,13 +43,19 @@ def terms(posting: DataFrame, n: int) -> DataFrame:
     return posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(n + 1)) / F.col("df")))
 
 
-def score_all(corpus: DataFrame, tokens: Column, query: list[str], *, require_overlap: bool = True) -> DataFrame:
-    """``corpus`` with a ``score``; without ``require_overlap`` documents that share no term keep the constant part."""
+def score_all(corpus: DataFrame, tokens: Column, query: list[str], *, require_overlap: bool = True, keep: list[str] | None = None, once: str | None = None) -> DataFrame:
+    """``corpus``, or its columns ``keep``, with a ``score``; without ``require_overlap`` documents that share
+    no term keep the constant part. Of rows with the same ``once``, delivered again, one counts.
+
+    Texts are read once and go no further: what is kept of a document are those columns, its length
+    and the terms it shares with the query.
+    """
     words = sorted(set(query))
+    columns = keep or corpus.columns
     if not words:
-        return corpus.limit(0).withColumn("score", F.lit(0.0))
-    held = corpus.withColumn("_t", tokens).withColumns({"_dl": F.size("_t"), "_hits": F.array_intersect("_t", F.array(*map(F.lit, words)))}).drop("_t")
-    held = cut(held)
+        return corpus.select(*columns).limit(0).withColumn("score", F.lit(0.0))
+    held = corpus.select(*columns, tokens.alias("_t")).select(*columns, F.size("_t").alias("_dl"), F.array_intersect("_t", F.array(*map(F.lit, words))).alias("_hits"))
+    held = cut(held.dropDuplicates([once]) if once else held)
     counts = held.agg(F.count("*"), F.avg("_dl"), *(F.count_if(F.array_contains("_hits", w)) for w in words)).first()
     n, average, dfs = counts[0], counts[1], dict(zip(words, counts[2:]))
     idf = {w: math.log((n + 1) / df) for w, df in dfs.items() if df}
@@ -64,10 +70,13 @@ def score_all(corpus: DataFrame, tokens: Column, query: list[str], *, require_ov
 
 
 def search(chunks: DataFrame, query: str, limit: int = 10, *, min_score: float | None = None, require_overlap: bool = True, tokens=X.code_tokens) -> DataFrame:
-    """The ``limit`` best chunks, ties by path and line; ``min_score`` is applied after the limit."""
-    scored = score_all(chunks, tokens(documents(chunks)), query_tokens(chunks, query, tokens), require_overlap=require_overlap)
-    best = scored.filter("score > 0").orderBy(F.col("score").desc(), "file_path", "start_line", "id").limit(limit)
-    return best.filter(F.col("score") >= min_score) if min_score is not None else best
+    """The ``limit`` best chunks, ties by path and line; ``min_score`` is applied after the limit.
+
+    Rows of one id delivered again give one. Contents are read again for the chunks found only."""
+    scored = score_all(chunks, tokens(documents(chunks)), query_tokens(chunks, query, tokens), require_overlap=require_overlap, keep=["id", "file_path", "start_line"], once="id")
+    best = cut(scored.filter("score > 0").orderBy(F.col("score").desc(), "file_path", "start_line", "id").limit(limit).select("id", "score"))
+    found = chunks.join(F.broadcast(best) if limit <= FEW else best, "id").dropDuplicates(["id"]).orderBy(F.col("score").desc(), "file_path", "start_line", "id")
+    return found.filter(F.col("score") >= min_score) if min_score is not None else found
 
 
 def search_many(posting: DataFrame, n: int, average: float, queries: DataFrame, key: str, limit: int) -> DataFrame:

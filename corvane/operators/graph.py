@@ -116,7 +116,7 @@ def candidate_paths(base: Column, lang: Column) -> Column:
 
 def resolve(files: DataFrame, root: Column | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """``src, dst, ord``: for every import the first of its candidates that is a file; a target once per source, itself never."""
-    rows = raw_imports(files)
+    rows = raw_imports(files).distinct()
     if root is not None:
         rows = rows.join(files.select(F.col("path").alias("src"), root.alias("root")).distinct(), "src")
     based = bases(rows, aliases)

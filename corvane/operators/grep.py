@@ -28,10 +28,13 @@ def grams(literals: list[str]) -> list[str]:
 
 
 def candidates(posting: DataFrame, wanted: list[str], key: str = "content_hash") -> DataFrame:
-    """The keys whose postings hold all of ``wanted``: one pass, and one set of at most that many trigrams per key."""
-    held = posting.filter(F.col("trigram").isin(*wanted) & F.col(key).isNotNull())
-    # a trigram counts once per key, however often it occurs
-    return held.select(key, "trigram").distinct().groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select(key)
+    """The keys whose postings hold all of ``wanted``: one pass and one shuffle of a number per key, whose
+    bits stand for up to 60 trigrams; further trigrams narrow what the first ones left."""
+    first, rest = wanted[:60], wanted[60:]
+    bits = F.create_map(*(F.lit(x) for i, g in enumerate(first) for x in (g, 1 << i)))
+    held = posting.filter(F.col("trigram").isin(*first) & F.col(key).isNotNull())
+    every = held.groupBy(key).agg(F.bit_or(bits[F.col("trigram")]).alias("m")).filter(F.col("m") == (1 << len(first)) - 1).select(key)
+    return every.join(candidates(posting, rest, key), key, "left_semi") if rest else every
 
 
 def narrowed(files: DataFrame, posting: DataFrame | None, literals: list[str]) -> DataFrame:

@@ -19,13 +19,24 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files once each, as the engine's tables have them."""
-    return _t(spark, sf, "files").select("path", "repo", "mtime", "length", "content").dropDuplicates(["path"])
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """Files as delivered, some of them twice. Where results are small, those are made distinct, and no content is moved."""
+    return _t(spark, sf, "files").select("path", "repo", "mtime", "length", "content")
+
+
+def files(spark: SparkSession, sf: str, where=None) -> DataFrame:
+    """Files once each, as the engine's tables have them; ``where`` is applied before that, in the scan."""
+    rows = scanned(spark, sf)
+    return (rows.filter(where) if where is not None else rows).dropDuplicates(["path"])
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = _t(spark, sf, "chunks").dropDuplicates(["id"])
+    return collected(spark, sf).dropDuplicates(["id"])
+
+
+def collected(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as delivered."""
+    c = _t(spark, sf, "chunks")
     return c.select("id", "file_path", F.coalesce("content", F.lit("")).alias("content"), "start_line", "end_line", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("node_type", F.lit("")).alias("node_type"), "last_modified")
 
 
@@ -49,11 +60,11 @@ def tokenize_affix(s, d):
 
 
 def code_tokens(s, d):
-    return chunks(s, d).select("id", F.explode(X.code_tokens(F.col("content"))).alias("token"))
+    return collected(s, d).select("id", F.explode(X.code_tokens(F.col("content"))).alias("token")).distinct()
 
 
 def content_dedup(s, d):
-    f = files(s, d).filter("content is not null").select("path", X.content_hash(F.col("content")).alias("content_hash"))
+    f = scanned(s, d).filter("content is not null").select("path", X.content_hash(F.col("content")).alias("content_hash")).distinct()
     return f.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("path").alias("first_path"))
 
 
@@ -66,10 +77,9 @@ def repo_hashes(s, d):
 
 
 def text_filter(s, d):
-    f = files(s, d)
     inside = F.regexp_replace("path", "^[^/]*/", "")
     bytes_ = F.octet_length("content")
-    return f.filter(sources.sized(bytes_) & ~sources.excluded(inside)).select("path", bytes_.alias("bytes"))
+    return scanned(s, d).filter(sources.sized(bytes_) & ~sources.excluded(inside)).select("path", bytes_.alias("bytes")).distinct()
 
 
 def ext_language(s, d):
@@ -112,11 +122,11 @@ def term_df(s, d):
 
 
 def bm25_all_scores(s, d):
-    return bm25.score_all(_docs(s, d), raw(F.col("text")), bm25.query_tokens(_docs(s, d), QUERY, raw)).select("doc_id", F.round("score", 6).alias("score"))
+    return bm25.score_all(_docs(s, d), raw(F.col("text")), bm25.query_tokens(_docs(s, d), QUERY, raw), keep=["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_no_overlap(s, d):
-    return bm25.score_all(_docs(s, d), raw(F.col("text")), bm25.query_tokens(_docs(s, d), "orchard granary", raw), require_overlap=False).select("doc_id", F.round("score", 6).alias("score"))
+    return bm25.score_all(_docs(s, d), raw(F.col("text")), bm25.query_tokens(_docs(s, d), "orchard granary", raw), require_overlap=False, keep=["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _ranked(s, d):
@@ -132,7 +142,7 @@ def bm25_min_score_after_limit(s, d):
 
 
 def search_chunks(s, d):
-    return bm25.search(chunks(s, d), QUERY, 10).select("id", "file_path", "start_line", "end_line", "name", F.round("score", 6).alias("score"))
+    return bm25.search(collected(s, d), QUERY, 10).select("id", "file_path", "start_line", "end_line", "name", F.round("score", 6).alias("score"))
 
 
 def bm25_batch(s, d):
@@ -156,8 +166,12 @@ def trigram_candidates(s, d):
     return grep.candidates(_t(s, d, "trigrams"), grep.grams([LITERAL]), "file_id")
 
 
+def _having(s, d, literal):
+    return files(s, d, F.contains("content", F.lit(literal)))
+
+
 def grep_literal(s, d):
-    return grep.grep_literal(files(s, d), LITERAL, None).select("file", "line", "match")
+    return grep.grep_literal(_having(s, d, LITERAL), LITERAL, None).select("file", "line", "match")
 
 
 def grep_overlapping(s, d):
@@ -166,7 +180,7 @@ def grep_overlapping(s, d):
 
 
 def grep_context(s, d):
-    return grep.grep_literal(files(s, d), LITERAL, None).select("file", "line", "context")
+    return grep.grep_literal(_having(s, d, LITERAL), LITERAL, None).select("file", "line", "context")
 
 
 def grep_indexed(s, d):
@@ -175,7 +189,7 @@ def grep_indexed(s, d):
 
 
 def grep_regex(s, d):
-    return grep.grep_regex(files(s, d), PATTERN, None).select("file", "line", "match")
+    return grep.grep_regex(_having(s, d, "raise "), PATTERN, None).select("file", "line", "match")
 
 
 def grep_short_pattern_cap(s, d):
@@ -213,11 +227,11 @@ def _edges(s, d):
 
 
 def raw_imports(s, d):
-    return graph.raw_imports(files(s, d)).select("src", "language", "import").distinct()
+    return graph.raw_imports(scanned(s, d)).select("src", "language", "import").distinct()
 
 
 def resolve_imports(s, d):
-    return graph.resolve(files(s, d), F.col("repo")).select("src", "dst", "ord")
+    return graph.resolve(scanned(s, d), F.col("repo")).select("src", "dst", "ord")
 
 
 def dep_bfs(s, d):
@@ -249,9 +263,11 @@ def discover(s, d):
 
 # packing of results
 def _hits(s, d):
-    best = bm25.score_all(chunks(s, d), raw(bm25.documents(chunks(s, d))), bm25.query_tokens(chunks(s, d), QUERY, raw)).withColumn("score", F.round("score", 6))
+    c = collected(s, d)
+    best = bm25.score_all(c, raw(bm25.documents(c)), bm25.query_tokens(c, QUERY, raw), keep=["id", "file_path", "start_line"], once="id").withColumn("score", F.round("score", 6))
     w = Window.orderBy(F.col("score").desc(), "file_path", "start_line", "id")
-    return best.orderBy(F.col("score").desc(), "file_path", "start_line", "id").limit(60).withColumn("rank", F.row_number().over(w)).withColumn("path", F.col("file_path")).withColumn("reason", F.lit("match"))
+    top = best.orderBy(F.col("score").desc(), "file_path", "start_line", "id").limit(60).withColumn("rank", F.row_number().over(w)).select("id", "score", "rank")
+    return c.join(F.broadcast(top), "id").dropDuplicates(["id"]).withColumns({"path": F.col("file_path"), "reason": F.lit("match")})
 
 
 def merge_chunks(s, d):
@@ -282,13 +298,13 @@ def pack_summary(s, d):
 
 def pack_budget_per_file(s, d):
     """The budget within every file at once, in order of lines."""
-    c = chunks(s, d).withColumn("rank", F.struct("start_line", "id"))
-    return pack.chunk_budget(c, X.token_estimate(F.col("content")), 1000, keys=("file_path",)).select("file_path", "id", "total")
+    c = collected(s, d).select("file_path", "id", F.struct("start_line", "id").alias("rank"), X.token_estimate(F.col("content")).alias("cost")).dropDuplicates(["id"])
+    return pack.chunk_budget(c, F.col("cost"), 1000, keys=("file_path",)).select("file_path", "id", "total")
 
 
 def audit_tiers(s, d):
-    f = files(s, d).filter("content is not null")
-    per = f.groupBy("repo").agg(F.sum(X.token_estimate(F.col("content"))).alias("tokens"), F.count("*").alias("files"))
+    f = scanned(s, d).filter("content is not null").select("repo", "path", X.token_estimate(F.col("content")).alias("tokens")).distinct()
+    per = f.groupBy("repo").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files"))
     return per.withColumn("advice", F.when(F.col("tokens") > pack.LARGE, "use skeletons").when(F.col("tokens") > pack.LEAN, "consider skeletons").otherwise("take it whole"))
 
 
@@ -299,11 +315,11 @@ def coverage(s, d):
 
 # symbols, maps
 def symbols_missing(s, d):
-    return probe.symbols(files(s, d).filter("content is not null"), "path")
+    return probe.symbols(scanned(s, d).filter("content is not null"), "path").distinct()
 
 
 def symbols_defined(s, d):
-    return files(s, d).filter("content is not null").select("path", F.explode(X.definitions(F.col("content"))).alias("symbol"))
+    return scanned(s, d).filter("content is not null").select("path", F.explode(X.definitions(F.col("content"))).alias("symbol")).distinct()
 
 
 def probe_best(s, d):
@@ -317,7 +333,7 @@ def map_tree(s, d):
 
 
 def repo_map(s, d):
-    return outline.shown(outline.signatures(files(s, d)), 10)
+    return outline.shown(outline.signatures(scanned(s, d)).dropDuplicates(["path"]), 10)
 
 
 def skeletonize(s, d):

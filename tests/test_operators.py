@@ -115,6 +115,14 @@ def test_grep(spark):
     assert grep.stats(files, posting).first().files == 6
 
 
+def test_long_literals(spark):
+    long = "".join(chr(97 + i % 26) + chr(65 + i // 26) + str(i % 7) for i in range(60))
+    files = spark.createDataFrame([("a", "x " + long), ("b", long[:-1] + "!"), ("c", long[1:])], "path string, content string")
+    posting = grep.postings(files)
+    assert len(grep.grams([long])) > 60
+    assert [r.content_hash for r in grep.candidates(posting, grep.grams([long])).collect()] == [files.filter("path = 'a'").select(X.content_hash(F.col("content"))).first()[0]]
+
+
 def test_equal_contents_are_all_found(spark):
     files = spark.createDataFrame([("a", "needle here"), ("b", "needle here")], "path string, content string")
     assert grep.grep_literal(files, "needle", None, grep.postings(files)).count() == 2
