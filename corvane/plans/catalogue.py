@@ -234,6 +234,10 @@ def resolve_imports(s, d):
     return graph.resolve(scanned(s, d), F.col("repo")).select("src", "dst", "ord")
 
 
+def resolve_pairs(s, d):
+    return resolve_imports(s, d).select("src", "dst")
+
+
 def dep_bfs(s, d):
     e = _edges(s, d)
     roots = e.select(F.col("src").alias("node")).distinct().join(e.filter("dst is not null").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
@@ -352,7 +356,7 @@ QUERIES = {
     for f in (
         tokenize_raw, tokenize_parts, tokenize_affix, code_tokens, content_dedup, chunk_ids, repo_hashes, text_filter, ext_language, token_estimates, previews, chunk_fallback, ast_chunks, chunk_neighbours,
         doc_stats, term_df, bm25_all_scores, bm25_no_overlap, bm25_topk, bm25_min_score_after_limit, search_chunks, bm25_batch, trigram_stats, document_trigrams, trigram_candidates, grep_literal, grep_overlapping,
-        grep_context, grep_indexed, grep_regex, grep_short_pattern_cap, delta_plan, delta_apply, upsert, index_info, raw_imports, resolve_imports, dep_bfs, impact_reverse, importers, discover, merge_chunks,
+        grep_context, grep_indexed, grep_regex, grep_short_pattern_cap, delta_plan, delta_apply, upsert, index_info, raw_imports, resolve_imports, resolve_pairs, dep_bfs, impact_reverse, importers, discover, merge_chunks,
         pack_chunk_budget, pack_file_budget, pack_page, pack_merged, pack_summary, pack_budget_per_file, audit_tiers, coverage, symbols_missing, symbols_defined, probe_best, map_tree, repo_map, skeletonize, debounce_sessions,
     )
 }

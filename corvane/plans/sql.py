@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import BUILTINS, DEFINITIONS, LANGUAGES, PREFIXES, REFERENCES, SUFFIXES
-from ..operators.graph import IMPORTS
+from ..operators.graph import IMPORTS, INDEX, LIBRARY, TRIED
 
 FILES = "(SELECT DISTINCT ON (path) path, repo, mtime, length, content FROM files)"
 CHUNKS = "(SELECT DISTINCT ON (id) id, file_path, coalesce(content, '') AS content, start_line, end_line, coalesce(name, '') AS name FROM chunks)"
@@ -70,6 +70,32 @@ def _lines(source: str, key: str, content: str) -> str:
     return f"SELECT {key}, unnest(string_split({content}, chr(10))) AS line, generate_subscripts(string_split({content}, chr(10)), 1) AS n FROM {source}"
 
 
+def _resolved() -> str:
+    """For every import the first candidate that is a file of its repository's paths; a source never itself."""
+    def norm(p: str) -> str:
+        step = "CASE WHEN x IN ('', '.') THEN a WHEN x = '..' AND a <> '' THEN regexp_replace(a, '/?[^/]*$', '') ELSE a || '/' || x END"
+        return f"ltrim(list_reduce(list_prepend('', string_split({p}, '/')), lambda a, x: {step}), '/')"
+
+    folder = lambda n: f"array_to_string(string_split(src, '/')[:len(string_split(src, '/')) - {n}], '/')"
+    dots = "length(regexp_extract(import, '^(\\.*)', 1))"
+    dotted = "repo || '/' || {} || replace(import, '.', '/')"
+    scoped = "repo || '/' || {} || ltrim(substr(import, 2), '/')"
+    script = "language IN ('typescript', 'javascript')"
+    bases = f"""CASE WHEN import LIKE '.%' AND language = 'python' THEN [{folder(dots)} || '/' || replace(substr(import, {dots} + 1), '.', '/')] WHEN import LIKE '.%' THEN [{folder(1)} || '/' || import]
+        WHEN language = 'python' THEN [{dotted.format("''")}, {dotted.format("'src/'")}] WHEN {script} AND import LIKE '@%' THEN [repo || '/' || import, {scoped.format("'src/'")}, {scoped.format("''")}] ELSE [repo || '/' || import] END"""
+    tried = []
+    for lang, es in TRIED.items():
+        added = [f"base || '.{e}'" for e in es.split()]
+        put = [f"regexp_replace(base, '([^/])\\.[^./]*$', '\\1') || '.{e}'" for e in es.split()]
+        tried.append(f"WHEN language = '{lang}' THEN [{', '.join(['base', *added, *put, *(f"base || '/{x}'" for x in INDEX.get(lang, []))])}]")
+    library = ", ".join(map(repr, LIBRARY))
+    return f"""WITH i AS (SELECT x.*, f.repo FROM ({_imports()}) x JOIN {FILES} f ON f.path = x.src WHERE NOT (import LIKE 'node_modules%' OR import LIKE 'http%' OR language = 'python' AND import IN ({library}))),
+        b AS (SELECT *, unnest(list_transform({bases}, lambda p: {norm("p")})) AS base, generate_subscripts({bases}, 1) AS nth FROM i),
+        c AS (SELECT src, import, nth, unnest(CASE {' '.join(tried)} END) AS dst, generate_subscripts(CASE {' '.join(tried)} END, 1) AS k FROM b),
+        m AS (SELECT src, import, arg_min(c.dst, [nth, k]) AS dst FROM c JOIN {FILES} f ON f.path = c.dst GROUP BY src, import)
+        SELECT DISTINCT src, dst FROM m WHERE src <> dst"""
+
+
 _SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 
 
@@ -181,4 +207,5 @@ SQL = {
     "pack_merged": f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE rank <= 20), c AS (SELECT *, max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
         i AS (SELECT *, sum(CASE WHEN start_line <= reach + 5 THEN 0 ELSE 1 END) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM c)
         SELECT file_path AS path, min(start_line) AS start_line, max(end_line) AS end_line, arg_min(name, {{'a': start_line, 'b': end_line, 'c': rank}}) AS name, max(score) AS score, count(*) AS parts FROM i GROUP BY file_path, island""",
+    "resolve_pairs": _resolved(),
 }
