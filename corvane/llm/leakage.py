@@ -23,6 +23,8 @@ RUN, SUBSTITUTED = 12, 3
 MASKS = ((0, 1, 2, 4, 5, 7, 8, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 3, 4, 6, 8, 9, 11))
 #: Words of items a worker holds at once; more are gone through in blocks.
 BLOCK = 2_000_000
+#: Words of documents looked up at once.
+PART = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,27 +79,31 @@ class Index:
                 found.append(np.stack([np.repeat(at, n), order[np.repeat(low[at], n) + step]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-    def leaks(self, ids: np.ndarray, total: int) -> dict[int, tuple[int, int, int]]:
-        """Per item: its longest run of equal words, its longest overlap with substituted words, and where that begins."""
-        best: dict[int, tuple[int, int, int]] = {}
-        done: set[tuple[int, int]] = set()
-        reached: dict[int, int] = {}
-        for d, q in self.hits(ids).tolist():
-            diagonal = q - d
+    def leaks(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Per text and item that share a passage: which, the longest run of equal words, the longest overlap with
+        substituted words, and where that begins. All texts are looked up at once, apart from each other."""
+        gap = np.zeros(RUN, np.int64)
+        line = np.concatenate([x for t in texts for x in (t, gap)])
+        starts = np.cumsum([0, *(len(t) + RUN for t in texts)])
+        found = self.hits(line)
+        owner = np.searchsorted(starts, found[:, 0], "right") - 1
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        reached: dict[tuple[int, int], int] = {}
+        for k, (d, q) in zip(owner.tolist(), found.tolist()):
+            d -= int(starts[k])
+            diagonal = (k, q - d)
             if reached.get(diagonal, -1) >= d:
                 continue
-            item = int(np.searchsorted(self.first, q, "right")) - 1
+            ids, item = texts[k], int(np.searchsorted(self.first, q, "right")) - 1
             a, b = self.first[item], self.first[item + 1] - RUN
-            low = max(-d, a - q)
-            high = min(total - d, b - q)
-            same = ids[d + low : d + high] == self.words[q + low : q + high]
-            same &= ids[d + low : d + high] > 0
-            run, overlap, begin = _longest(same)
+            low, high = max(-d, a - q), min(len(ids) - d, b - q)
+            mine = ids[d + low : d + high]
+            run, overlap, begin = _longest((mine == self.words[q + low : q + high]) & (mine > 0))
             reached[diagonal] = d + high
-            old = best.get(item, (0, 0, 0))
+            old = best.get((k, item), (0, 0, 0))
             if (run, overlap) > old[:2]:
-                best[item] = (run, max(overlap, old[1]), d + low + begin)
-        return best
+                best[k, item] = (run, max(overlap, old[1]), d + low + begin)
+        return ((k, item, *x) for (k, item), x in best.items())
 
 
 def _longest(same: np.ndarray) -> tuple[int, int, int]:
@@ -154,16 +160,19 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             known = index.vocabulary.get
             for b in batches:
                 out: list[tuple] = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs, texts, held = [], [], 0
+                for doc, text in zip([*b.column(0).to_pylist(), None], [*b.column(1).to_pylist(), None]):
+                    if text is None or held > PART:
+                        out += [(docs[k], index.ids[i], run, overlap, at) for k, i, run, overlap, at in (index.leaks(texts) if texts else ()) if run >= RUN or overlap >= RUN]
+                        docs, texts, held = [], [], 0
+                    if text is None:
+                        break
                     ws = words(text)
-                    if len(ws) < RUN:
-                        continue
                     ids = np.fromiter((known(w, 0) for w in ws), np.int64, len(ws))
-                    if np.count_nonzero(ids) < RUN - SUBSTITUTED:
-                        continue
-                    for item, (run, overlap, at) in index.leaks(ids, len(ids)).items():
-                        if run >= RUN or overlap >= RUN:
-                            out.append((doc, index.ids[item], run, overlap, at))
+                    if np.count_nonzero(ids) >= RUN - SUBSTITUTED:
+                        docs.append(doc)
+                        texts.append(ids)
+                        held += len(ids)
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "run", "overlap", "at_word"])
 
