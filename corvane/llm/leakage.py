@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                     if text is None:
                         break
                     ws = words(text)
-                    ids = np.fromiter((known(w, 0) for w in ws), np.int64, len(ws))
+                    ids = np.fromiter(map(known, ws, repeat(0)), np.int64, len(ws))
                     if np.count_nonzero(ids) >= RUN - SUBSTITUTED:
                         docs.append(doc)
                         texts.append(ids)
