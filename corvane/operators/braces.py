@@ -14,22 +14,24 @@ from typing import NamedTuple
 _ID = r"[^\W\d][\w$]*"
 _TEXTS = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?|\"(?:[^\"\\\n]|\\[\s\S])*\"?"
 #: Per family: what is blanked, how definitions begin (kind by keyword), imports and exports.
-FAMILIES = {"js": "ecma", "jsx": "ecma", "mjs": "ecma", "cjs": "ecma", "ts": "ecma", "tsx": "ecma", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "c", "cc": "c", "hpp": "c"}
+FAMILIES = {"js": "ecma", "jsx": "ecma", "mjs": "ecma", "cjs": "ecma", "ts": "ecma", "tsx": "ecma", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "cs": "java", "php": "php"}
 _BLANK = {
     "ecma": _TEXTS + r"|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?|(?<=[=(,:;!&|?{}\[])[ \t]*/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/",
     "go": _TEXTS + r"|`[^`]*`?|'(?:[^'\\\n]|\\.)+'",
     "rust": _TEXTS + r"|r(#*)\"[\s\S]*?\"\1|'(?:[^'\\\n]|\\[^\n]{1,8})'",
     "java": r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\")?|" + _TEXTS + r"|'(?:[^'\\\n]|\\.)+'",
     "c": _TEXTS + r"|'(?:[^'\\\n]|\\.)+'",
+    "php": _TEXTS + r"|#[^\n]*|'(?:[^'\\]|\\[\s\S])*'?",
 }
 _HEAD = {
     "ecma": rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?P<c>class|interface|enum|namespace)\s+(?P<cn>{_ID})|(?:async\s+)?function\s*\*?\s*(?P<fn>{_ID})?|type\s+(?P<tn>{_ID})\b|(?:const|let|var)\s+(?P<vn>{_ID})[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^()]*\)[^=\n]*=>|{_ID}\s*=>))",
     "go": rf"func\s*(?:\([^()]*\)\s*)?(?P<fn>{_ID})|(?P<c>type)\s+(?P<cn>{_ID})\b",
     "rust": rf"(?:pub\s*(?:\([^()]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*(?:fn\s+(?P<fn>{_ID})|(?P<c>struct|enum|trait|union|mod)\s+(?P<cn>{_ID})|(?P<i>impl)\b[^{{;]*?(?P<in>{_ID})(?:<[^{{;]*>)?\s*(?:where[^{{;]*)?(?=\{{)|macro_rules!\s*(?P<mn>{_ID}))",
-    "java": rf"(?:@{_ID}(?:\([^()\n]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|sealed|strictfp)\s+)*(?P<c>class|interface|enum|record|@interface)\s+(?P<cn>{_ID})",
+    "java": rf"(?:@{_ID}(?:\([^()\n]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|sealed|strictfp|internal|partial)\s+)*(?P<c>class|interface|enum|record|struct|namespace|@interface)\s+(?P<cn>{_ID})",
+    "php": rf"(?:(?:abstract|final|readonly)\s+)*(?:(?P<c>class|interface|trait|enum)\s+(?P<cn>{_ID})|function\s+&?(?P<fn>{_ID}))",
     "c": rf"(?:template\s*<[^;{{}}]*>\s*)?(?:(?P<c>struct|class|enum|namespace)\s+(?P<cn>{_ID})[^;{{}}()=]*(?=\{{)|(?:[\w:*&<>,]+[\s*&]+)+(?P<fn>[\w:~]+)\s*\([^;{{}}]*\)[^;{{}}=]*(?=\{{))",
 }
-_IMPORT = {"ecma": r"^import\s[^;\n]*", "go": r"^import\s+(?:\"[^\"]*\"|\([^)]*\))", "rust": r"^(?:pub\s+)?(?:use|mod)\s[^;{]*;", "java": r"^import\s[^;\n]*;", "c": r"^#include\s[^\n]*"}
+_IMPORT = {"ecma": r"^import\s[^;\n]*", "go": r"^import\s+(?:\"[^\"]*\"|\([^)]*\))", "rust": r"^(?:pub\s+)?(?:use|mod)\s[^;{]*;", "java": r"^(?:import|using)\s[^;\n]*;", "php": r"^(?:use|require|include)(?:_once)?\b[^;\n]*;", "c": r"^#include\s[^\n]*"}
 _EXPORT = {"ecma": r"^export\s+(?:\*|\{)[^;\n]*"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 

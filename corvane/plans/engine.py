@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,12 @@ from . import render
 class Engine:
     """``files`` has ``path, mtime, content``; paths are relative to the root. ``store`` keeps the index."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository"):
-        self.spark, self.files, self.store, self.root = ship(spark), files.select("path", "mtime", "content"), Store(spark, store), root
+    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None):
+        self.spark, self.files, self.store, self.root, self.folder = ship(spark), files.select("path", "mtime", "content"), Store(spark, store), root, folder
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str, store: str) -> Engine:
-        return cls(spark, sources.read_tree(spark, folder), store, folder.rstrip("/").rpartition("/")[2])
+        return cls(spark, sources.read_tree(spark, folder), store, folder.rstrip("/").rpartition("/")[2], folder.rstrip("/"))
 
     # index
     def index(self, force: bool = False) -> dict:
@@ -95,6 +96,17 @@ class Engine:
         self.chunks()
         return self.store.read("edges")
 
+    def inside(self, path: str) -> str:
+        """``path`` relative to the root; one that leads out of it is refused."""
+        plain = posixpath.normpath(path)
+        if plain.startswith("/"):
+            if not self.folder or not plain.startswith(self.folder + "/"):
+                raise CorvaneError("INVALID_PATH", "the path is outside of the root", path=path)
+            plain = plain[len(self.folder) + 1 :]
+        if plain.startswith("../") or plain == "..":
+            raise CorvaneError("INVALID_PATH", "the path is outside of the root", path=path)
+        return plain
+
     def _start(self, path: str) -> DataFrame:
         if self.store.read("files").filter(F.col("path") == path).isEmpty():
             raise CorvaneError("FILE_NOT_FOUND", "no such file", path=path)
@@ -146,6 +158,7 @@ class Engine:
     # packing
     def pack(self, focus: str | None = None, query: str | None = None, *, max_files: int = 10, max_chunks: int = 20, max_tokens: int | None = None, min_score: float | None = None, import_depth: int = 1, offset: int = 0, chunk_mode: bool = False, skeleton: bool = False) -> dict:
         one_of(focus, query)
+        focus = self.inside(focus) if focus else None
         files = self.store.read("files") if self.chunks() is not None else None
         taken, used, reason, available = [], 0, None, 0
         w = Window.partitionBy(F.lit(0)).orderBy("rank")

@@ -58,7 +58,11 @@ def test_queries(engine):
 
 
 def test_packs(engine):
-    e, _ = engine
+    e, root = engine
+    assert e.inside(f"{root}/app/../app/x.py") == "app/x.py" and e.inside("./a/b") == "a/b"
+    for bad in ("/etc/passwd", "../x", "a/../../x"):
+        with pytest.raises(CorvaneError):
+            e.inside(bad)
     p = e.pack("app/main.py", "login password", chunk_mode=True, max_chunks=2)
     assert p["files"][0]["path"] == "app/main.py" and any(c["path"] == "app/login.py" for c in p["chunks"])
     assert not {c["path"] for c in p["chunks"]} & {f["path"] for f in p["files"]}

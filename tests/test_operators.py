@@ -243,6 +243,8 @@ BRACED = {
     "a.go": ('package p\nimport (\n\t"x"\n)\n\nfunc (s *T) F(a int) (int, error) {\n\tx := "}"\n\treturn a, nil\n}\n\ntype T struct {\n\ta int\n}\n', [("function", "F", 6, 9), ("class", "T", 11, 13)]),
     "a.rs": ("use a::b;\n\npub(crate) fn f<'a>(x: &'a str) -> u8 {\n    '}'\n}\nimpl<T> Tr for S<T> {\n    fn g() {\n        1\n    }\n}\nstruct U;\n", [("function", "f", 3, 5), ("class", "S", 6, 10), ("class", "U", 11, 11)]),
     "A.java": ("package p;\nimport a.B;\n\npublic class A {\n    @Override\n    public <T> int m(int x) throws E {\n        return \"}\".length();\n    }\n}\n", [("class", "A", 4, 9)]),
+    "a.cs": ("using System;\n\nnamespace N {\n  class A {\n    public int m(int x) {\n      return \"}\".length();\n    }\n  }\n}\n", [("class", "N", 3, 9)]),
+    "a.php": ("<?php\nuse A\\B;\n\nfunction f($a) {\n  return '}';\n}\nfinal class C {\n}\n", [("function", "f", 4, 6), ("class", "C", 7, 8)]),
     "a.c": ("#include <x.h>\n\nstatic int f(int a) {\n  return a;\n}\n", [("function", "f", 3, 5)]),
 }
 
