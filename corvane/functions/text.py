@@ -55,11 +55,15 @@ def affix_roots(tokens: Column) -> Column:
     return F.filter(both, lambda r: F.length(r) > 2)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def code_tokens(text: Column) -> Column:
     """The distinct tokens of a text: humps, raw words, their parts at dots and underscores, and roots."""
-    raw = raw_tokens(text)
-    plain = _clean(F.concat(humps(text), raw, _parts(raw, "_"), _parts(raw, ".")))
-    return F.array_distinct(F.concat(plain, affix_roots(plain)))
+    plain = _let(raw_tokens(text), lambda r: _clean(F.concat(humps(text), r, _parts(r, "_"), _parts(r, "."))))
+    return _let(plain, lambda p: F.array_distinct(F.concat(p, affix_roots(p))))
 
 
 def trigrams(text: Column) -> Column:

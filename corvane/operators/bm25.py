@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..errors import query_text
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, spread
 
 K1, B, DELTA = 1.5, 0.75, 0.5
 #: Rows of queries and their terms that are broadcast.
@@ -54,7 +54,7 @@ def score_all(corpus: DataFrame, tokens: Column, query: list[str], *, require_ov
     columns = keep or corpus.columns
     if not words:
         return corpus.select(*columns).limit(0).withColumn("score", F.lit(0.0))
-    held = corpus.select(*columns, tokens.alias("_t")).select(*columns, F.size("_t").alias("_dl"), F.array_intersect("_t", F.array(*map(F.lit, words))).alias("_hits"))
+    held = spread(corpus).select(*columns, tokens.alias("_t")).select(*columns, F.size("_t").alias("_dl"), F.array_intersect("_t", F.array(*map(F.lit, words))).alias("_hits"))
     held = cut(held.dropDuplicates([once]) if once else held)
     counts = held.agg(F.count("*"), F.avg("_dl"), *(F.count_if(F.array_contains("_hits", w)) for w in words)).first()
     n, average, dfs = counts[0], counts[1], dict(zip(words, counts[2:]))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import bm25, chunking, delta, graph, grep, outline, pack, probe
+from ..session import spread
 from ..sources import files as sources
 from . import sql
 
@@ -60,7 +61,7 @@ def tokenize_affix(s, d):
 
 
 def code_tokens(s, d):
-    return collected(s, d).select("id", F.explode(X.code_tokens(F.col("content"))).alias("token")).distinct()
+    return spread(collected(s, d)).select("id", F.explode(X.code_tokens(F.col("content"))).alias("token")).distinct()
 
 
 def content_dedup(s, d):
@@ -146,7 +147,7 @@ def search_chunks(s, d):
 
 
 def bm25_batch(s, d):
-    posting = bm25.postings(_docs(s, d), "doc_id", raw(F.col("text")))
+    posting = bm25.postings(spread(_docs(s, d)), "doc_id", raw(F.col("text")))
     n, average = _docs(s, d).agg(F.count("*"), F.avg(F.size(raw(F.col("text"))))).first()
     q = _t(s, d, "eval_items").filter("text is not null").select(F.col("item_id").alias("qid"), F.explode(raw(F.col("text"))).alias("term"))
     return bm25.search_many(posting, n, average or 1.0, q, "doc_id", 3).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -159,7 +160,7 @@ def trigram_stats(s, d):
 
 
 def document_trigrams(s, d):
-    return _docs(s, d).select(F.explode(X.trigrams(F.col("text"))).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("documents"))
+    return spread(_docs(s, d)).select(F.explode(X.trigrams(F.col("text"))).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("documents"))
 
 
 def trigram_candidates(s, d):
@@ -319,7 +320,7 @@ def coverage(s, d):
 
 # symbols, maps
 def symbols_missing(s, d):
-    return probe.symbols(scanned(s, d).filter("content is not null"), "path").distinct()
+    return probe.symbols(spread(scanned(s, d)).filter("content is not null"), "path").distinct()
 
 
 def symbols_defined(s, d):
@@ -328,7 +329,7 @@ def symbols_defined(s, d):
 
 def probe_best(s, d):
     common = symbols_missing(s, d).groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "symbol").limit(20)
-    found = probe.best(chunks(s, d), [r[0] for r in common.collect()])
+    found = probe.best(collected(s, d), [r[0] for r in common.collect()])
     return found.select("symbol", "id", F.round("score", 6).alias("score"))
 
 

@@ -61,6 +61,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all of them; any other as it is. So small
+    input, such as one file, doesn't leave a costly step to one task, and large input isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        held = df._jdf.queryExecution().toRdd().getNumPartitions()
+    except Exception:  # no classic DataFrame
+        return df
+    return df.repartition(cores) if 0 < held < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
