@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut, partitions
 
 #: Tokens of a window, buckets of lengths, and where the public vocabulary lies.
-CAPACITY, BUCKETS, VOCABULARY = 2048, 128, "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CAPACITY, BUCKETS, VOCABULARY = 2048, 512, "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters handed to the tokenizer at once; longer texts are cut at white space.
 PART = 100_000
 #: How the vocabulary's texts fall into words before byte pairs merge (a fixed value of the vocabulary).
