@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -42,22 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended before us
-        pass
+def _leave_no_trace(spark: SparkSession, path: str) -> None:
+    """``path`` goes when the driver's JVM ends, however that comes about short of a kill."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs neither repeat
     its work nor depend on executors that may be lost. The table goes with the session."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _leave_no_trace(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
