@@ -84,7 +84,8 @@ _W = rf"{_U}(?:-{_U})*(?!\w)"
 _B = r"(?:,[ ]?|[ ])"
 _NL = r"(?:[ ]|[ ]?\r?\n[ \t]*)"
 _UNIT = rf"(?:flat|apt|apartment|unit|suite|ste|room|floor|appt|bât|esc|piso|whg){_NL}?\.?{_NL}?#?\w{{1,5}}"
-_TYPES = r"(?:street|st|road|rd|lane|ln|avenue|ave|row|close|court|ct|drive|dr|boulevard|blvd|way|place|pl|terrace|square|sq|hill|park|gardens|crescent|cres|mews|parade|walk|quay|wharf|highway|hwy|circle|trail|grove|green|yard|gate|rise|view)\b\.?"
+_STREETS = "street st road rd lane ln avenue ave row close court ct drive dr boulevard blvd way place pl terrace square sq hill park gardens crescent cres mews parade walk quay wharf highway hwy circle trail grove green yard gate rise view".split()
+_TYPES = rf"(?:{'|'.join(_STREETS)})\b\.?"
 _PART = r"(?:de|del|della|des|du|la|las|le|les|los|am|an|auf|bei|der|dem|den|im|in|sur|sous|en|upon|on|of|the|el|y|et|und)"
 _TOWN = rf"{_W}(?:[ ](?:{_PART}[ ]){{0,2}}{_W}){{0,3}}"
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2}\b"
@@ -106,7 +107,7 @@ _INVERTED = re.compile(rf"(?<![\w@/.-])({_FAMILY}),{_N}({_INITIAL}|{_W})(?:{_N}{
 @cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT)):
+    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT), ("street", [f" {w}" for w in _STREETS])):
         for cue in cues:
             if cue.strip():
                 a.add_word(cue, (kind, len(cue)))
@@ -221,7 +222,6 @@ def _numbers(text: str, cues: list[tuple[int, str]], found: Found) -> None:
 
 
 _POSTAL = re.compile(r"(?<!\w)\d{5}(?!\w)")
-_STREET = re.compile(rf"[^\W\d_][ ](?i:{_TYPES})")
 
 
 def _line(text: str, at: int) -> int:
@@ -231,9 +231,9 @@ def _line(text: str, at: int) -> int:
     return at
 
 
-def _addresses(text: str, found: Found) -> None:
+def _addresses(text: str, streets: list[tuple[int, int]], found: Found) -> None:
     postal = _windows((m.span() for m in _POSTAL.finditer(text)), 160, 100, len(text))
-    streets = _windows((m.span() for m in _STREET.finditer(text)), 90, 160, len(text))
+    streets = _windows(iter(streets), 90, 160, len(text))
     for p in (_SPANISH, _FRENCH, _ENGLISH, _GERMAN):
         for m in (m for low, high in (streets if p is _ENGLISH else postal) for m in p.finditer(text, _line(text, low), high)):
             value = m[0]
@@ -313,18 +313,21 @@ _PREPOSITION = re.compile(r"(?:von|de|di|du|del|da)[ ]")
 def mentions(text: str, given, families) -> list[tuple[int, int, str]]:
     """Begin, end and type of each mention, in order."""
     found = Found(text)
-    at, cues, last = [], [], {}
+    at, streets, last = [], [], {}
     low = _fold(text)
     for end, (kind, size) in _automaton().iter(low):
         begin = end - size + 1
         if kind == "at":
             at.append(begin)
+        elif kind == "street":
+            if not low[end + 1 : end + 2].isalnum():
+                streets.append((begin, end + 1))
         elif begin == 0 or not low[begin - 1].isalnum():
             last[(begin, kind)] = end + 1
     cues = sorted((end, kind) for (_, kind), end in last.items())
     _emails(text, at, found)
     _numbers(text, cues, found)
-    _addresses(text, found)
+    _addresses(text, sorted(streets), found)
     _persons(text, given, families, found)
     return sorted(found.spans)
 
