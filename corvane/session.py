@@ -62,7 +62,10 @@ def spread(df: DataFrame) -> DataFrame:
     input, such as one file, doesn't leave a costly step to one task, and large input isn't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     try:
-        held = df._jdf.queryExecution().toRdd().getNumPartitions()
+        plan = df._jdf.queryExecution()
+        if "Exchange" in plan.executedPlan().toString():  # partitioned anew already
+            return df
+        held = plan.toRdd().getNumPartitions()
     except Exception:  # no classic DataFrame
         return df
     return df.repartition(cores) if 0 < held < cores else df
