@@ -75,7 +75,7 @@ class Lexer(dict):
     def other(self, token: str) -> str:
         c = token[0]
         if c in "\"'":
-            return STRING
+            return STRING if len(token) > 1 else BAD
         if c.isdigit() or c == "." and token[1:2].isdigit():
             return NUMBER
         return BAD

@@ -22,7 +22,7 @@ class JavaLexer(Lexer):
 
 LEXER = JavaLexer(
     r"(?:\s+|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|\x1a\Z)*+([^\W\d][\w$]*|\$[\w$]*|"
-    r'"""[ \t\f]*\r?\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|"(?:[^"\\\r\n]|\\.)*"|' + r"'(?:[^'\\\r\n]|\\(?:[btnfrs0\"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'|"
+    r'"""[ \t\f]*\r?\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|"(?!"")(?:[^"\\\r\n]|\\.)*"|' + r"'(?:[^'\\\r\n]|\\(?:[btnfrs0\"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'|"
     r"(?:0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w)|"
     r"<<=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[=!<>+\-*/%&|^]=|\S|\Z)",
     f"{_KEYWORDS} {_SOFT} {_OPS}",

@@ -11,9 +11,9 @@ _F = r"(?:[fFtT][rR]?|[rR][fFtT])"
 _P = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
 _STRINGS = "|".join([
     rf'{_F}"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', rf"{_F}'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''",
-    rf'{_F}"(?:[^"\\\n{{]|\\[\s\S]|\{{\{{|{_FIELD})*"', rf"{_F}'(?:[^'\\\n{{]|\\[\s\S]|\{{\{{|{_FIELD})*'",
+    rf'{_F}"(?!"")(?:[^"\\\n{{]|\\[\s\S]|\{{\{{|{_FIELD})*"', rf"{_F}'(?!'')(?:[^'\\\n{{]|\\[\s\S]|\{{\{{|{_FIELD})*'",
     rf'{_P}"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', rf"{_P}'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''",
-    rf'{_P}"(?:[^"\\\r\n]|\\\r\n|\\[\s\S])*"', rf"{_P}'(?:[^'\\\r\n]|\\\r\n|\\[\s\S])*'",
+    rf'{_P}"(?!"")(?:[^"\\\r\n]|\\\r\n|\\[\s\S])*"', rf"{_P}'(?!'')(?:[^'\\\r\n]|\\\r\n|\\[\s\S])*'",
 ])
 _NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
 
@@ -416,7 +416,7 @@ class Line(Parser):
         elif word in ("def", "class"):
             self.name()
             if self.take("["):
-                self.listed(self.type_parameter, "]")
+                self.type_parameters()
             if word == "def":
                 self.need("(")
                 self.parameters(")")
@@ -430,6 +430,11 @@ class Line(Parser):
     def decorated(self):
         raise _Decorator
 
+    def type_parameters(self) -> None:
+        if self.at("]"):
+            self.fail("type parameter expected")
+        self.listed(self.type_parameter, "]")
+
     def type_parameter(self) -> None:
         if self.at("*", "**"):
             self.next()
@@ -570,7 +575,7 @@ class Line(Parser):
         self.next()
         self.name()
         if self.take("["):
-            self.listed(self.type_parameter, "]")
+            self.type_parameters()
         self.need("=")
         self.test()
 
@@ -645,22 +650,31 @@ def _of(line: str) -> tuple[str | None, int, str]:
 
 
 def _fields(token: str) -> bool:
-    """Whether the replacement fields of an f-string hold expressions."""
+    """Whether the replacement fields of an f-string are well formed."""
+    body = token[2 if token[1] in "\"'" or token[1:2].isalpha() else 1 :]
+    if not any(q in body.strip("\"'") for q in "\"'") and set("{}") & set(_FIELDS.sub("", body)):
+        return False  # a brace that belongs to no field
     for m in _FIELDS.finditer(token):
         inner = m[1]
         if inner is None:
             continue
         tokens, s = LEXER.lex(inner)
-        s = "".join(k for k, t in zip(s, tokens) if t.strip())
-        p = Line(s)
+        kept = [(k, t) for k, t in zip(s, tokens) if t.strip()]
+        p = Line("".join(k for k, _ in kept))
         try:
-            if p.at("yield"):
-                continue
-            p.exprs()
+            if not p.at("yield"):
+                p.exprs()
+                rest = [t for _, t in kept[p.p :]]
+                if rest[:1] == ["="]:
+                    rest = rest[1:]
+                if rest[:1] == ["!"]:
+                    if rest[1:2] not in (["r"], ["s"], ["a"]):
+                        return False
+                    rest = rest[2:]
+                if rest and rest[0][0] != ":" and not (rest[0] == "!=" or "!=" in inner):
+                    return False
         except SyntaxFault:
             return False
-        if p.t != END and not (p.at("=", ":") or "!" in inner or "!=" in inner):
-            return False
     return True
 
 

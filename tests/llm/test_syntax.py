@@ -56,12 +56,12 @@ GOOD = {
 }
 
 BAD = {
-    "python": ["def f(:\n  pass", "x = ", "if a:\nb", "  x = 1", "a = (1\nb = 2", "print 'x' y", "else:\n  pass", "x = 'abc", "for x in:\n  pass", "def f(a=1, b): pass", "f() = 1", "a b", "class A\n  pass", "try:\n  x\ny", "f(a=1, 2)", "<<<<<<< HEAD\nx = 1", "return )", "import", "x = [1, 2", "if x = 1: pass", "@d\nx = 1", "lambda x: = 2", "f'{a b}'", "a = 5d53", "x = 1 +", "def f():\n\tx\n        y\n    z", "1 = x", "not = 3", "a +* b", "x is", "{1, 2: 3}", "del f()", "with a as f(): pass", "match x:\n  pass", "package a;", "case 1:\n  pass"],
+    "python": ["def f(:\n  pass", "x = ", "if a:\nb", "  x = 1", "a = (1\nb = 2", "print 'x' y", "else:\n  pass", "x = 'abc", "for x in:\n  pass", "def f(a=1, b): pass", "f() = 1", "a b", "class A\n  pass", "try:\n  x\ny", "f(a=1, 2)", "<<<<<<< HEAD\nx = 1", "return )", "import", "x = [1, 2", "if x = 1: pass", "@d\nx = 1", "lambda x: = 2", "f'{a b}'", "a = 5d53", "x = 1 +", "def f():\n\tx\n        y\n    z", "1 = x", "not = 3", "a +* b", "x is", "{1, 2: 3}", "del f()", "with a as f(): pass", "match x:\n  pass", "package a;", "case 1:\n  pass", "x = 1\ny = '\n", 'f(")\nx = 1', 'x = """abc"" = 1', "type X[] = int", "f'{a!x}'", "f'{a}}'", "f'{}'"],
     "javascript": ["let x = ;", "function f( { }", "if (a { }", "const x;", "{ a: 1, b: 2 }", "class A { foo }}", "return 1", "a b", "x = 'abc", "for (let i = 0; i < 3 { }", "<<<<<<< ours\na", "import { a } from", "f() = 1", "const a = [1, 2", "try { }", "else { }", "switch (a) { foo(); }", "var 1a = 2", "`abc", "package a;", "<!doctype html>", "export foo", "break", "a => { ", "x = {a: 1 b: 2}", "new", "-a ** 2", "let a: number = 1"],
     "typescript": ["let x: = 1", "interface A { a: }", "type A", "function f(a: string { }", "enum { A }", "class A { private }{", "let x: Array<string = 1", "const f = (a: ) => 1", "abstract foo", "import os\nimport logging", "=======\n", "let a: string = ;"],
     "go": ["package", "func f() {}", "package p\nfunc f( { }", "package p\nfunc f() { x := }", "package p\nfunc f() { if x { }", "package p\nx := 1", "package p\nfunc f() { for i := 0; i < 3 { } }", "package p\nvar a = [3]int{1, 2", "package p\nfunc f() { return 1 +\n}", 'package p\nvar s = "abc\n', "package p\nfunc f() { a b }", "package p\nfunc f() { if x\n{ } }", "package p\nfunc f() { g(1,\n2\n) }", "package p\nfunc f() {}\n}", "package p\n<<<<<<< HEAD\n", "package p\nfunc f() { go x }"],
     "rust": ["fn f( {}", "fn f() { let x = ; }", "let x = 1;", "fn f() { if x { }", "struct A { a u8 }", "fn f() { a b }", "fn f() { x = 1 }}", "use a::;", "fn f() -> { }", 'fn f() { let s = "abc; }', "impl { }", "enum E { A B }", "fn f() { match x { 1 = 2 } }", "fn f() { g(1, 2 }", "<<<<<<< HEAD", "fn f() { let 1x = 2; }", "fn f() { foo!( }", "import os", "fn f() { for x y { } }", "fn f() { 'a }"],
-    "java": ["class A { void f( { } }", "class A { int x = ; }", "class A {", "class A { void f() { int = 3; } }", "class A { void f() { a b c; } }", "class A { void f() { x } }", "class { }", "package a", "class A { } }", 'class A { String s = "abc; }', "class A { void f() { if x { } } }", "class A { void f() { for (int i = 0; i < 3) { } } }", "class A { void f() { 1 + 2; } }", "class A { void f() { else { } } }", "class A { void f() { try { } } }", "def f(): pass", "class A { f() }", "class A { void f() { f() = 1; } }", "class A { int f() { return 1 + ; } }"],
+    "java": ["class A { void f( { } }", "class A { int x = ; }", "class A {", "class A { void f() { int = 3; } }", "class A { void f() { a b c; } }", "class A { void f() { x } }", "class { }", "package a", "class A { } }", 'class A { String s = "abc; }', "class A { void f() { if x { } } }", "class A { void f() { for (int i = 0; i < 3) { } } }", "class A { void f() { 1 + 2; } }", "class A { void f() { else { } } }", "class A { void f() { try { } } }", "def f(): pass", "class A { f() }", "class A { void f() { f() = 1; } }", "class A { int f() { return 1 + ; } }", 'class A { String s = """ + 1; }', "class A { char c = \"; }"],
     "json": ["{", '{"a": 1,}', "[1 2]", "{'a': 1}", "", '{"a" 1}', "[1,]", "01", "{} {}", '"a\nb"', "// c\n{}", "nul", '{"a": .5}', '{"a": undefined}', '"\\x"'],
 }
 
