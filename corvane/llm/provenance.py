@@ -2,7 +2,7 @@
 
 Each file is read once. Its path, the notices in the comments it opens or closes with, and the
 composition of its tokens give a verdict; the hashes of its lines go to an inverted index. In this
-index lines that few contents hold lead from undecided files to third-party files of other
+index the lines that the fewest contents hold lead from undecided files to third-party files of other
 repositories, and the containment of their lines is then computed exactly: an edited copy that has
 lost its notice. Exact copies of a content are one entry of the index, so they multiply nothing.
 """
@@ -15,15 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .docpairs import FAMILIES, blanked
 
-#: A line is rare that at most so many distinct contents hold; a file is a copy that has this share of its lines in another.
+#: A line is rare that at most so many distinct contents hold (this sets the cost, not the result); a file is a copy that has this share of its lines in another.
 RARE, CONTAINED = 20, 0.8
-#: Contents that ask for one line in one task.
+#: Contents that ask for one line, or pairs that it leads to, in one task.
 HOT = 500_000
 #: Shares of a file's code from which it is minified (code on lines longer than LONG) or data (literals).
 LONG, MINIFIED, DATA = 200, 0.5, 0.8
@@ -165,36 +165,50 @@ def provenance(files: DataFrame) -> DataFrame:
     return joined.select("file_id", "repo", "path", reason.alias("reason"), evidence.alias("evidence"), "containment", "source")
 
 
-def _salted(looked_up: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with a ``salt``: a line that more than HOT contents ask for, such as a licence, is asked for in
-    several parts. Such lines are fewer than the rows divided by HOT, which bounds what is broadcast."""
-    hot = cut(looked_up.groupBy("line").count().filter(F.col("count") > HOT).select("line", F.ceil(F.col("count") / HOT).cast("int").alias("salts")))
+def _salted(asked: DataFrame, held: DataFrame, weight) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``salt``: a line, such as one of a licence, whose rows of ``asked`` weigh more than HOT is asked for in
+    several parts. Such lines are fewer than the weight of all rows divided by HOT, which bounds what is broadcast."""
+    parts = F.least(F.count("*"), F.ceil(weight / HOT)).cast("int")
+    hot = cut(asked.groupBy("line").agg(weight.alias("weight"), parts.alias("salts")).filter(F.col("weight") > HOT).select("line", "salts"))
     if hot.isEmpty():
-        return looked_up.withColumn("salt", F.lit(0)), held.withColumn("salt", F.lit(0))
+        return asked.withColumn("salt", F.lit(0)), held.withColumn("salt", F.lit(0))
     n = F.coalesce("salts", F.lit(1))
-    asked = looked_up.join(F.broadcast(hot), "line", "left").withColumn("salt", F.pmod(F.xxhash64("content_id"), n).cast("int")).drop("salts")
+    asked = asked.join(F.broadcast(hot), "line", "left").withColumn("salt", F.pmod(F.xxhash64("content_id"), n).cast("int")).drop("salts")
     return asked, held.join(F.broadcast(hot), "line", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
 
 
+def _hits(contents: DataFrame, first, df: DataFrame) -> DataFrame:
+    """``line, content_id, n, lacks, df``: of the ``first`` lines of each content those that third-party contents hold."""
+    lacks = F.floor(F.size("lines") * F.lit(1 - CONTAINED) + 1e-9).cast("int")
+    asked = contents.select(F.explode(F.slice("lines", F.lit(1), first(lacks))).alias("line"), "content_id", F.size("lines").alias("n"), lacks.alias("lacks")).distinct()
+    asked, df = _salted(asked, df, F.count("*"))
+    return asked.join(df, ["line", "salt"]).drop("salt")
+
+
 def copies(read: DataFrame) -> DataFrame:
     """``content_id, containment, source`` of undecided contents that copy a third-party one from another repository.
 
     A content of n lines that has CONTAINED of them in another lacks few: among any m of its lines it
-    shares m less those. So only the first lines by hash are looked up, twice as many as it may
-    lack, and a pair needs half of them: in rare lines, or in lines that more than RARE third-party
-    contents hold, which count for any source. This loses no pair that has a rare line among them.
+    shares m less those. So the first lines by hash are looked up, twice as many as it may lack, and a content
+    of which fewer than half are held by third parties is no copy. Of the others all lines are looked up and
+    put in order, those first that the fewest third-party contents hold: a source that holds enough of them holds one
+    of the first, however many hold it (prefix filter), so no pair is lost. Lines that at most RARE hold lead to
+    their sources too, since each that a source must share makes the pairs fewer.
     """
     third, undecided = read.filter("reason = 'vendored'"), read.filter("reason is null")
     held = third.select(F.explode("lines").alias("line"), F.col("content_id").alias("source"), F.size("lines").alias("m")).distinct()
-    lacks = F.floor(F.size("lines") * F.lit(1 - CONTAINED) + 1e-9).cast("int")
-    needed = F.greatest(lacks, F.lit(1))
-    looked_up = undecided.select(F.explode(F.slice("lines", F.lit(1), lacks + needed)).alias("line"), "content_id", needed.alias("needed"), F.size("lines").alias("n")).distinct()
-    looked_up, held = _salted(looked_up, held)
-    hits = looked_up.join(held.groupBy("line", "salt").agg(F.count("*").alias("df")), ["line", "salt"])
-    common = hits.filter(F.col("df") > RARE).groupBy("content_id").agg(F.count("*").alias("common"))
-    rare = hits.filter(F.col("df") <= RARE).join(held, ["line", "salt"]).filter(F.col("m") >= F.col("n") * CONTAINED)
-    shared = rare.groupBy("content_id", "source", "needed").agg(F.count("*").alias("shared")).join(common, "content_id", "left")
-    pairs = cut(shared.filter(F.col("shared") + F.coalesce("common", F.lit(0)) >= F.col("needed")).select("content_id", "source"))
+    df = held.groupBy("line").agg(F.count("*").alias("df"))
+    tried = _hits(undecided, lambda lacks: lacks + F.greatest(lacks, F.lit(1)), df).groupBy("content_id").agg(F.count("*").alias("met"), F.first("lacks").alias("lacks"))
+    likely = cut(tried.filter(F.col("met") >= F.greatest("lacks", F.lit(1))).select("content_id"))
+    hits = _hits(undecided.join(likely, "content_id", "left_semi"), lambda lacks: F.size("lines"), df)
+    of_content = Window.partitionBy("content_id")
+    ranked = hits.withColumns({"met": F.count("*").over(of_content), "nth": F.row_number().over(of_content.orderBy("df", "line"))}).withColumn("needed", F.col("n") - F.col("lacks"))
+    leads = ranked.filter((F.col("met") >= F.col("needed")) & ((F.col("nth") <= F.col("met") - F.col("needed") + 1) | (F.col("df") <= RARE)))
+    # what a source must share of the leading lines if it holds all the others
+    leads = cut(leads.withColumn("least", F.col("needed") - F.col("met") + F.count("*").over(of_content)).select("line", "content_id", "n", "least", "df"))
+    asked, offered = _salted(leads, held, F.sum("df"))
+    shared = asked.join(offered, ["line", "salt"]).filter(F.col("m") >= F.col("n") * CONTAINED).groupBy("content_id", "source", "least").agg(F.count("*").alias("shared"))
+    pairs = cut(shared.filter(F.col("shared") >= F.col("least")).select("content_id", "source"))
     repos = [F.min("repo"), F.max("repo")]
     # a content in one repository only can't have come from that same repository
     of = undecided.join(pairs.select("content_id").distinct(), "content_id", "left_semi").groupBy("content_id").agg(F.first("lines").alias("own"), *(r.alias(n) for r, n in zip(repos, "az")))

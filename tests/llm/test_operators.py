@@ -142,6 +142,21 @@ def test_edited_copies(spark, monkeypatch, hot):
     assert provenance.provenance(files.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [500_000, 1])
+def test_copies_of_what_many_hold(spark, monkeypatch, hot):
+    monkeypatch.setattr(provenance, "HOT", hot)
+    body = "".join(f"def function_number_{i}(a, b):\n    return a * {i} + b ** {i + 1}\n\n\n" for i in range(0, 40, 2))
+    versions = [(i, f"v{i}", f"v{i}/vendor/lib/a.py", body + f"RELEASED_AS = 'version {i}'\n") for i in range(provenance.RARE + 5)]
+    # the licence is common too, but makes no copy of what holds little else
+    licence = "".join(f"# a line of the licence that everyone has, number {i}\n" for i in range(30))
+    versions += [(200 + i, f"w{i}", f"w{i}/vendor/lib/b.py", licence + f"A_NAME_OF_LIBRARY = {i}\n") for i in range(provenance.RARE + 5)]
+    copy = "# Copyright the other authors\n" + body.replace("a * 6 +", "a - 6 +")
+    files = spark.createDataFrame([*versions, (100, "r1", "r1/src/c.py", copy), (101, "r1", "r1/src/d.py", licence + HAND * 3 + "".join(f"own_name_{i} = {i}\n" for i in range(20)))], "file_id long, repo string, path string, content string")
+    got = {r.file_id: r for r in provenance.provenance(files).collect()}
+    assert got[100].reason == "vendored" and got[100].containment > 0.9
+    assert got[101].reason is None and got[101].containment is None
+
+
 # 5: splitting
 def check_pieces(text, pieces, limit=800, overlap=160):
     assert "".join(p[0] for p in pieces) == text
