@@ -2,9 +2,10 @@
 
 Spaced-seed hashing: masks of fixed positions, each within a window of a few words, are hashed at
 every word of items and documents alike; positions a mask leaves out may differ. Documents meet the
-items' hashes in a sorted table, of which a worker holds a block of bounded size at a time, and every
-hit is extended both ways, over substituted words, and verified. A run of equal words as long as a
-window matches every mask, so none is missed.
+items' hashes in a sorted table, of which a worker holds a block of bounded size at a time. Hits that
+lie in a window of which all but a few words are equal are extended both ways, over substituted words,
+and verified. Whichever words of a window are the substituted ones, one of the masks fits in between
+somewhere, so none is missed.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 #: Words in a row that make a leak, and words of which all but a few may be substituted ones.
 RUN, SUBSTITUTED = 12, 3
-#: Positions of a window of RUN words that each mask compares.
-MASKS = ((0, 1, 2, 4, 5, 7, 8, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 3, 4, 6, 8, 9, 11))
+#: Words that each mask compares: of the 220 ways to substitute SUBSTITUTED of RUN words each leaves one of them somewhere.
+MASKS = ((0, 1, 2, 4), (0, 2, 3, 4))
 #: Words of items a worker holds at once; more are gone through in blocks.
 BLOCK = 2_000_000
-#: Words of documents looked up at once.
+#: Words of documents looked up at once, and hits looked at at once.
 PART = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -67,22 +68,27 @@ class Index:
             self.tables.append((mask, h[order], order))
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Pairs (position in ``ids``, position in the items) at which a seed of both is equal."""
+        """Pairs (position in ``ids``, position in the items) at which a seed of both is equal, in a window that holds enough equal words."""
         found = []
+        mine, theirs = np.pad(ids, RUN), np.pad(self.words, RUN)
         for mask, table, order in self.tables:
             h = seeds(ids, mask)
-            low, high = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            n = np.where(h > 0, high - low, 0)
-            at = np.flatnonzero(n)
-            if len(at):
-                n = n[at]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([np.repeat(at, n), order[np.repeat(low[at], n) + step]], 1))
+            at = np.flatnonzero(h)
+            low, high = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
+            met = high > low
+            at, low, n = at[met], low[met], (high - low)[met]
+            part = np.cumsum(n) // PART
+            for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                if len(k):
+                    step = np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                    d, q = np.repeat(at[k], n[k]), order[np.repeat(low[k], n[k]) + step]
+                    close = _close(mine, theirs, d, q, mask[-1])
+                    found.append(np.stack([d[close], q[close]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def leaks(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """Per text and item that share a passage: which, the longest run of equal words, the longest overlap with
-        substituted words, and where that begins. All texts are looked up at once, apart from each other."""
+        """Per text and item that share a passage: which, the longest run of equal words and the longest overlap with
+        substituted words of any alignment, and where that begins. All texts are looked up at once, apart from each other."""
         gap = np.zeros(RUN, np.int64)
         line = np.concatenate([x for t in texts for x in (t, gap)])
         starts = np.cumsum([0, *(len(t) + RUN for t in texts)])
@@ -102,11 +108,24 @@ class Index:
             run, overlap, begin = _longest((mine == self.words[q + low : q + high]) & (mine > 0))
             reached[diagonal] = d + high
             old = best.get((k, item), (0, 0, 0))
-            if (run, overlap) > old[:2]:
-                best[k, item] = (run, max(overlap, old[1]), d + low + begin)
+            longer = overlap > old[1] or (k, item) not in best
+            best[k, item] = (max(run, old[0]), max(overlap, old[1]), d + low + begin if longer else old[2])
         return ((k, item, *x) for (k, item), x in best.items())
 
 
+def _close(mine: np.ndarray, theirs: np.ndarray, d: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
+    """Whether a window of RUN words around a seed at ``d`` and ``q`` has at most SUBSTITUTED others; both are padded by RUN."""
+    equal, close, kept = np.zeros(len(d), np.int8), np.zeros(len(d), bool), []
+    for k in range(span + 1, RUN + RUN):
+        w = mine[d + k]
+        kept.append((w == theirs[q + k]) & (w > 0))
+        equal += kept[-1]
+        if len(kept) > RUN:
+            equal -= kept[-RUN - 1]
+        close |= equal >= RUN - SUBSTITUTED
+    return close
+
+
 def _longest(same: np.ndarray) -> tuple[int, int, int]:
     """The longest run of equal words; the longest stretch of windows of RUN words with at most SUBSTITUTED others."""
     edge = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
@@ -144,8 +163,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, run, overlap, at_word`` for every document and item that share a passage.
 
-    ``run`` counts equal words in a row; ``overlap`` the words of the longest stretch in which any RUN
-    words have at most SUBSTITUTED others. A pair is listed if either reaches RUN. Texts that are null,
+    ``overlap`` counts the words of the longest stretch in which any RUN words have at most SUBSTITUTED
+    others; ``run`` equal words in a row, where both are aligned so that there is such a stretch. A pair is listed
+    if ``overlap`` reaches RUN, as it does where ``run`` does. Texts that are null,
     empty or shorter have no passage. Items with the same text are found one by one, a document twice
     delivered gives one row. Without items there are no rows. Of ``items``, the driver and each
     worker hold a block of at most BLOCK words and one item; a larger set is gone through block by block.

@@ -1,8 +1,10 @@
 import glob
+import itertools
 import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,6 +308,35 @@ def test_leaks(spark, monkeypatch, block):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+def test_every_substitution_is_met():
+    words = [f"w{i}" for i in range(12)]
+    index = leakage.Index([(7, words)])
+    ids = [index.vocabulary[w] for w in words]
+    for gone in [c for n in (1, 2, 3) for c in itertools.combinations(range(12), n)]:
+        text = np.array([0, 0, *(0 if i in gone else w for i, w in enumerate(ids)), 0], np.int64)
+        assert [x[3:] for x in index.leaks([text])] == [(12, 2)], gone
+    for gone in itertools.combinations(range(12), 4):
+        assert not list(index.leaks([np.array([0 if i in gone else w for i, w in enumerate(ids)], np.int64)]))
+
+
+def test_every_fourth_word_substituted():
+    for phase in range(4):
+        words = [f"w{i}" for i in range(40)]
+        index = leakage.Index([(7, words)])
+        text = np.array([0 if i % 4 == phase else index.vocabulary[w] for i, w in enumerate(words)], np.int64)
+        assert list(index.leaks([text])) == [(0, 0, 3, 40, 0)]
+
+
+def test_the_longest_overlap_of_any_alignment():
+    words = [f"w{i}" for i in range(60)]
+    index = leakage.Index([(7, words)])
+    ids = [index.vocabulary[w] for w in words]
+    # first eight of twelve words and one before them, with a longer run of equal words; then nine of twelve
+    less, enough = [ids[19], *(0 if i in (3, 6, 9, 10) else w for i, w in enumerate(ids[20:32]))], [0 if i in (3, 6, 10) else w for i, w in enumerate(ids[40:52])]
+    text = np.array([*less, *[0] * 12, *enough], np.int64)
+    assert [x[3:] for x in index.leaks([text])] == [(12, 25)]
+
+
 # 8: personal information
 TEXTS = [
     ("Contact: jane.doe+x@mail.acme.example.org.", [("email", "jane.doe+x@mail.acme.example.org")]),
