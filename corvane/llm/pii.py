@@ -179,8 +179,8 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-#: Digits with at most a few signs between them; fewer than six are no number of interest.
-_RUN = re.compile(r"\d(?:[\s().\-/\u00a0\u2007\u2009\u202f\u2011\u2013A-Z]{0,4}\d){5,}")
+#: A stretch of all that the patterns of numbers may read, from what may stand before the first digit; with fewer than six digits it holds no number of interest.
+_STRETCH = re.compile(rf"(?:\+{_S}?|\(|[A-Z]{{1,2}}{_S}?|[XYZ]-)?\d(?:(?i:extension|ext|durchwahl|dw|poste|int\.|x)|[\d\s().,:\-/+\u2011\u2013A-Z])*+")
 
 
 def _windows(spans: Iterator[tuple[int, int]], before: int, after: int, size: int) -> list[tuple[int, int]]:
@@ -196,7 +196,8 @@ def _windows(spans: Iterator[tuple[int, int]], before: int, after: int, size: in
 
 
 def _numbers(text: str, cues: list[tuple[int, str]], found: Found) -> None:
-    near = _windows((m.span() for m in _RUN.finditer(text)), 8, 24, len(text))
+    # a pattern looks at two characters behind what it reads
+    near = _windows((m.span() for m in _STRETCH.finditer(text) if _digits(m[0]) >= 6), 0, 2, len(text))
     if not near:
         return
     for p in _IDS:

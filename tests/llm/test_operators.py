@@ -364,6 +364,20 @@ def test_mentions(text, want):
     assert all(v not in red for _, v in want) and sum(red.count(p) for p in pii.PLACEHOLDERS.values()) == len(want)
 
 
+@pytest.mark.parametrize("text", ["+49 30\n        1234567", "+1 212\n            555 0144", "\n    +44 20\n        7946 0958 more", "+1 212\r\n      555 0144", "+\n                44 20 7946 0958", "(212) 555-0144,\n                  ext. 71 more"])
+def test_numbers_over_indented_lines(text):
+    assert [(k, text[s:e]) for s, e, k in pii.mentions(text, GIVEN, FAMILIES)] == [("phone", text.strip().removesuffix(" more"))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"0123456789", "12", "345", "6789", " ", "\n      ", "\r\n     ", "-", ".", "/", "(", ")", "(0)", "+", "+44", "A", "XY", "a", ",", ":", " ext. ", "x", "Durchwahl "]), max_size=30).map("".join))
+def test_no_pattern_reads_beyond_a_stretch(text):
+    spans = [m.span() for m in pii._STRETCH.finditer(text) if pii._digits(m[0]) >= 6]
+    for p in [*pii._IDS, *pii._PHONES]:
+        for m in p.finditer(text):
+            assert pii._digits(m[0]) < 6 or any(s <= m.start() and m.end() <= e for s, e in spans)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aA bE@.,+()0123456789-\nRoadApt\u00e9:", max_size=80))
 def test_mentions_of_any_text(text):
