@@ -10,6 +10,8 @@ it recurs, so that result is kept by the stretch (``Parser.memo``) and most stat
 from __future__ import annotations
 
 import re
+import sys
+import threading
 from bisect import bisect_right
 from typing import NamedTuple
 
@@ -17,6 +19,8 @@ NAME, NUMBER, STRING, TEMPLATE, REGEX, LIFETIME, BAD, END = "i", "n", "s", "t",
 #: Characters that stand for keywords and operators of several characters, handed out as they are first named.
 CH: dict[str, str] = {}
 KEPT = 200_000
+#: Depth of unmatched brackets from which not all faults of a text are looked for.
+DEEPEST = 1_000
 
 
 class _Kinds(dict):
@@ -96,6 +100,8 @@ class Parser:
     MEMO: dict
     #: Kinds that begin a statement; panic mode stops before them.
     STARTS: frozenset[str] = frozenset()
+    #: Whether what is nested too deeply is a fault; else it is parsed again with more frames.
+    SHALLOW = False
 
     def __init__(self, s: str):
         self.S, self.p, self.far, self.faults, self.ctx = s + END + END, 0, 0, [], ""
@@ -207,6 +213,8 @@ class Parser:
             self.faults.append((e.at, e.message))
             self.panic(p)
         except RecursionError:
+            if not self.SHALLOW:
+                raise
             self.faults.append((p, "nested too deeply"))
             self.p = len(self.S) - 2
 
@@ -266,9 +274,62 @@ def levels(*rows: str) -> dict[str, int]:
     return {kind(w): i for i, row in enumerate(rows, 1) for w in row.split()}
 
 
-def run(parser: Parser) -> list[tuple[int, str]]:
+def _hopeless(s: str) -> bool:
+    """Whether brackets don't match, which is a fault for certain, and are nested more than DEEPEST deep."""
+    opened, deepest, match = [], 0, True
+    for m in _BRACKETS.finditer(s):
+        if m[0] in "([{":
+            opened.append(m[0])
+            deepest = max(deepest, len(opened))
+        else:
+            match &= bool(opened) and opened.pop() + m[0] in ("()", "[]", "{}")
+    return deepest > DEEPEST and not (match and not opened)
+
+
+def deeply(task, s: str):
+    """``task()``; where that takes more frames than there are, again in a thread that has enough for all tokens of ``s``.
+    Where unmatched brackets lie very deep the RecursionError is left to the caller: the text is faulty anyhow."""
+    try:
+        return task()
+    except RecursionError:
+        if _hopeless(s):
+            raise
+    result: list = []
+
+    def again() -> None:
+        try:
+            result.append((task(), None))
+        except BaseException as e:  # noqa: BLE001
+            result.append((None, e))
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size(256 << 20)
+    sys.setrecursionlimit(limit + 40 * len(s))
     try:
+        thread = threading.Thread(target=again)
+        thread.start()
+        thread.join()
+    finally:
+        threading.stack_size(size)
+        sys.setrecursionlimit(limit)
+    value, error = result[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def run(parser: Parser) -> list[tuple[int, str]]:
+    start = dict(vars(parser))
+
+    def parse() -> None:
+        vars(parser).update(start, faults=[])
         parser.program()
+
+    try:
+        try:
+            deeply(parse, parser.S)
+        except (RecursionError, MemoryError):
+            parser.SHALLOW = True
+            parse()
     except SyntaxFault as e:
         parser.faults.append((e.at, e.message))
     except RecursionError:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, NAME, NUMBER, REGEX, STRING, TEMPLATE, Lexer, Parser, SyntaxFault, kind, kinds, levels, run
+from .base import END, NAME, NUMBER, REGEX, STRING, TEMPLATE, Lexer, Parser, SyntaxFault, kind, kinds, levels, run, deeply
 
 _PLAIN = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{)"
 _TEMPLATE = r"`" + _PLAIN + r"|\$\{(?:[^`{}]|\{[^`{}]*\})*\})*`"
@@ -1259,11 +1259,15 @@ def parse(text: str, ts: bool = False):
                 for m in _FIELD.finditer(t):
                     if m[1] is not None:
                         inner = (TypeScript if ts else Ecma)(_lex(lexer, m[1])[1])
-                        inner.ctx = "f"
-                        try:
+
+                        def field(inner=inner) -> None:
+                            inner.p, inner.far, inner.ctx = 0, 0, "f"
                             inner.expression()
                             if inner.t != END:
                                 inner.fail("'}' expected")
+
+                        try:
+                            deeply(field, inner.S)
                         except (SyntaxFault, RecursionError):
                             parser.faults.append((i, "template: expression expected"))
     return sorted(parser.faults), lexer

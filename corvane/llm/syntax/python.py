@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import BAD, END, NAME, NUMBER, STRING, Lexer, Parser, SyntaxFault, kind, kinds, levels
+from .base import BAD, END, NAME, NUMBER, STRING, Lexer, Parser, SyntaxFault, kind, kinds, levels, deeply
 
 _FIELD = r"\{(?:[^{}\n\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\}"
 _F = r"(?:[fFtT][rR]?|[rR][fFtT])"
@@ -634,9 +634,8 @@ def _of(line: str) -> tuple[str | None, int, str]:
     """Kind of the logical line; or None, where and why it fails."""
     hit = _KEPT.get(line)
     if hit is None:
-        p = Line(line)
         try:
-            hit = (p.line(), 0, "")
+            hit = (deeply(lambda: Line(line).line(), line), 0, "")
         except _Decorator:
             hit = ("@", 0, "")
         except SyntaxFault as e:

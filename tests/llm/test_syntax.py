@@ -132,6 +132,21 @@ def test_deep_and_long_texts():
     assert syntax.faults("go", "package p\n" + "var a = 1\n" * 20_000) == []
 
 
+@pytest.mark.parametrize("language, begin, branch, end", [("javascript", "", "if (a == {}) {{ f({}); }} else ", "{ g(); }"), ("typescript", "", "if (a == {}) {{ f({}); }} else ", "{ g(); }"), ("java", "class A { void f() { ", "if (a == {}) {{ f({}); }} else ", "{ g(); } } }")])
+def test_long_chains(language, begin, branch, end):
+    text = begin + "\n".join(branch.format(i, i) for i in range(3000)) + end
+    assert syntax.faults(language, text) == []
+    assert [f.line for f in syntax.faults(language, text.replace("f(2999)", "f(2999"))][:1] == [3000]
+    assert [f.line for f in syntax.faults(language, text.replace("f(2999)", "f(2999 +)"))][:1] == [3000]
+
+
+def test_deep_nesting():
+    n = 2000
+    assert syntax.faults("json", "[" * n + "]" * n) == []
+    for language, begin, end in (("javascript", "x = ", ";"), ("python", "x = ", "\n")):
+        assert syntax.faults(language, begin + "f(" * 300 + "1" + ")" * 300 + end) == []
+
+
 def test_files(spark):
     rows = [(1, "r", "r/a.py", "x = 1"), (2, "r", "r/b.py", "x = "), (2, "r", "r/b.py", "x = "), (3, "r", "r/c.MD", "x ="), (4, None, "c.json", "{"), (5, "r", "r/d.go", None), (6, "r", "r/e.rs", " \n"), (7, "r", None, "x"), (None, "r", "r/n.ts", "let x: = 1")]
     files = spark.createDataFrame(rows, "file_id long, repo string, path string, content string").selectExpr("*", "'x' AS faults", "1 AS language")
