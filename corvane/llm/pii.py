@@ -1,8 +1,8 @@
 """Problem 8: e-mail addresses, phone numbers, identity numbers, street addresses and names in free text.
 
 Anchor expansion: an Aho-Corasick automaton over the folded text finds at-signs and their spellings,
-schemes, cues of numbers and people, and the names of known people; numbers are anchored by their
-digits. From each anchor a deterministic parser expands to both sides, validates what it finds and sets
+cues of numbers, and street words; numbers and postal codes are anchored by their digits. People are found by
+patterns that run over the whole text, and judged by known names and by cues. From each anchor a deterministic parser expands to both sides, validates what it finds and sets
 its boundaries. Types are tried from the most to the least certain, and no two mentions overlap.
 """
 
