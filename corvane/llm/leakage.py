@@ -1,34 +1,46 @@
 """Problem 7: passages of evaluation items in the texts of a corpus.
 
-Spaced-seed hashing: masks of fixed positions, each within a window of a few words, are hashed at
-every word of items and documents alike; positions a mask leaves out may differ. Documents meet the
-items' hashes in a sorted table, of which a worker holds a block of bounded size at a time. Hits that
-lie in a window of which all but a few words are equal are extended both ways, over substituted words,
-and verified. Whichever words of a window are the substituted ones, one of the masks fits in between
-somewhere, so none is missed.
+Spaced-seed hashing: masks of fixed positions are hashed at every word of items and documents alike;
+words at positions that a mask leaves out may differ. Hashes that no item has are dropped by a Bloom filter before anything
+moves; the others are joined with the items' hashes. Each hit carries the words around it, so that the windows of
+RUN words it lies in are verified in the joined row: all but SUBSTITUTED words must be equal. A window that
+several hits lie in comes from the first of them only. Windows that follow each other on one alignment make an overlap,
+windows of equal words alone a run. Whichever words of a window are the substituted ones, one of the masks
+fits in between somewhere, so no window is missed.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import cut
+from .hot import salted
 
 #: Words in a row that make a leak, and words of which all but a few may be substituted ones.
 RUN, SUBSTITUTED = 12, 3
 #: Words that each mask compares: of the 220 ways to substitute SUBSTITUTED of RUN words each leaves one of them somewhere.
 MASKS = ((0, 1, 2, 4), (0, 2, 3, 4))
-#: Words of items a worker holds at once; more are gone through in blocks.
-BLOCK = 2_000_000
-#: Words of documents looked up at once, and hits looked at at once.
-PART = 500_000
+#: Rows of items' seeds that are broadcast (some 20 MB); more are joined by a shuffle.
+FEW = 100_000
+#: Bits of the Bloom filter for each seed, as long as they are no more than the largest filter has (64 MB); beyond, it lets more pass.
+BITS, LARGEST = 32, 1 << 29
+#: Words of texts looked up at once, and words whose hashes a worker remembers.
+PART, KEPT = 500_000, 1_000_000
+#: Words before and after the first word of a seed that its windows may reach.
+BEFORE = RUN - 1 - min(m[-1] for m in MASKS)
+WIDTH = BEFORE + RUN
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = tuple(map(np.uint64, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)))
 
 
 def words(text: str) -> list[str]:
@@ -37,168 +49,205 @@ def words(text: str) -> list[str]:
     return [w.casefold() for w in found] if not text.isascii() else " ".join(found).lower().split(" ") if found else []
 
 
-def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """The hash of each window; windows with a word no item has get 0 where the mask looks at it."""
-    n = len(ids) - RUN + 1
-    h, known = np.zeros(n, np.uint64), np.ones(n, bool)
+class _Hashes(dict):
+    """Words to odd 64-bit hashes; 0 stands for no word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) | 1
+        return h
+
+
+def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The seed at each word, 0 where ``mask`` reaches beyond the text."""
+    n = max(0, len(hashes) - mask[-1])
+    h, whole = np.full(n, mask[1], np.uint64), np.ones(n, bool)
     for k in mask:
-        w = ids[k : k + n]
-        known &= w > 0
-        h = (h ^ w.astype(np.uint64)) * _PRIME
+        w = hashes[k : k + n]
+        whole &= w > 0
+        h = (h ^ w) * _PRIME
         h ^= h >> np.uint64(29)
-    return np.where(known, h | np.uint64(1), np.uint64(0))
-
-
-class Index:
-    """Seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.ids = [i for i, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        parts, self.first = [], [0]
-        for _, ws in items:
-            parts += [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], [0] * RUN]
-            self.first.append(self.first[-1] + len(ws) + RUN)
-        self.words = np.array([w for p in parts for w in p], np.int64)
-        self.tables = []
-        for mask in MASKS:
-            h = seeds(self.words, mask) if len(self.words) >= RUN else np.zeros(0, np.uint64)
-            at = np.flatnonzero(h)
-            order = at[np.argsort(h[at], kind="stable")]
-            self.tables.append((mask, h[order], order))
+    return np.where(whole, h | np.uint64(1), np.uint64(0))
 
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Pairs (position in ``ids``, position in the items) at which a seed of both is equal, in a window that holds enough equal words."""
-        found = []
-        mine, theirs = np.pad(ids, RUN), np.pad(self.words, RUN)
-        for mask, table, order in self.tables:
-            h = seeds(ids, mask)
+
+def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    shift = np.uint64(64 - bits.bit_length() + 1)
+    return ((h * k) >> shift for k in _SPREAD)
+
+
+def passes(h: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for at in _places(h, len(bloom) * 8):
+        found &= (bloom[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return found
+
+
+SEEDED = "id bigint, text_id bigint, mask int, seed bigint, at int, words binary"
+
+
+def _seeded(batches: Iterator[pa.RecordBatch], bloom: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Seeds of texts (``id, text_id, text``) with the words around; all of them, or those that pass ``bloom``."""
+    hash_of, gap = _Hashes(), np.zeros(RUN, np.uint64)
+
+    def out(ids: list, text_ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+        starts = np.cumsum([RUN, *(len(t) + RUN for t in texts)])
+        around = np.lib.stride_tricks.sliding_window_view(line, WIDTH)
+        for number, mask in enumerate(MASKS):
+            h = seeds(line, mask)
             at = np.flatnonzero(h)
-            low, high = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
-            met = high > low
-            at, low, n = at[met], low[met], (high - low)[met]
-            part = np.cumsum(n) // PART
-            for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
-                if len(k):
-                    step = np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-                    d, q = np.repeat(at[k], n[k]), order[np.repeat(low[k], n[k]) + step]
-                    close = _close(mine, theirs, d, q, mask[-1])
-                    found.append(np.stack([d[close], q[close]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-    def leaks(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """Per text and item that share a passage: which, the longest run of equal words and the longest overlap with
-        substituted words of any alignment, and where that begins. All texts are looked up at once, apart from each other."""
-        gap = np.zeros(RUN, np.int64)
-        line = np.concatenate([x for t in texts for x in (t, gap)])
-        starts = np.cumsum([0, *(len(t) + RUN for t in texts)])
-        found = self.hits(line)
-        owner = np.searchsorted(starts, found[:, 0], "right") - 1
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        reached: dict[tuple[int, int], int] = {}
-        for k, (d, q) in zip(owner.tolist(), found.tolist()):
-            d -= int(starts[k])
-            diagonal = (k, q - d)
-            if reached.get(diagonal, -1) >= d:
+            if bloom is not None:
+                at = at[passes(h[at], bloom)]
+            owner = np.searchsorted(starts, at, "right") - 1
+            context = np.ascontiguousarray(around[at - BEFORE])
+            ends = np.arange(len(at) + 1, dtype=np.int32) * (WIDTH * 8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([ids[k] for k in owner.tolist()], pa.int64()),
+                    pa.array([text_ids[k] for k in owner.tolist()], pa.int64()),
+                    pa.array(np.full(len(at), number, np.int32)),
+                    pa.array(h[at].view(np.int64)),
+                    pa.array((at - starts[owner]).astype(np.int32)),
+                    pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(context)]),
+                ],
+                ["id", "text_id", "mask", "seed", "at", "words"],
+            )
+
+    for b in batches:
+        ids, text_ids, texts, held = [], [], [], 0
+        for i, text_id, text in zip(*(c.to_pylist() for c in b.columns)):
+            ws = words(text)
+            if len(ws) < RUN:
                 continue
-            ids, item = texts[k], int(np.searchsorted(self.first, q, "right")) - 1
-            a, b = self.first[item], self.first[item + 1] - RUN
-            low, high = max(-d, a - q), min(len(ids) - d, b - q)
-            mine = ids[d + low : d + high]
-            run, overlap, begin = _longest((mine == self.words[q + low : q + high]) & (mine > 0))
-            reached[diagonal] = d + high
-            old = best.get((k, item), (0, 0, 0))
-            longer = overlap > old[1] or (k, item) not in best
-            best[k, item] = (max(run, old[0]), max(overlap, old[1]), d + low + begin if longer else old[2])
-        return ((k, item, *x) for (k, item), x in best.items())
-
-
-def _close(mine: np.ndarray, theirs: np.ndarray, d: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
-    """Whether a window of RUN words around a seed at ``d`` and ``q`` has at most SUBSTITUTED others; both are padded by RUN."""
-    equal, close, kept = np.zeros(len(d), np.int8), np.zeros(len(d), bool), []
-    for k in range(span + 1, RUN + RUN):
-        w = mine[d + k]
-        kept.append((w == theirs[q + k]) & (w > 0))
-        equal += kept[-1]
-        if len(kept) > RUN:
-            equal -= kept[-RUN - 1]
-        close |= equal >= RUN - SUBSTITUTED
-    return close
-
-
-def _longest(same: np.ndarray) -> tuple[int, int, int]:
-    """The longest run of equal words; the longest stretch of windows of RUN words with at most SUBSTITUTED others."""
-    edge = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
-    run = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
-    if len(same) < RUN:
-        return run, 0, 0
-    total = np.r_[0, np.cumsum(same)]
-    good = total[RUN:] - total[:-RUN] >= RUN - SUBSTITUTED
-    edge = np.flatnonzero(np.diff(np.r_[0, good.astype(np.int8), 0]))
-    if not len(edge):
-        return run, 0, 0
-    lengths = edge[1::2] - edge[::2]
-    k = int(lengths.argmax())
-    return run, int(lengths[k]) + RUN - 1, int(edge[2 * k])
+            ids.append(i)
+            text_ids.append(text_id)
+            texts.append(np.fromiter(map(hash_of.__getitem__, ws), np.uint64, len(ws)))
+            held += len(ws)
+            if held >= PART:
+                yield from out(ids, text_ids, texts)
+                ids, text_ids, texts, held = [], [], [], 0
+        if texts:
+            yield from out(ids, text_ids, texts)
 
 
-LEAK = "doc_id bigint, item_id bigint, run int, overlap int, at_word int"
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    rows = df.filter(F.length("text") >= 2 * RUN - 1)
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.xxhash64("text").alias("text_id"), "text")
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    block, held = [], 0
-    for r in items.toLocalIterator():
-        ws = words(r[1])
-        if len(ws) < RUN:
+def _bloom(held: DataFrame, n: int) -> np.ndarray:
+    """The filter of all seeds of ``held``, put together from one of each task."""
+    bits = min(LARGEST, 1 << max(10, (n * BITS - 1).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, bool)
+        for b in batches:
+            for at in _places(b.column(0).to_numpy().view(np.uint64), bits):
+                flags[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)], pa.binary())], ["part"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in held.select("seed").coalesce(4).mapInArrow(fill, "part binary").toLocalIterator():
+        whole |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
+    return whole
+
+
+def _columns(c: pa.Array) -> np.ndarray:
+    """The words of a column of contexts, a row each."""
+    ends = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, c.offset * 4)
+    return np.frombuffer(c.buffers()[2], np.uint64, len(c) * WIDTH, int(ends[0])).reshape(len(c), WIDTH)
+
+
+WINDOW = "id bigint, text_id bigint, context_id bigint, at int, start int, equal int"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the windows around each hit those with enough equal words that no earlier hit lies in, and their longest run of equal words."""
+    for b in batches:
+        if not b.num_rows:
             continue
-        block.append((r[0], ws))
-        held += len(ws)
-        if held >= BLOCK:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+        mine, theirs = _columns(b.column(4)), _columns(b.column(5))
+        mask, at = b.column(2).to_numpy(), b.column(3).to_numpy()
+        there = (mine > 0) & (theirs > 0)
+        same = there & (mine == theirs)
+        found = []
+        for shift in range(BEFORE + 1):  # the window begins so many words before the seed
+            s = same[:, BEFORE - shift : BEFORE - shift + RUN]
+            good = there[:, BEFORE - shift : BEFORE - shift + RUN].all(1) & (s.sum(1) >= RUN - SUBSTITUTED)
+            for k in range(shift + 1):
+                for m, places in enumerate(MASKS):
+                    if k + places[-1] < RUN:
+                        fits = s[:, [k + p for p in places]].all(1)
+                        # an earlier seed, or an earlier mask at the same word, brings this window; the row's own must fit
+                        good &= ~fits | (mask <= m) if k == shift else ~fits
+                        if k == shift:
+                            good &= fits | (mask != m)
+            rows = np.flatnonzero(good)
+            if len(rows):
+                found.append((rows, np.full(len(rows), shift), _longest(s[rows])))
+        if not found:
+            continue
+        rows, shift, equal = (np.concatenate(x) for x in zip(*found))
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(take), b.column(1).take(take), b.column(6).take(take), b.column(3).take(take), pa.array((at[rows] - shift).astype(np.int32)), pa.array(equal.astype(np.int32))],
+            ["id", "text_id", "context_id", "at", "start", "equal"],
+        )
+
+
+def _longest(same: np.ndarray) -> np.ndarray:
+    """The longest run of equal words in each row."""
+    now, best = np.zeros(len(same), np.int32), np.zeros(len(same), np.int32)
+    for k in range(same.shape[1]):
+        now = np.where(same[:, k], now + 1, 0)
+        best = np.maximum(best, now)
+    return best
+
+
+LEAK = "doc_id bigint, item_id bigint, run int, overlap int, at_word int"
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, run, overlap, at_word`` for every document and item that share a passage.
 
     ``overlap`` counts the words of the longest stretch in which any RUN words have at most SUBSTITUTED
-    others; ``run`` equal words in a row, where both are aligned so that there is such a stretch. A pair is listed
+    others, and ``at_word`` is where that begins; ``run`` is the most equal words in a row within any such stretch. A pair is listed
     if ``overlap`` reaches RUN, as it does where ``run`` does. Texts that are null,
-    empty or shorter have no passage. Items with the same text are found one by one, a document twice
-    delivered gives one row. Without items there are no rows. Of ``items``, the driver and each
-    worker hold a block of at most BLOCK words and one item; a larger set is gone through block by block.
+    empty or shorter have no passage. Items with the same text are found one by one. A document
+    delivered twice gives one row, different texts of one ``doc_id``, or of none (null), a row each; the same holds for items. Without items there are no rows.
     """
     spark = documents.sparkSession
-    rows = documents.filter(F.length("text") >= 2 * RUN - 1).select(F.col("doc_id").cast("bigint"), "text")
-    every = None
-    for block in _blocks(items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id"])):
-        shared = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            known = index.vocabulary.get
-            for b in batches:
-                out: list[tuple] = []
-                docs, texts, held = [], [], 0
-                for doc, text in zip([*b.column(0).to_pylist(), None], [*b.column(1).to_pylist(), None]):
-                    if text is None or held > PART:
-                        out += [(docs[k], index.ids[i], run, overlap, at) for k, i, run, overlap, at in (index.leaks(texts) if texts else ()) if run >= RUN or overlap >= RUN]
-                        docs, texts, held = [], [], 0
-                    if text is None:
-                        break
-                    ws = words(text)
-                    ids = np.fromiter(map(known, ws, repeat(0)), np.int64, len(ws))
-                    if np.count_nonzero(ids) >= RUN - SUBSTITUTED:
-                        docs.append(doc)
-                        texts.append(ids)
-                        held += len(ids)
-                columns = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "run", "overlap", "at_word"])
-
-        found = rows.mapInArrow(find, LEAK)
-        every = found if every is None else every.unionByName(found)
-    if every is None:
+    held = cut(_texts(items, "item_id").distinct().mapInArrow(lambda it: _seeded(it, None), SEEDED).withColumn("context_id", F.xxhash64("mask", "words")))
+    n = held.count()
+    if not n:
         return spark.createDataFrame([], LEAK)
-    return every.dropDuplicates(["doc_id", "item_id"])
+    few = F.broadcast if n <= FEW else lambda df: df
+    bits = spark.sparkContext.broadcast(_bloom(held, n))
+    hits = _texts(documents, "doc_id").mapInArrow(lambda it: _seeded(it, bits.value), SEEDED)
+    contexts = held.select("seed", "context_id", F.col("words").alias("theirs")).dropDuplicates(["seed", "context_id"])
+    if n <= FEW:
+        met = hits.join(few(contexts), "seed")
+    else:
+        asked, offered = salted(cut(hits), contexts, "seed", ["text_id", "at"])
+        met = asked.join(offered, ["seed", "salt"])
+    windows = met.select("id", "text_id", "mask", "at", "words", "theirs", "context_id").mapInArrow(_verify, WINDOW)
+    of_items = held.select("context_id", F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), F.col("at").alias("item_at"))
+    if n > FEW:
+        windows, of_items = salted(cut(windows), of_items, "context_id", ["text_id", "at"])
+    met = windows.join(few(of_items), ["context_id"] if n <= FEW else ["context_id", "salt"])
+    return _passages(met.select(F.col("id").alias("doc_id"), "text_id", "item_id", "item_text", (F.col("item_at") - F.col("at")).alias("diagonal"), "start", "equal"))
+
+
+def _passages(windows: DataFrame) -> DataFrame:
+    """The longest run and overlap of each document and item, from the windows that follow each other on one alignment."""
+    pair = ["doc_id", "text_id", "item_id", "item_text"]
+    # delivered again, a document's windows come again; all that follows needs no further shuffle
+    rows = windows.repartition(*pair).dropDuplicates([*pair, "diagonal", "start"]).withColumn("whole", F.col("equal") == RUN)
+    place = lambda *keys: F.col("start") - F.row_number().over(Window.partitionBy(*pair, "diagonal", *keys).orderBy("start"))
+    rows = rows.withColumn("stretch", place()).withColumn("island", place("whole"))
+    longest = F.when(F.col("whole"), F.count("*") + RUN - 1).otherwise(F.max("equal"))
+    parts = rows.groupBy(*pair, "diagonal", "stretch", "whole", "island").agg(longest.alias("run"), F.min("start").alias("begin"), F.count("*").alias("n"))
+    stretches = parts.groupBy(*pair, "diagonal", "stretch").agg(F.max("run").alias("run"), F.min("begin").alias("begin"), (F.sum("n") + RUN - 1).alias("overlap"))
+    best = stretches.groupBy(*pair).agg(F.max("run").alias("run"), F.max(F.struct("overlap", (-F.col("begin")).alias("back"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("run").cast("int"), F.col("b.overlap").cast("int").alias("overlap"), (-F.col("b.back")).cast("int").alias("at_word"))

@@ -86,8 +86,31 @@ SELECT trigram, occurrences, records,
        CASE WHEN records = 1 THEN 'rare' WHEN records > 0.5 * every THEN 'common' END AS mark
 FROM c, n"""
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_TEXTS = f"d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL)"
+
+
+def _strings(source: str, key: str, n: int) -> str:
+    """Every ``n`` words in a row, with their place."""
+    return f"(SELECT {key}, p, array_to_string(ws[p:p + {n - 1}], ' ') AS w FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS p FROM {source}))"
+
+
+# nine of twelve words equal leave three in a row somewhere: these lead to all alignments that count
+_LEAKS = f"""
+WITH {_TEXTS},
+x AS (SELECT DISTINCT doc_id, item_id, b.p - a.p AS diagonal FROM {_strings("d", "doc_id", 3)} a JOIN {_strings("i", "item_id", 3)} b USING (w)),
+s AS (SELECT x.doc_id, item_id, diagonal, dp.p AS p, CAST(dp.w = ip.w AS INT) AS same FROM x JOIN {_strings("i", "item_id", 1)} ip USING (item_id) JOIN {_strings("d", "doc_id", 1)} dp ON dp.doc_id = x.doc_id AND dp.p = ip.p - diagonal),
+w AS (SELECT *, sum(same) OVER o AS equal, count(*) OVER o AS n FROM s WINDOW o AS (PARTITION BY doc_id, item_id, diagonal ORDER BY p ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+g AS (SELECT doc_id, item_id, diagonal, p, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS stretch FROM w WHERE n = 12 AND equal >= 9),
+o AS (SELECT doc_id, item_id, diagonal, min(p) AS first, max(p) + 11 AS last FROM g GROUP BY doc_id, item_id, diagonal, stretch),
+r AS (SELECT doc_id, item_id, diagonal, first, last, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal, first ORDER BY p) AS island FROM o JOIN s USING (doc_id, item_id, diagonal) WHERE p BETWEEN first AND last AND same = 1),
+l AS (SELECT doc_id, item_id, diagonal, first, last, count(*) AS run FROM r GROUP BY doc_id, item_id, diagonal, first, last, island)
+SELECT doc_id, item_id, CAST(max(run) AS INT) AS run, CAST(max(last - first + 1) AS INT) AS overlap, CAST(arg_max(first, [last - first, -first]) - 1 AS INT) AS at_word FROM l GROUP BY doc_id, item_id"""
+
 SQL = {
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
+    "p7_found": f"WITH {_TEXTS} SELECT DISTINCT doc_id, item_id FROM {_strings('d', 'doc_id', 12)} JOIN {_strings('i', 'item_id', 12)} USING (w)",
+    "p7_leaks": _LEAKS,
     "p5_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 800",
 }

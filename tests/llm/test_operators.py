@@ -4,13 +4,12 @@ import os
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, leakage, packing, pii, provenance, queries, splitting, termfreq
+from corvane.llm import docpairs, hot as hot_keys, leakage, packing, pii, provenance, queries, splitting, termfreq
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,8 +229,7 @@ def test_boundaries_are_optimal():
     r = random.Random(2)
     import itertools
 
-    import numpy as np
-
+    
     for _ in range(20):
         lengths = np.array(sorted(r.sample(range(1, 40), 7)))
         counts = np.array([r.randrange(1, 9) for _ in lengths])
@@ -296,45 +294,82 @@ def leak_tables(spark):
     return docs, items, spark.createDataFrame(docs, schema.format("doc_id")).withColumn("run", F.lit(1)), spark.createDataFrame(items, schema.format("item_id"))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 100])
-def test_leaks(spark, monkeypatch, block):
-    monkeypatch.setattr(leakage, "BLOCK", block)
+def brute_overlaps(docs, items):
+    """Longest overlap, where it begins and the most equal words within one, by looking at every alignment."""
+    out = {}
+    for (d, dt), (i, it) in itertools.product(docs, items):
+        a, b = leakage.words(dt or ""), leakage.words(it or "")
+        best = None
+        for shift in range(-len(a) + 12, len(b) - 11):
+            low, high = max(0, -shift), min(len(a), len(b) - shift)
+            same = [a[k] == b[k + shift] for k in range(low, high)]
+            good = [sum(same[k : k + 12]) >= 9 for k in range(len(same) - 11)]
+            at = 0
+            for ok, group in itertools.groupby(good):
+                n = len(list(group))
+                if ok:
+                    inside = same[at : at + n + 11]
+                    run = max(len(list(g)) for x, g in itertools.groupby(inside) if x)
+                    best = (max(best[0] if best else 0, run), max(best[1] if best else (0, 0), (n + 11, -(low + at))))
+                at += n
+        if best:
+            out[d, i] = (best[0], best[1][0], -best[1][1])
+    return out
+
+
+@pytest.mark.parametrize("few, hot", [(100_000, 500_000), (0, 500_000), (0, 3)])
+def test_leaks(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(leakage, "FEW", few)
+    monkeypatch.setattr(hot_keys, "HOT", hot)
     docs, items, d, i = leak_tables(spark)
     got = leakage.leaks(d, i).collect()
     assert {(r.doc_id, r.item_id) for r in got if r.run >= 12} == brute_leaks(docs, items)
     assert Counter((r.doc_id, r.item_id) for r in got).most_common(1)[0][1] == 1
+    near = brute_overlaps([x for x in docs if x[0] % 6 == 0 and x[0] != 504 or x[0] == 503], items)
+    assert {(r.doc_id, r.item_id): (r.run, r.overlap, r.at_word) for r in got if r.doc_id % 6 == 0 or r.doc_id == 503} == near
     changed = [r for r in got if r.doc_id == 503]
     assert {r.item_id for r in changed} == {92, 93} and all(r.run == 6 and r.overlap == 12 for r in changed)
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
-def test_every_substitution_is_met():
+def test_no_filter_loses_a_leak(spark, monkeypatch):
+    """A Bloom filter that is far too small lets more pass, and nothing less."""
+    monkeypatch.setattr(leakage, "LARGEST", 1 << 10)
+    docs, items, d, i = leak_tables(spark)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).filter("run >= 12").collect()} == brute_leaks(docs, items)
+
+
+def leaked(spark, texts, item):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.run, r.overlap, r.at_word) for r in leakage.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+
+
+def test_every_substitution_is_met(spark):
     words = [f"w{i}" for i in range(12)]
-    index = leakage.Index([(7, words)])
-    ids = [index.vocabulary[w] for w in words]
-    for gone in [c for n in (1, 2, 3) for c in itertools.combinations(range(12), n)]:
-        text = np.array([0, 0, *(0 if i in gone else w for i, w in enumerate(ids)), 0], np.int64)
-        assert [x[3:] for x in index.leaks([text])] == [(12, 2)], gone
-    for gone in itertools.combinations(range(12), 4):
-        assert not list(index.leaks([np.array([0 if i in gone else w for i, w in enumerate(ids)], np.int64)]))
+    texts = ["x y " + " ".join("other" if i in gone else w for i, w in enumerate(words)) + " z" for n in (1, 2, 3, 4) for gone in itertools.combinations(range(12), n)]
+    got = leaked(spark, texts, " ".join(words))
+    assert set(got) == set(range(12 + 66 + 220)) and all(x[1:] == (12, 2) for x in got.values())
 
 
-def test_every_fourth_word_substituted():
-    for phase in range(4):
-        words = [f"w{i}" for i in range(40)]
-        index = leakage.Index([(7, words)])
-        text = np.array([0 if i % 4 == phase else index.vocabulary[w] for i, w in enumerate(words)], np.int64)
-        assert list(index.leaks([text])) == [(0, 0, 3, 40, 0)]
+def test_every_fourth_word_substituted(spark):
+    words = [f"w{i}" for i in range(200)]
+    got = leaked(spark, [" ".join("other" if i % 4 == phase else w for i, w in enumerate(words)) for phase in range(4)], " ".join(words))
+    assert got == {phase: (3, 200, 0) for phase in range(4)}
 
 
-def test_the_longest_overlap_of_any_alignment():
+def test_the_longest_overlap_of_any_alignment(spark):
     words = [f"w{i}" for i in range(60)]
-    index = leakage.Index([(7, words)])
-    ids = [index.vocabulary[w] for w in words]
-    # first eight of twelve words and one before them, with a longer run of equal words; then nine of twelve
-    less, enough = [ids[19], *(0 if i in (3, 6, 9, 10) else w for i, w in enumerate(ids[20:32]))], [0 if i in (3, 6, 10) else w for i, w in enumerate(ids[40:52])]
-    text = np.array([*less, *[0] * 12, *enough], np.int64)
-    assert [x[3:] for x in index.leaks([text])] == [(12, 25)]
+    # an exact run of ten words with too few equal ones around, then a long overlap with a shorter run
+    text = [*words[:10], *["other"] * 20, *("other" if i % 5 == 0 else words[i] for i in range(15, 55))]
+    brute = brute_overlaps([(0, " ".join(text))], [(7, " ".join(words))])[0, 7]
+    assert leaked(spark, [" ".join(text)], " ".join(words)) == {0: brute} and brute[1] > 40
+
+
+def test_rows_without_ids(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, item + " a"), (None, item + " b"), (None, item + " a"), (1, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, item + " thirteen"), (5, item)], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()) == {(None, None): 4, (None, 5): 2, (1, None): 2, (1, 5): 1}
 
 
 # 8: personal information
