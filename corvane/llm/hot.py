@@ -1,4 +1,4 @@
-"""Keys that hold a large part of all rows, split for a join."""
+"""Keys: those that a large part of all rows hold, split for a join, and those that are missing."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ from ..session import cut
 HOT = 500_000
 
 
+def anonymous(key: str, *others: str) -> Column:
+    """What tells rows without a key apart, by all their ``others``; null for rows that have one."""
+    return F.when(F.col(key).isNull(), F.xxhash64(*others))
+
+
 def salted(asked: DataFrame, held: DataFrame, key: str, by: list[str], weight: Column | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both with a ``salt`` to join on beside ``key``: rows of ``asked`` whose key weighs more than ``limit`` are
     dealt out by the columns ``by``, and the rows of ``held`` it meets are repeated once per part. Such keys are fewer than the weight

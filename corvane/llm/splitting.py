@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import anonymous
+
 #: Characters of a piece together with what it repeats, and of the end of the piece before that it repeats.
 LIMIT, OVERLAP, CUT_MARK = 800, 160, "..."
 WORD, LINE, PARAGRAPH = 0, 1, 2
@@ -92,26 +94,26 @@ def _keep(text: str, overlap: int) -> str:
     return "" if not overlap else text if len(text) <= overlap else CUT_MARK + text[-overlap:]
 
 
-PIECE = "id string, file_path string, piece int, content string, start_line int, end_line int, context_prev string"
+PIECE = "id string, file_path string, piece int, content string, start_line int, end_line int, context_prev string, other bigint"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
-            ids, paths, texts, starts, contexts = (c.to_pylist() for c in whole.slice(start, 1000).columns)
+            ids, paths, texts, starts, contexts, others = (c.to_pylist() for c in whole.slice(start, 1000).columns)
             columns: list[list] = [[] for _ in types]
-            for i, path, text, line, context, at in zip(ids, paths, texts, starts, contexts, cuts(texts, limit, overlap)):
+            for i, path, text, line, context, other, at in zip(ids, paths, texts, starts, contexts, others, cuts(texts, limit, overlap)):
                 at = at.tolist()
                 now = line
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     piece = text[a:b]
                     until = None if now is None else now + piece.count("\n", 0, -1)
-                    for column, value in zip(columns, (i, path, k, piece, now, until, context)):
+                    for column, value in zip(columns, (i, path, k, piece, now, until, context, other)):
                         column.append(value)
                     now = None if now is None else until + (piece[-1] == "\n")
                     context = _keep(piece, overlap)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "file_path", "piece", "content", "start_line", "end_line", "context_prev"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "file_path", "piece", "content", "start_line", "end_line", "context_prev", "other"])
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -121,9 +123,10 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     again. ``context_prev`` of the first piece is the chunk's own, of later ones the last ``overlap``
     characters of the piece before, led by ``...`` where that is longer. A piece that ends or begins
     within a line has that line as ``end_line`` or ``start_line``; both are null where the chunk's
-    ``start_line`` is. Rows of one ``id`` delivered again give its pieces once; null content gives none.
+    ``start_line`` is. Rows of one ``id`` delivered again give its pieces once, and chunks with a null ``id`` are told apart by
+    path, line and content; null content gives none.
     """
     if overlap and limit < 2 * overlap + 2 * len(CUT_MARK):
         raise ValueError("the overlap must be less than half of the limit")
-    rows = chunks.filter(F.length("content") > limit).select("id", "file_path", "content", F.col("start_line").cast("int"), "context_prev")
-    return rows.mapInArrow(lambda it: _pieces(it, limit, overlap), PIECE).dropDuplicates(["id", "piece"])
+    rows = chunks.filter(F.length("content") > limit).select("id", "file_path", "content", F.col("start_line").cast("int"), "context_prev", anonymous("id", "file_path", "start_line", "content").alias("other"))
+    return rows.mapInArrow(lambda it: _pieces(it, limit, overlap), PIECE).dropDuplicates(["id", "piece", "other"]).drop("other")

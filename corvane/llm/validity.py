@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import syntax
+from .hot import anonymous
 
-VERDICT = "file_id bigint, repo string, language string, faults int, first_line int, first_cause string, all_faults array<struct<line: int, message: string>>"
+VERDICT = "file_id bigint, repo string, language string, faults int, first_line int, first_cause string, all_faults array<struct<line: int, message: string>>, other bigint"
 _FAULTS = pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())]))
 
 
@@ -27,8 +28,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([f[0].line if f else None for f in found], pa.int32()),
                 pa.array([f[0].message if f else None for f in found], pa.string()),
                 pa.array([[x._asdict() for x in f] for f in found], _FAULTS),
+                b.column(4),
             ],
-            ["file_id", "repo", "language", "faults", "first_line", "first_cause", "all_faults"],
+            ["file_id", "repo", "language", "faults", "first_line", "first_cause", "all_faults", "other"],
         )
 
 
@@ -37,13 +39,14 @@ def syntax_verdicts(files: DataFrame) -> DataFrame:
     the number of faults, the first cause and all of them (none: the grammar accepts the file).
 
     Rows delivered again give one row. A null path, other extensions and null or blank content give
-    none; a null ``file_id`` or ``repo`` is kept as it is. An empty table gives no rows.
+    none; a null ``repo`` is kept as it is, and files with a null ``file_id`` are told apart by repository, path
+    and content. An empty table gives no rows.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     language = F.create_map(*(F.lit(x) for pair in syntax.LANGUAGES.items() for x in pair))[extension]
-    rows = files.select("file_id", "repo", language.alias("language"), "content")
+    rows = files.select("file_id", "repo", language.alias("language"), "content", anonymous("file_id", "repo", "path", "content").alias("other"))
     rows = rows.filter(F.col("language").isNotNull() & F.col("content").rlike(r"\S"))
-    return rows.mapInArrow(_judge, VERDICT).dropDuplicates(["file_id", "language"])
+    return rows.mapInArrow(_judge, VERDICT).dropDuplicates(["file_id", "language", "other"]).drop("other")
 
 
 def fault_rates(verdicts: DataFrame) -> DataFrame:

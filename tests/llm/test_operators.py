@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corvane.llm import docpairs, hot as hot_keys, leakage, packing, pii, provenance, queries, splitting, termfreq
+from corvane.llm import docpairs, hot as hot_keys, leakage, packing, pii, provenance, queries, splitting, termfreq, validity
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,10 +67,22 @@ def test_long_terms_route(spark):
     assert termfreq.term_frequencies(df, "t", "r", "p").agg(F.sum("occurrences"), F.count("*")).first()[:] == (3000, 70)
 
 
+# 2: files that don't parse
+def test_files_without_ids(spark):
+    bad = "def f(:\n"
+    rows = [(None, "r1", "r1/a.py", bad), (None, "r2", "r2/a.py", bad), (None, "r1", "r1/a.py", bad), (None, None, "x.py", "ok = 1"), (1, "r1", "r1/a.py", bad), (1, "r1", "r1/a.py", bad), (2, "r1", None, bad), (3, "r1", "a.md", bad), (4, "r1", "b.py", None), (5, "r1", "b.py", " ")]
+    files = spark.createDataFrame(rows, "file_id long, repo string, path string, content string").withColumns({"other": F.lit("x"), "language": F.lit(1)})
+    verdicts = validity.syntax_verdicts(files)
+    assert Counter((r.file_id, r.repo, r.faults > 0) for r in verdicts.collect()) == {(None, "r1", True): 1, (None, "r2", True): 1, (None, None, False): 1, (1, "r1", True): 1}
+    assert {(r.repo, r.files, r.faulty, r.rate) for r in validity.fault_rates(verdicts).collect()} == {("r1", 2, 2, 1.0), ("r2", 1, 1, 1.0), (None, 1, 0, 0.0)}
+    assert validity.syntax_verdicts(files.limit(0)).count() == 0
+
+
 # 3: documentation
 PAIRS = [
     ("python", 'def a(x):\n    """Adds one to what it is given.\n\n    :param x: the value to which one is added\n    """\n', ["a"]),
     ("python", "# Adds one to what is given.\n@deco(\n    1\n)\ndef b(): pass\n", ["b"]),
+    ("python", "# Adds one to what is given.\n@deco(\n" + "    1,\n" * 90 + ")\ndef b(): pass\n", ["b"]),
     ("python", "# Adds one to what is given.\n\ndef b(): pass\n", []),
     ("python", "# Adds one to what is given.\nx = 1\ndef b(): pass\n", []),
     ("python", 'class A:\n    """This class does a great many things."""\n    def m(self): pass\n    async def n(\n        self,\n    ) -> dict[str, int]:\n        r\'\'\'Returns the first of many other things.\'\'\'\n', ["n"]),
@@ -98,10 +110,10 @@ def test_documentation(family, text, names):
 
 def test_documentation_of_chunks(spark):
     good = "// Adds one to what is given.\nfunc A(x int) int {\n}\n"
-    rows = [("1", "a.go", good, " Function "), ("1", "a.go", good, "function"), ("2", "a.go", good, "block"), ("3", "a.go", None, "class"), ("4", "a.go", "", "class"), ("5", None, good, "class"), ("6", "a.md", good, "class"), ("7", "a.go", good, None), (None, "a.go", good, "CLASS"), ("8", "a.go", good * 3000, "class")]
+    rows = [("1", "a.go", good, " Function "), ("1", "a.go", good, "function"), ("2", "a.go", good, "block"), ("3", "a.go", None, "class"), ("4", "a.go", "", "class"), ("5", None, good, "class"), ("6", "a.md", good, "class"), ("7", "a.go", good, None), (None, "a.go", good, "CLASS"), (None, "a.go", good, "CLASS"), (None, "b.go", good, "CLASS"), ("8", "a.go", good * 3000, "class")]
     chunks = spark.createDataFrame(rows, "id string, file_path string, content string, type string").withColumns({"line": F.lit(1), "family": F.lit(2)})
     found = docpairs.documented_functions(chunks).collect()
-    assert Counter(r.id for r in found) == {"1": 1, None: 1, "8": 3000}
+    assert Counter(r.id for r in found) == {"1": 1, None: 2, "8": 3000}
     assert found[0].description == "Adds one to what is given."
     assert docpairs.documented_functions(chunks.limit(0)).count() == 0
 
@@ -217,10 +229,10 @@ def test_natural_places(spark):
 
 
 def test_chunks_that_are_not_clean(spark):
-    rows = [("1", None, "y" * 900, None, None), ("1", None, "y" * 900, None, None), (None, "p", "z\n" * 500, 1, None), ("2", "p", None, 1, None)]
+    rows = [("1", None, "y" * 900, None, None), ("1", None, "y" * 900, None, None), (None, "p", "z\n" * 500, 1, None), (None, "p", "z\n" * 500, 1, None), (None, "q", "z\n" * 500, 1, None), ("2", "p", None, 1, None)]
     chunks = spark.createDataFrame(rows, "id string, file_path string, content string, start_line int, context_prev string").withColumns({"piece": F.lit(9), "end_line": F.lit(9)})
     got = splitting.split_oversized(chunks).collect()
-    assert Counter(r.id for r in got) == {"1": 2, None: 2} and all(r.start_line is None for r in got if r.id == "1")
+    assert Counter(r.id for r in got) == {"1": 2, None: 4} and all(r.start_line is None for r in got if r.id == "1")
     assert splitting.split_oversized(chunks.limit(0)).count() == 0
 
 
@@ -362,7 +374,7 @@ def test_the_longest_overlap_of_any_alignment(spark):
     # an exact run of ten words with too few equal ones around, then a long overlap with a shorter run
     text = [*words[:10], *["other"] * 20, *("other" if i % 5 == 0 else words[i] for i in range(15, 55))]
     brute = brute_overlaps([(0, " ".join(text))], [(7, " ".join(words))])[0, 7]
-    assert leaked(spark, [" ".join(text)], " ".join(words)) == {0: brute} and brute[1] > 40
+    assert leaked(spark, [" ".join(text)], " ".join(words)) == {0: brute} and brute[1] > 36
 
 
 def test_rows_without_ids(spark):
