@@ -44,6 +44,11 @@ def p4_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.provenance(_table(spark, sf, "files"))
 
 
+def p4_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """With a share that edits leave far behind, so that the tables hold cases."""
+    return provenance.containment(_table(spark, sf, "files"), 0.3).select("file_id", F.round("containment", 9).alias("containment"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_provenance(spark, sf).filter("reason is not null").select("file_id").distinct()
 
@@ -85,7 +90,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_found, p5_pieces, p5_found, p6_windows, p6_filled, p7_leaks, p7_found, p8_redacted, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_containment, p4_found, p5_pieces, p5_found, p6_windows, p6_filled, p7_leaks, p7_found, p8_redacted, p8_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
@@ -116,7 +121,16 @@ r AS (SELECT doc_id, item_id, diagonal, first, last, p - row_number() OVER (PART
 l AS (SELECT doc_id, item_id, diagonal, first, last, count(*) AS run FROM r GROUP BY doc_id, item_id, diagonal, first, last, island)
 SELECT doc_id, item_id, CAST(max(run) AS INT) AS run, CAST(max(last - first + 1) AS INT) AS overlap, CAST(arg_max(first, [last - first, -first]) - 1 AS INT) AS at_word FROM l GROUP BY doc_id, item_id"""
 
+_CODE = "(SELECT DISTINCT ON (file_id) file_id, repo, path, content, regexp_matches(path, '{}', 'i') AS inside FROM files WHERE regexp_matches(content, '\\S') AND regexp_matches(lower(path), '\\.(py|js|mjs|ts|go|rs|java)$'))".format(provenance._FOLDERS)
+_LINES = "list_distinct(list_filter(list_transform(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) >= 12))"
+_CONTAINED = f"""
+WITH f AS {_CODE}, c AS (SELECT content, inside, min(repo) AS a, max(repo) AS z, {_LINES} AS ls FROM f GROUP BY content, inside),
+l AS (SELECT content, inside, a, z, len(ls) AS n, unnest(ls) AS line FROM c),
+s AS (SELECT o.content, t.content AS source, any_value(o.n) AS n, count(*) AS shared FROM l o JOIN l t USING (line) WHERE NOT o.inside AND t.inside AND (o.a <> o.z OR t.a <> t.z OR o.a <> t.a) GROUP BY 1, 2)
+SELECT file_id, round(max(shared / n), 9) AS containment FROM f JOIN s USING (content) WHERE NOT inside AND shared / n >= 0.3 GROUP BY file_id"""
+
 SQL = {
+    "p4_containment": _CONTAINED,
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
     "p6_filled": "SELECT count(*) AS documents, 0 AS split, 0 AS over, true AS filled FROM documents WHERE text IS NOT NULL",

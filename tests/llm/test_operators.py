@@ -132,17 +132,55 @@ HAND = "import os\n\n\ndef compute_totals(rows):\n    total = 0\n    for row in
         ("r/a.py", "# Imported verbatim from lib 1.2; send changes upstream.\n" + HAND, "vendored"), ("r/a.py", "# lib v2.3.1 - copied from upstream, see https://x\n" + HAND, "vendored"), ("r/a.py", "# Works around a bug in the third party library.\n" + HAND, None),
         ("r/a.min.js", "let a=1", "minified"), ("r/a.js", "var a=" + "+".join(f"b{i}.c(d)" for i in range(300)) + ";", "minified"), ("r/a.py", "# " + "long comment " * 100 + "\n" + HAND, None), ("r/a.pb.go", "package a", "generated"),
         ("r/a.py", "DATA = [\n" + "".join(f"    {i}, {i * 7}, {i * 13},\n" for i in range(80)) + "]\n", "data"), ("r/a.py", "TABLE = [1, 2, 3, 4, 5, 6]\n" + HAND, None), ("r/a.rs", 'pub const B: &str = "' + "Ab9" * 300 + '";\n', "data"),
-        ("r/a.py", "".join(f"def get_x{i}(m):\n    return m[{i}]\n\n" for i in range(12)), "generated"), ("r/a.py", "", None), ("r/a.py", "# only a comment\n", None),
+        ("r/a.py", "".join(f"def get_x{i}(m):\n    return m[{i}]\n\n" for i in range(12)), None), ("r/a.py", "", None), ("r/a.py", "# only a comment\n", None),
     ],
 )
 def test_verdicts(path, text, reason):
+    assert (provenance.verdict(path, text)[2] is None) == (reason is None)
     assert provenance.verdict(path, text)[0] == reason
     assert provenance.verdict(path, text.replace("\n", "\r\n"))[0] == reason
 
 
+@pytest.mark.parametrize(
+    "line, tools, others",
+    [
+        ("// Code generated by protoc-gen-go. DO NOT EDIT.", 1, 0), ("# This file is automatically generated.", 1, 0), ("/* AUTO-GENERATED FILE. DO NOT MODIFY. */", 1, 0), (" * Diese Datei wurde von werkzeug automatisch erzeugt.", 1, 0), ("# Este archivo fue generado por x; no editar", 1, 0),
+        ("// Ce fichier est généré automatiquement", 1, 0), ("// Generated using x.y 2.0", 1, 0), ("# Generated by Django 4.2 on 2023-01-01", 1, 0), ("// <auto-generated />", 1, 0), ("// Changes to this generated file will be lost", 1, 0), ("# Compiled from grammar.y; do not edit", 1, 0),
+        ("# id is generated by the digest", 0, 0), ("// Feeds the generated report; edit the journal here.", 0, 0), ("// The reports are created by the scheduler", 0, 0), ("# Written by the platform team", 0, 0), ("# Created by Jane on a Monday", 0, 0), ("# This file was created automatically by x", 1, 0), ("// Use the built image, see the wiki", 0, 0), ("# Never edit the queue while it runs", 0, 0),
+        ("// Copied from https://example.org/x under the MIT licence", 0, 1), ("# Vendored snapshot of lib@1.2.3", 0, 1), ("/* This is a fork of lib 4.5 */", 0, 1), ("# lib v1.2 - mirrored from upstream", 0, 1), ("// Do this here until it is maintained upstream", 0, 1), ("// the offset is copied from upstream rows", 0, 0), ("# Keeps a copy of the rows", 0, 0), ("// Copyright 2.0 the authors", 0, 0),
+    ],
+)
+def test_notices(line, tools, others):
+    assert (provenance._tools(line), provenance._others(line)) == (bool(tools), bool(others))
+
+
+@pytest.mark.parametrize("share, hot", [(0.8, 500_000), (0.3, 500_000), (0.3, 1), (0.5, 7), (1.0, 500_000)])
+def test_containment(spark, monkeypatch, share, hot):
+    """Against all pairs of contents."""
+    monkeypatch.setattr(hot_keys, "HOT", hot)
+    r = random.Random(8)
+    lines = [f"a line of code, number {i:03}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        of = r.sample(lines, r.randrange(1, 25)) if i % 3 else lines[: r.randrange(3, 50)]
+        rows.append((i if i % 7 else None, f"r{r.randrange(4)}", f"x/{'vendor/' if r.random() < 0.4 else ''}f{i}.py", "\n".join(of) + r.choice(["", "\n}", "\r\n"])))
+    files = spark.createDataFrame(rows + rows[:9], "file_id long, repo string, path string, content string")
+    repos, split = defaultdict(set), {c: {x.strip() for x in c.splitlines() if len(x.strip()) >= 12} for _, _, _, c in rows}
+    for _, repo, path, c in rows:
+        repos[c, "vendor/" in path].add(repo)
+    want = {}
+    for _, repo, path, c in rows:
+        if "vendor/" not in path:
+            found = [len(split[c] & split[t]) / len(split[c]) for t, inside in repos if inside and (len(repos[c, False] | repos[t, True]) > 1)]
+            if found and max(found) >= share:
+                want[path] = max(found)
+    got = provenance.containment(files, share).collect()
+    assert {r.path: r.containment for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("hot", [500_000, 1])
 def test_edited_copies(spark, monkeypatch, hot):
-    monkeypatch.setattr(provenance, "HOT", hot)
+    monkeypatch.setattr(hot_keys, "HOT", hot)
     body = "".join(f"def function_number_{i}(a, b):\n    return a * {i} + b ** {i + 1}\n\n\n" for i in range(0, 40, 2))
     edited = "# Copyright the other authors\n" + body.replace("a * 6 +", "a - 6 +")
     rows = [
@@ -158,7 +196,7 @@ def test_edited_copies(spark, monkeypatch, hot):
 
 @pytest.mark.parametrize("hot", [500_000, 1])
 def test_copies_of_what_many_hold(spark, monkeypatch, hot):
-    monkeypatch.setattr(provenance, "HOT", hot)
+    monkeypatch.setattr(hot_keys, "HOT", hot)
     body = "".join(f"def function_number_{i}(a, b):\n    return a * {i} + b ** {i + 1}\n\n\n" for i in range(0, 40, 2))
     versions = [(i, f"v{i}", f"v{i}/vendor/lib/a.py", body + f"RELEASED_AS = 'version {i}'\n") for i in range(provenance.RARE + 5)]
     # the licence is common too, but makes no copy of what holds little else
