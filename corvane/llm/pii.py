@@ -1,8 +1,8 @@
 """Problem 8: e-mail addresses, phone numbers, identity numbers, street addresses and names in free text.
 
 Anchor expansion: an Aho-Corasick automaton over the folded text finds at-signs and their spellings,
-cues of numbers, and street words; numbers and postal codes are anchored by their digits. People are found by
-patterns that run over the whole text, and judged by known names and by cues. From each anchor a deterministic parser expands to both sides, validates what it finds and sets
+cues of numbers and of people, verbs of saying and street words; a second one finds the names of known people; numbers and postal codes are
+anchored by their digits. From each anchor a deterministic parser expands to both sides, validates what it finds and sets
 its boundaries. Types are tried from the most to the least certain, and no two mentions overlap.
 """
 
@@ -12,35 +12,55 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .hot import salted
+
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "address": "[ADDRESS]", "person": "[PERSON]"}
-#: People a worker holds at once; more are gone through in blocks.
+#: Words of known people's names that are sent to the workers; more are joined.
 PEOPLE = 200_000
 
 # Spellings and cues that anchor a mention.
 _AT = "@ \uff20 &#64; %40 [at (at {at <at".split() + [" at ", " at\n", "[ at", "( at", "{ at"]
 _PHONE_CUES = "phone tel. tel: tel= tel  telefon teléfono téléphone tél. tél: call call me mobile mobil handy cell fax whatsapp ring reach me on dial hotline rufnummer appeler contacter guardia sms signal".split(" ")
 _ID_CUES = "ssn,social security,ni number,nino,national insurance,steuer-id,steuernummer,steuer id,idnr,nir,sécurité sociale,insee,passport,reisepass,passeport,pasaporte,pass-nr,dni,nie,nif,tax id,tin,taxpayer,id card,ausweis,identity card,carte d'identité,personal number,sozialversicherung".split(",")
-_PERSON_CUES = re.compile(
-    r"(?:\b(?:author|maintainer|reviewer|owner|contact|name|assignee|reporter|from|to|cc|bcc|by|von|par|por|thanks|thank you|merci|danke|gracias|ask for|asked|avisar a|rückfragen an|contacter|ping|dear|hi|hello|"
-    r"signed-off-by|co-authored-by|reviewed-by|acked-by|tested-by|reported-by|suggested-by|mr|mrs|ms|miss|dr|prof|sir|herr|frau|mme|mlle|sr|sra|don|doña|señor|señora|monsieur|madame)\b\.?|m\.|todo\(|fixme\(|^\s*(?:—|–|--|-)|[—–]|\bcsv line \d+:|=)[\s:,(=]*$",
-    re.I,
-)
-_TITLES = re.compile(r"(?:mr|mrs|ms|dr|prof|herr|frau|mme|mlle|sr|sra|m|don|doña)\.?$", re.I)
-#: Words that open sentences or name components, never a family.
-_COMMON = frozenset(
-    "the this that these those a an and or if it its we you they he she please thanks thank dear hi hello regards best see note set run each can closes version reverted trigram nothing fixed search there which how what when where who why "
-    "team street road lane avenue main thread section step release train module service scheduler router indexer resolver sampler tracer cursor walker planner tokenizer codec bucket registry journal snapshot segment digest envelope offset watermark index engine parser cache server client adapter pipeline handler manager worker queue store driver plugin library framework project branch build board node cluster table method test algorithm filter transform model theorem law tree sort heap distribution number constant format protocol hash "
-    "der die das bitte für le la les il el los esta hay un une una mit und oder tel phone fax mail email subject todo fixme author contact signed from to cc monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
+_PERSON_CUES = (
+    "author authors maintainer maintainers reviewer owner contact name assignee reporter attn from to with by cc bcc von par por mit avec con thanks merci danke gracias an à a for für asked ask ping dear hi hello "
+    "liebe lieber hallo bonjour hola signed-off-by co-authored-by reviewed-by acked-by tested-by reported-by suggested-by mr mrs ms miss dr prof sir herr frau mme mlle sr sra don doña señor señora monsieur madame m "
+    "contacter contactar ansprechpartner ansprechpartnerin colleague kollege kollegin collègue colega"
+).split()
+_SAYING = (
+    "asked asks wrote writes said says signed reviewed reviews reported reports approved approves suggested suggests noted notes pointed replied confirmed confirms thinks agreed agrees fixed commented "
+    "prüft prüfte schreibt schrieb meint meinte fragt fragte sagt sagte demande écrit dit pense pregunta preguntó escribió dice dijo"
+).split()
+#: Cues that places, products and reasons follow as well.
+_WEAK_CUES = frozenset("from to with by an à a for für mit avec con von par por".split())
+#: Before such a cue they make it a sure one: what people do, and what is done by people.
+_DONE = frozenset(
+    "ask asked approved call changed confirmed contributed fixed found merged noted reported requested reviewed sent signed spotted suggested tested thanks thank written speak spoke talk talked "
+    "geändert gemeldet geprüft geschrieben gefunden rückfragen vorgeschlagen dank danke écrit modifié relu revu signalé merci parler proposé avisar escrito gracias modificado hablar propuesto revisado".split()
 )
-_GIVEN = frozenset(
-    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen christopher nancy daniel lisa matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol kevin amanda brian melissa george deborah timothy stephanie laura anna peter hans klaus jürgen wolfgang stefan andreas martin sabine monika petra ursula karin brigitte heike pierre jean michel philippe alain nicolas marie nathalie isabelle sylvie françois camille luc josé antonio manuel francisco juan javier carlos maría carmen ana isabel pilar lucía marco giulia luca sofia omar fatima mohammed ahmed ali aisha wei li mei chen yuki hiroshi kenji priya ravi amit anita ivan olga dmitri natasha jan piotr katarzyna lars ingrid björn astrid nils sven erik emma noah olivia liam eva max felix leon clara greta hugo jonas oskar theo tomas viktor elena irena nadia paula rafael bruno dario fabian karl milan".split()
+#: What stands before a name on its line without being a word: a dash, the field of a list or form, an opening bracket after a mark.
+_MARK = re.compile(r"(?:^\s*--|[—–]|\b(?:todo|fixme)\(|\w+ line \d+:|=)[ \t]*$", re.I)
+_TITLES = frozenset("mr mrs ms miss dr prof sir herr frau mme mlle sr sra m don doña".split())
+# Function words of the four languages and names of days and months, which open sentences; nouns for groups and firms; what opens names of places.
+_FUNCTION = frozenset(
+    "the this that these those a an and or if it its we you they he she i as at in on to for of with by from please thanks thank dear hi hello regards best see note set run each can there which how what when where who why not no yes is are was were be been do does did "
+    "has have had will would should must may some any all both one two first second last next new our your their his her my also but so then than after before since until while because use using used cc re fwd tel phone fax mail email subject todo fixme ps "
+    "der die das den dem des ein eine einen bitte für mit und oder wir sie ich er es ist sind nicht auch wie was wer wo wenn aber nach vor bei aus zu "
+    "le la les l el los las un une una unos des du de del et ou y o si no nous vous il elle est sont pas este esta hay para con por pour avec dans sur que qui "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
+    "montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo".split()
 )
+_GROUP = frozenset("team teams group committee council board department dept office institute university college school company inc corp corporation ltd llc gmbh ag sa foundation association club project community list street road lane avenue square park".split())
+_PLACE = frozenset("new san santa saint st los las el north south east west northern southern eastern western upper lower great united port fort mount lake river".split())
+_ARTICLE = re.compile(r"(?<!\w)(?:the|a|an|this|that|our|your|their|its|der|die|das|dem|den|des|ein|eine|einem|einen|le|la|les|un|une|ce|cette|el|los|las|una|este|esta)\s+$|(?<!\w)[ld]['’]$", re.I)
 
 # e-mail
 _LOCAL = re.compile(r"[\w!#$%&'*+/=?^{|}~.-]+$")
@@ -107,14 +127,29 @@ _INVERTED = re.compile(rf"(?<![\w@/.-])({_FAMILY}),{_N}({_INITIAL}|{_W})(?:{_N}{
 @cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT), ("street", [f" {w}" for w in _STREETS])):
+    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT), ("street", [f" {w}" for w in _STREETS]), ("person", _PERSON_CUES), ("says", [f" {w}" for w in _SAYING])):
         for cue in cues:
             if cue.strip():
-                a.add_word(cue, (kind, len(cue)))
+                a.add_word(cue, (*a.get(cue, ()), (kind, len(cue))))
     a.make_automaton()
     return a
 
 
+class Known:
+    """Names of known people, folded; of families the last word. An automaton finds them in a text."""
+
+    def __init__(self, given: set[str], families: set[str]):
+        self.given, self.families = given, families
+        self.automaton = ahocorasick.Automaton()
+        for name in given | families:
+            self.automaton.add_word(name, len(name))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def anchors(self, low: str) -> Iterator[tuple[int, int]]:
+        return ((end - n + 1, end + 1) for end, n in self.automaton.iter(low)) if len(self.automaton) else iter(())
+
+
 def _fold(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
@@ -244,163 +279,205 @@ def _addresses(text: str, streets: list[tuple[int, int]], found: Found) -> None:
             if p is _GERMAN:
                 # sentence openers before the street
                 words = value.split(" ")
-                while len(words) > 2 and words[0].lower() in _COMMON:
+                while len(words) > 2 and words[0].lower() in _FUNCTION:
                     s += len(words[0]) + 1
                     words = words[1:]
             found.add(s, e, "address")
 
 
-_NEXT = re.compile(r"[ ]([\w'-]+)")
 _PATH = re.compile(r":[\w~./-]*/")
-
-
-def _plausible(family: str) -> bool:
-    core = family.split(" ")[-1]
-    return len(core) > 1 and not any(w.lower() in _COMMON for w in core.split("-"))
-
-
-def _persons(text: str, given: frozenset[str] | set[str], families: frozenset[str] | set[str], found: Found) -> None:
-    at, a, b = 0, _DIRECT.search(text), _INVERTED.search(text)
-    while at < len(text):
-        a = _DIRECT.search(text, at) if a and a.start() < at else a
-        b = _INVERTED.search(text, at) if b and b.start() < at else b
-        if a is None and b is None:
-            return
-        left = min(m.start() for m in (a, b) if m)
-        end = 0
-        for m, direct in ((a, True), (b, False)):
-            if m is None or m.start() > left:
-                continue
-            first, family, s = (m[1], m[2], left) if direct else (m[2], m[1], left)
-            if not direct and (lead := _PREPOSITION.match(family)) and re.search(r"\w\s+$", text[max(0, s - 3) : s]):
-                s, family = s + lead.end(), family[lead.end() :]
-            if _person(text, m, first, family, direct, given, families) and found.add(s, m.end(), "person"):
-                end = m.end()
+_BEFORE = re.compile(r"(?:([^\W\d_][\w'’-]*)\s+)?([^\W\d_][\w'’-]*)\.?[\s:,(=]*$")
+_AFTER = re.compile(r"[ \t]+(?:a )?([^\W\d_]+)")
+#: Characters looked at before and after an anchor of a name.
+REACH = 120
+
+
+def _persons(text: str, near: list[tuple[int, int]], known: Known, found: Found) -> None:
+    """Names in stretches of the text that hold an anchor of one."""
+    last = -1  # where the name before ends
+    for low, high in near:
+        at = low
+        while 0 < at < len(text) and (text[at - 1].isalnum() or text[at - 1] in "@/.-_"):
+            at += 1  # not from within a word
+        a, b = _DIRECT.search(text, at, high), _INVERTED.search(text, at, high)
+        while at < high:
+            a = _DIRECT.search(text, at, high) if a and a.start() < at else a
+            b = _INVERTED.search(text, at, high) if b and b.start() < at else b
+            if a is None and b is None:
                 break
-        at = end or left + len(re.match(r"[\w.'’-]+", text[left : left + 200])[0])
-
-
-def _person(text: str, m: re.Match, first: str, family: str, direct: bool, given, families) -> bool:
-    if not _plausible(family) or _TITLES.match(first) and not first.endswith(".") or first.lower() in _COMMON:
+            left = min(m.start() for m in (a, b) if m)
+            end = 0
+            for m, direct in ((a, True), (b, False)):
+                if m is None or m.start() > left:
+                    continue
+                first, family, s = (m[1], m[2], left) if direct else (m[2], m[1], left)
+                if not direct and (lead := _PREPOSITION.match(family)) and re.search(r"\w\s+$", text[max(0, s - 3) : s]):
+                    s, family = s + lead.end(), family[lead.end() :]
+                listed = last == s - 2 and text[last:s] == ", "
+                if _person(text, s, m.end(), first, family, direct, known, listed) and found.add(s, m.end(), "person"):
+                    end = last = m.end()
+                    break
+            at = end or left + len(re.match(r"[\w.'’-]+", text[left : left + 200])[0])
+
+
+def _common(text: str, word: str) -> bool:
+    """Whether the text has ``word`` in small letters too, other than in an address or a path."""
+    return len(word) > 2 and re.search(rf"(?<![\w.@+/-]){re.escape(word.lower())}(?![\w@+/-]|\.\w)", text) is not None
+
+
+def _person(text: str, s: int, e: int, first: str, family: str, direct: bool, people: Known, listed: bool) -> bool:
+    """Whether what has the form of a name is one: by known names, by what stands before and after it, and by what else the words are."""
+    last = family.split(" ")[-1]
+    words = [first.lower().rstrip("."), *(w.lower() for w in last.split("-"))]
+    initial = len(words[0]) == 1 and first.endswith(".")
+    if len(last) < 2 or any(w in _FUNCTION or w in _GROUP for w in words[initial:]) or words[0] in _TITLES and len(words[0]) > 1:
         return False
-    if first.lower().rstrip(".") in ("mr", "mrs", "ms", "dr", "prof", "st", "sr", "sra", "mme", "no", "vs"):
+    named, known = words[0] in people.given, last.lower() in people.families
+    before = text[max(0, s - 40) : s].split("\n")[-1]
+    lead = _BEFORE.search(before)
+    cue = lead[2].lower() if lead and lead[2].lower() in _CUES else "mark" if _MARK.search(before) else "list" if listed else None
+    if cue in _WEAK_CUES and lead[1] and lead[1].lower() in _DONE:
+        cue = "done by"
+    follow = _AFTER.match(text, e)
+    says = bool(follow) and follow[1] in _SAYS
+    if cue != "done by" and _ARTICLE.search(text[max(0, s - 12) : s]) and not (named and known):
+        return False  # the Elena Scheduler
+    if initial:
+        return known or says or cue is not None and cue not in _WEAK_CUES
+    if named and known:
+        return direct or cue is not None or says or _opens(text, s)
+    if follow and follow[1][0].isupper() and follow[1].lower() in _GROUP:
         return False
-    following = _NEXT.match(text, m.end())
-    known = family.split(" ")[-1].lower() in families or family.lower() in families
-    if following and following[1].lower() in _COMMON and following[1][0].isupper() and not known:
+    sure = says or cue is not None and cue not in _WEAK_CUES
+    if known or named:
+        if direct:
+            return (sure or cue is not None or not (named and _common(text, last))) and (named and first.isupper() == family.isupper() or known and (sure or cue is not None))
+        return sure or cue is not None or named and _opens(text, s)
+    if words[0] in _PLACE or "\n" in text[s:e] or not direct and not says and cue in (None, "cc", "to"):
         return False
-    named = first.lower() in given
-    cue = bool(_PERSON_CUES.search(text[max(0, m.start() - 40) : m.start()].split("\n")[-1]))
-    if len(first) == 2 and first[1] == ".":
-        return known or cue or bool(_SAYS.match(text, m.end()))
-    if direct:
-        return named and (family.isupper() == first.isupper()) or known and (named or cue) or cue and first.lower() not in families and _listed_cue(text, m)
-    before = text[max(0, m.start() - 40) : m.start()].rstrip(" \t>*#/-")
-    return named and (known or cue or not before or before[-1] in ",(:;=\n")
+    if sure:
+        return not (_common(text, first) and _common(text, last))
+    return cue is not None and not _common(text, first) and not _common(text, last) and not first.isupper() and not family.isupper()
 
 
-_SAYS = re.compile(r"\s+(?:asked|asks|wrote|writes|said|says|signed|reviewed|reported|approved|suggested|noted|pointed out|prüft|prüfte|schreibt|schrieb|meint|fragt|demande|a écrit|dit|pregunta|escribió|dice)\b")
-_STRONG = re.compile(r"(?:author|maintainer|signed-off-by|co-authored-by|reviewed-by|acked-by|tested-by|reported by|name|cc|ask for|mr|mrs|ms|herr|frau|mme|sra?)\.?[\s:=]*$", re.I)
+def _opens(text: str, s: int) -> bool:
+    """Whether a line or a part of a list begins at ``s``."""
+    before = text[max(0, s - 40) : s].rstrip(" \t>*#/-")
+    return not before or before[-1] in ",(:;=\n"
 
 
-def _listed_cue(text: str, m: re.Match) -> bool:
-    """For a name that no list knows: only the cues that nothing but a person follows."""
-    return bool(_STRONG.search(text[max(0, m.start() - 24) : m.start()])) and "\n" not in m[0]
+_CUES, _SAYS = frozenset(_PERSON_CUES), frozenset(_SAYING)
 
 #: Particles that are prepositions too: after a word, as in "changed by", they are no part of the name.
 _PREPOSITION = re.compile(r"(?:von|de|di|du|del|da)[ ]")
 
 
-def mentions(text: str, given, families) -> list[tuple[int, int, str]]:
+def mentions(text: str, known: Known) -> list[tuple[int, int, str]]:
     """Begin, end and type of each mention, in order."""
     found = Found(text)
-    at, streets, last = [], [], {}
+    at, streets, last, people = [], [], {}, []
     low = _fold(text)
-    for end, (kind, size) in _automaton().iter(low):
-        begin = end - size + 1
-        if kind == "at":
-            at.append(begin)
-        elif kind == "street":
-            if not low[end + 1 : end + 2].isalnum():
+    for end, cues in _automaton().iter(low):
+        for kind, size in cues:
+            begin = end - size + 1
+            if kind == "at":
+                at.append(begin)
+            elif low[end + 1 : end + 2].isalnum() and kind in ("street", "person", "says"):
+                continue
+            elif kind == "street":
                 streets.append((begin, end + 1))
-        elif begin == 0 or not low[begin - 1].isalnum():
-            last[(begin, kind)] = end + 1
+            elif kind == "says":
+                people.append((begin, end + 1))
+            elif begin == 0 or not low[begin - 1].isalnum():
+                if kind != "person":
+                    last[(begin, kind)] = end + 1
+                elif _CAPITAL.match(text, end + 1):
+                    people.append((begin, end + 1))
+    people += (span for span in known.anchors(low) if text[span[0]].isupper() and not low[span[1] : span[1] + 1].isalnum() and not (span[0] and low[span[0] - 1].isalnum()))
+    people += (m.span() for m in _MARKED.finditer(text))
     cues = sorted((end, kind) for (_, kind), end in last.items())
     _emails(text, at, found)
     _numbers(text, cues, found)
     _addresses(text, sorted(streets), found)
-    _persons(text, given, families, found)
+    _persons(text, _windows(iter(sorted(people)), REACH, REACH, len(text)), known, found)
     return sorted(found.spans)
 
 
+#: A capital letter after a cue, with what may stand between.
+_CAPITAL = re.compile(r"\.?[\s:,(=]*[^\W\d_a-zß-ÿ]")
+#: A capital letter after a mark that names follow.
+_MARKED = re.compile(r"(?:^[ \t]*--|[—–]|(?:[Tt][Oo][Dd][Oo]|[Ff][Ii][Xx][Mm][Ee])\(|\w line \d+:|=)[ \t]*[^\W\d_a-zß-ÿ]", re.M)
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for s, e, kind in spans:
-        if s < at:  # found by several blocks of people
-            continue
         out += [text[at:s], PLACEHOLDERS[kind]]
         at = e
     return "".join([*out, text[at:]])
 
 
-MENTIONS = "array<struct<start: int, end: int, pii_type: string, value: string>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("value", pa.string())]))
+FOUND = "doc_id bigint, mentions array<struct<start: int, end: int, pii_type: string, value: string>>, redacted string"
+
+
+def _searched(ids: pa.Array, texts: list[str | None], known: Iterator[Known]) -> pa.RecordBatch:
+    spans = [mentions(t, k) if t else [] for t, k in zip(texts, known)]
+    found = pa.array([[{"start": s, "end": e, "pii_type": k, "value": t[s:e]} for s, e, k in x] for t, x in zip(texts, spans)], _ARROW)
+    redacted = pa.array([None if t is None else redact(t, x) for t, x in zip(texts, spans)], pa.string())
+    return pa.RecordBatch.from_arrays([ids, found, redacted], ["doc_id", "mentions", "redacted"])
 
 
-def _people(contributors: DataFrame) -> Iterator[tuple[set[str], set[str]]]:
-    given, families, held, any_ = set(_GIVEN), set(), 0, False
-    for g, f in contributors.select("given_name", "family_name").distinct().toLocalIterator():
-        if g:
-            given.add(g.lower())
-        if f:
-            families.add(f.lower())
-            families.add(f.split(" ")[-1].lower())
-        held += 1
-        if held >= PEOPLE:
-            yield given, families
-            given, families, held, any_ = set(_GIVEN), set(), 0, True
-    if held or not any_:
-        yield given, families
+def _names(contributors: DataFrame) -> DataFrame:
+    """``word, family``: the first word of each given name and the last one of each family, in small letters."""
+    given = contributors.select(F.lower(F.regexp_extract("given_name", r"^\s*(\S+)", 1)).alias("word"), F.lit(False).alias("family"))
+    family = contributors.select(F.lower(F.regexp_extract("family_name", r"(\S+)\s*$", 1)).alias("word"), F.lit(True).alias("family"))
+    return given.unionByName(family).filter(F.length("word") > 0).distinct()
+
+
+_TOKEN = re.compile(_W)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, and the parts of words with a hyphen, that begin with a capital."""
+    for b in batches:
+        rows = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {x for m in set(_TOKEN.findall(t)) for x in (m.lower(), *m.lower().split("-"))}]
+        ids, found = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["text_id", "word"])
 
 
 def find_pii(documents: DataFrame, contributors: DataFrame) -> DataFrame:
     """``doc_id, mentions, redacted``: the mentions of each text in order, and the text with each replaced by its type.
 
-    ``contributors`` are known people; others are found by given names and by what stands before them. A
+    ``contributors`` are known people; others are found by what stands before and after them. A
     null text has null ``redacted`` and no mentions, an empty one stays empty; each row is treated by itself,
-    so documents delivered again give as many rows. Of ``contributors`` a worker holds PEOPLE
-    names at a time; with more, the texts are gone through once per block and the mentions put together.
+    so documents delivered again give as many rows. Up to PEOPLE words of names are sent to the workers; of
+    more, those that occur in a text are joined to it, with the same result.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    blocks = _people(contributors)
-    parts = []
-    for given, families in blocks:
-        shared = spark.sparkContext.broadcast((given, families))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            given, families = shared.value
+    names = _names(contributors)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    few = names.limit(PEOPLE + 1).collect()
+    if len(few) <= PEOPLE:
+        shared = spark.sparkContext.broadcast(({r[0] for r in few if not r[1]}, {r[0] for r in few if r[1]}))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Known(*shared.value)
             for b in batches:
-                texts = b.column(1).to_pylist()
-                spans = [mentions(t, given, families) if t else [] for t in texts]
-                found = pa.array([[{"start": s, "end": e, "pii_type": k, "value": t[s:e]} for s, e, k in x] for t, x in zip(texts, spans)], _ARROW)
-                redacted = pa.array([None if t is None else redact(t, x) for t, x in zip(texts, spans)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(1), redacted], ["doc_id", "mentions", "text", "redacted"])
-
-        parts.append(rows.mapInArrow(search, f"doc_id bigint, mentions {MENTIONS}, text string, redacted string"))
-    if len(parts) == 1:
-        return parts[0].drop("text")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id", "text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("mentions")))).alias("mentions"))
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield _searched(b.column(0), b.column(1).to_pylist(), repeat(known))
+
+        return rows.mapInArrow(search, FOUND)
+    texts = rows.withColumn("text_id", F.xxhash64("text"))
+    words = cut(texts.filter(F.length("text") > 0).select("text_id", "text").mapInArrow(_words, "text_id bigint, word string").distinct())
+    asked, held = salted(words, names, "word", ["text_id"])
+    own = asked.join(held, ["word", "salt"]).groupBy("text_id").agg(F.collect_set(F.when(~F.col("family"), F.col("word"))).alias("given"), F.collect_set(F.when(F.col("family"), F.col("word"))).alias("families"))
+
+    def search_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            again = [None if t is None else redact(t, [(x["start"], x["end"], x["pii_type"]) for x in m]) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(again, pa.string())], ["doc_id", "mentions", "redacted"])
+            known = (Known(set(g or ()), set(f or ())) for g, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            yield _searched(b.column(0), b.column(1).to_pylist(), known)
 
-    return merged.mapInArrow(rewrite, f"doc_id bigint, mentions {MENTIONS}, redacted string")
+    return texts.join(own, "text_id", "left").select("doc_id", "text", "given", "families").mapInArrow(search_own, FOUND)
 
 
 def found_pii(documents: DataFrame, contributors: DataFrame) -> DataFrame:

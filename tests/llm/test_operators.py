@@ -452,15 +452,16 @@ TEXTS = [
     ("The Harbor Street release train. See section 12 Main Thread, step 5. 789 stops at Lane 7.", []),
     ("cc Brandetti, Amara, Oskar van Dunvold\nMrs. Elena B. Morari and R. Pellvold; Signed-off-by: Nadia Velvold-Ulvari <x@y.example>", [("person", "Brandetti, Amara"), ("person", "Oskar van Dunvold"), ("person", "Elena B. Morari"), ("person", "R. Pellvold"), ("person", "Nadia Velvold-Ulvari"), ("email", "x@y.example")]),
     ("The Elena Scheduler module. Dear Lantern Team, branch elena/x-1. Thanks, all. Elena alone.", []),
+    ("Thanks go to Oluwaseun Adebayo. We spoke with Xiaoming Zhang about it. Reviewed with Thandiwe Nkosi. Ibrahim Traoré reported it. cc Aoife Byrne, Siddharth Rao", [("person", x) for x in ("Oluwaseun Adebayo", "Xiaoming Zhang", "Thandiwe Nkosi", "Ibrahim Traoré", "Aoife Byrne", "Siddharth Rao")]),
+    ("We moved from San Francisco to New York. The Jonas Scheduler asked for memory. Thanks to the Harbor Team. Fixed by Monday Morning, FOR GAUGE NUMBER 7. It reads from Parcel Sampler, the parcel sampler.", []),
     ("Geändert von Rudari, Elena\nElena\u00a0Pellvold asked", [("person", "Rudari, Elena"), ("person", "Elena\u00a0Pellvold")]),
 ]
-GIVEN = {"amara", "oskar", "elena", "nadia"} | set(pii._GIVEN)
-FAMILIES = {"pellvold", "brandetti"}
+KNOWN = pii.Known({"amara", "oskar", "elena", "nadia"}, {"pellvold", "brandetti"})
 
 
 @pytest.mark.parametrize("text, want", TEXTS)
 def test_mentions(text, want):
-    spans = pii.mentions(text, GIVEN, FAMILIES)
+    spans = pii.mentions(text, KNOWN)
     assert [(k, text[s:e]) for s, e, k in spans] == want
     red = pii.redact(text, spans)
     assert all(v not in red for _, v in want) and sum(red.count(p) for p in pii.PLACEHOLDERS.values()) == len(want)
@@ -468,7 +469,7 @@ def test_mentions(text, want):
 
 @pytest.mark.parametrize("text", ["+49 30\n        1234567", "+1 212\n            555 0144", "\n    +44 20\n        7946 0958 more", "+1 212\r\n      555 0144", "+\n                44 20 7946 0958", "(212) 555-0144,\n                  ext. 71 more"])
 def test_numbers_over_indented_lines(text):
-    assert [(k, text[s:e]) for s, e, k in pii.mentions(text, GIVEN, FAMILIES)] == [("phone", text.strip().removesuffix(" more"))]
+    assert [(k, text[s:e]) for s, e, k in pii.mentions(text, KNOWN)] == [("phone", text.strip().removesuffix(" more"))]
 
 
 @settings(max_examples=300, deadline=None)
@@ -483,21 +484,32 @@ def test_no_pattern_reads_beyond_a_stretch(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aA bE@.,+()0123456789-\nRoadApt\u00e9:", max_size=80))
 def test_mentions_of_any_text(text):
-    spans = pii.mentions(text, GIVEN, FAMILIES)
+    spans = pii.mentions(text, KNOWN)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(0 <= s < e <= len(text) for s, e, _ in spans)
 
 
-@pytest.mark.parametrize("people", [200_000, 2])
-def test_redaction(spark, monkeypatch, people):
+@pytest.mark.parametrize("people, hot", [(200_000, 500_000), (2, 500_000), (2, 1)])
+def test_redaction(spark, monkeypatch, people, hot):
     monkeypatch.setattr(pii, "PEOPLE", people)
-    docs = spark.createDataFrame([(1, "cc Zugor Pellvold, Xanti Qwerty\nx@y.example"), (2, ""), (3, None), (4, "a " * 50_000), (5, "nothing")], "doc_id long, text string").withColumns({"mentions": F.lit(1), "redacted": F.lit(2)})
-    known = spark.createDataFrame([("Zugor", "Pellvold"), (None, None), ("Xanti", "Qwerty"), ("Ab", "Cd"), ("Zugor", "Pellvold")], "given_name string, family_name string")
-    got = {r.doc_id: r.redacted for r in pii.find_pii(docs, known).collect()}
-    assert got[1] == "cc [PERSON], [PERSON]\n[EMAIL]" and got[2] == "" and got[3] is None and got[5] == "nothing"
-    assert {(r.pii_type, r.value) for r in pii.found_pii(docs, known).collect()} == {("person", "Zugor Pellvold"), ("person", "Xanti Qwerty"), ("email", "x@y.example")}
+    monkeypatch.setattr(hot_keys, "HOT", hot)
+    docs = spark.createDataFrame([(1, "cc Zugor Pellvold, Xanti Qwerty\nx@y.example"), (2, ""), (3, None), (4, "a " * 50_000), (5, "nothing"), (5, "nothing"), (6, "Zugor Qwerty is here"), (6, "Zugor Qwerty is here"), (None, "Xanti Pellvold is here")], "doc_id long, text string").withColumns({"mentions": F.lit(1), "redacted": F.lit(2)})
+    known = spark.createDataFrame([("Zugor", "Pellvold"), (None, None), ("Xanti", "Qwerty"), ("Ab", "Cd"), ("Zugor", "Pellvold"), ("", " ")], "given_name string, family_name string")
+    rows = pii.find_pii(docs, known).collect()
+    got = {r.doc_id: r.redacted for r in rows}
+    assert Counter(r.doc_id for r in rows) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 2, None: 1}
+    assert got[1] == "cc [PERSON], [PERSON]\n[EMAIL]" and got[2] == "" and got[3] is None and got[5] == "nothing" and got[6] == "[PERSON] is here" and got[None] == "[PERSON] is here"
+    assert {(r.pii_type, r.value) for r in pii.found_pii(docs, known).collect()} == {("person", x) for x in ("Zugor Pellvold", "Xanti Qwerty", "Zugor Qwerty", "Xanti Pellvold")} | {("email", "x@y.example")}
     assert pii.found_pii(docs.limit(0), known).count() == 0 and pii.found_pii(docs, known.limit(0)).count() >= 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_joined_names_give_the_same(spark, monkeypatch):
+    docs, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "contributors"))
+    sent = sorted(map(repr, pii.find_pii(docs, known).collect()))
+    monkeypatch.setattr(pii, "PEOPLE", 5)
+    assert sorted(map(repr, pii.find_pii(docs, known).collect())) == sent
+
+
 # all
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", list(queries.QUERIES))
