@@ -151,8 +151,11 @@ def stripped(text: Column) -> Column:
 
 
 def valid_text(content: Column) -> Column:
-    """Bytes as UTF-8 text, without what isn't valid."""
-    return F.translate(F.expr("make_valid_utf8({0})".format("cast(content as string)")) if False else F.call_function("make_valid_utf8", content.cast("string")), "�", "")
+    """Bytes as UTF-8 text, without what isn't valid; a replacement character that the text has itself stays."""
+    # U+FFFD of the text is set aside first, by a code point that no text in UTF-8 holds as such bytes
+    aside = F.call_function("regexp_replace", F.decode(content, "ISO-8859-1"), F.lit("\u00ef\u00bf\u00bd"), F.lit("\u00ef\u00b7\u0090"))
+    valid = F.translate(F.call_function("make_valid_utf8", F.encode(aside, "ISO-8859-1").cast("string")), "\ufffd", "")
+    return F.when(F.contains(content, F.lit(b"\xef\xbf\xbd")), F.translate(valid, "\ufdd0", "\ufffd")).otherwise(F.translate(F.call_function("make_valid_utf8", content.cast("string")), "\ufffd", ""))
 
 
 # Names that are no missing symbols, and the patterns of references and definitions.

@@ -21,22 +21,29 @@ OVERLAP, PREVIEW = 5, 500
 IMPORTS, EXPORTS, SIGNATURES, SUMMARY = 20, 10, 30, 2000
 COMMENT = {"python": "#", "bash": "#", "ruby": "#", "yaml": "#", "toml": "#"}
 
-_RANGES = "struct<at: int, begin: int, size: int, done: array<struct<begin: int, end: int>>>"
+_RANGE = "array<struct<begin: int, end: int>>"
+_RANGES = f"struct<at: int, begin: int, size: int, done: array<{_RANGE}>, part: {_RANGE}>"
+#: Ranges gathered before they are put with the others, which are copied as often as that happens.
+_PART = 64
 
 
 def fold(text: Column) -> Column:
     """Ranges of lines: a chunk closes with the line that brings it, line ends counted, to MOST characters."""
     lines = F.split(text, "\n", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("begin"), F.lit(0).alias("size"), F.array().cast("array<struct<begin: int, end: int>>").alias("done"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("begin"), F.lit(0).alias("size"), F.array().cast(f"array<{_RANGE}>").alias("done"), F.array().cast(_RANGE).alias("part"))
 
     def step(a: Column, line: Column) -> Column:
         at, size = a["at"] + 1, a["size"] + F.length(line) + 1
         full = size >= MOST
-        grown = F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), at.alias("end"))))
-        return F.struct(at.alias("at"), F.when(full, at + 1).otherwise(a["begin"]).alias("begin"), F.when(full, 0).otherwise(size).alias("size"), F.when(full, grown).otherwise(a["done"]).alias("done"))
+        grown = F.concat(a["part"], F.array(F.struct(a["begin"].alias("begin"), at.alias("end"))))
+        moved = full & (F.size(a["part"]) >= _PART)
+        part = F.when(moved, F.slice(grown, -1, 1)).when(full, grown).otherwise(a["part"])
+        done = F.when(moved, F.concat(a["done"], F.array(a["part"]))).otherwise(a["done"])
+        return F.struct(at.alias("at"), F.when(full, at + 1).otherwise(a["begin"]).alias("begin"), F.when(full, 0).otherwise(size).alias("size"), done.alias("done"), part.alias("part"))
 
     def rest(a: Column) -> Column:
-        return F.when(a["begin"] <= a["at"], F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), a["at"].alias("end"))))).otherwise(a["done"])
+        every = F.concat(F.flatten(a["done"]), a["part"])
+        return F.when(a["begin"] <= a["at"], F.concat(every, F.array(F.struct(a["begin"].alias("begin"), a["at"].alias("end"))))).otherwise(every)
 
     return F.aggregate(lines, zero.cast(_RANGES), lambda a, x: step(a, x).cast(_RANGES), rest)
 

@@ -28,6 +28,8 @@ LIBRARY = (
     "tempfile hashlib base64 uuid contextlib warnings traceback"
 ).split()
 STRINGS = "array<string>"
+#: Nodes of a frontier that are broadcast.
+FEW = 100_000
 
 
 def language(path: Column) -> Column:
@@ -71,18 +73,18 @@ def bases(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """
     rows = imports if "root" in imports.columns else imports.withColumn("root", F.lit(""))
     if aliases is not None:
-        keyed = rows.withColumn("_id", F.xxhash64("src", "ord"))
         fits = F.startswith(F.col("import"), F.col("prefix"))
         few = aliases.limit(10_001).count() <= 10_000
-        small = aliases.select("prefix", "target", F.col("ord").alias("alias_ord"))
+        of_root = ["root"] if "root" in aliases.columns else []
+        small = aliases.select(*of_root, "prefix", "target", F.col("ord").alias("alias_ord"))
         small = F.broadcast(small) if few else small
         first = F.substring("import", 1, 1)
         rest = F.substring(F.col("import"), F.length("prefix") + 1, F.lit(1 << 30))
-        met = keyed.withColumn("_c", first).join(small.withColumn("_c", F.substring("prefix", 1, 1)), "_c").filter(fits)
+        met = rows.withColumn("_c", first).join(small.withColumn("_c", F.substring("prefix", 1, 1)), ["_c", *of_root]).filter(fits)
         # an import meets the aliases that fit it, a few
         ordered = F.array_sort(F.collect_list(F.struct("alias_ord", F.concat("target", rest).alias("to"))))
-        targets = met.groupBy("_id").agg(F.transform(ordered, lambda s: s["to"]).alias("aliased"))
-        rows = keyed.join(targets, "_id", "left").drop("_id")
+        targets = met.groupBy("src", "ord", "import").agg(F.transform(ordered, lambda s: s["to"]).alias("aliased"))
+        rows = rows.join(targets, ["src", "ord", "import"], "left")
     else:
         rows = rows.withColumn("aliased", F.lit(None).cast(STRINGS))
     i, lang = F.col("import"), F.col("language")
@@ -114,9 +116,10 @@ def candidate_paths(base: Column, lang: Column) -> Column:
     return F.array_distinct(made)
 
 
-def resolve(files: DataFrame, root: Column | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """``src, dst, ord``: for every import the first of its candidates that is a file; a target once per source, itself never."""
-    rows = raw_imports(files).distinct()
+def resolve(files: DataFrame, root: Column | None = None, aliases: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """``src, dst, ord``: for every import the first of its candidates that is a file; a target once per source, itself never.
+    ``imports`` are those of ``raw_imports`` where they are known already; the files' contents aren't read then."""
+    rows = (raw_imports(files) if imports is None else imports.select("src", "language", "ord", "import")).distinct()
     if root is not None:
         rows = rows.join(files.select(F.col("path").alias("src"), root.alias("root")).distinct(), "src")
     based = bases(rows, aliases)
@@ -138,15 +141,15 @@ def still_valid(cache: DataFrame, files: DataFrame, within: float = 0.01) -> Dat
 def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst", begin: int = 0) -> DataFrame:
     """``node, depth``: what ``start`` (column ``node``) reaches within ``depth`` hops, at its least depth.
 
-    Each hop joins the frontier alone with the edges and leaves out what was met before; its lineage is
+    Each hop joins the frontier alone with the edges, which don't move where that is small, and leaves out what was met before; its lineage is
     cut, so hop n doesn't repeat the hops before it.
     """
-    links = edges.filter(F.col(dst).isNotNull() & F.col(src).isNotNull()).select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    links = cut(links)
+    links = edges.filter(F.col(dst).isNotNull() & F.col(src).isNotNull()).select(F.col(src).alias("node"), F.col(dst).alias("next"))
     seen = cut(start.select("node").distinct().withColumn("depth", F.lit(begin)))
     frontier = seen
     for hop in range(begin + 1, begin + depth + 1):
-        new = frontier.select("node").join(links, "node").select(F.col("next").alias("node")).distinct()
+        few = F.broadcast if frontier.limit(FEW + 1).count() <= FEW else lambda df: df
+        new = links.join(few(frontier.select("node")), "node").select(F.col("next").alias("node")).distinct()
         frontier = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)))
         if frontier.isEmpty():
             break

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,23 +49,47 @@ def _leave_no_trace(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside go when this ends: for operations whose results are written elsewhere by then."""
+    written: list[str] = []
+    _scratch.append(written)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in written:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs neither repeat
-    its work nor depend on executors that may be lost. The table goes with the session."""
+    its work nor depend on executors that may be lost. The table goes with the session, or with the ``scratch`` it is written in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _leave_no_trace(spark, path)
+    if _scratch:
+        _scratch[-1].append(path)
+    else:
+        _leave_no_trace(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a scan up to which it is dealt out anew; a larger one has splits enough of its own.
+SPREAD = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out to all of them; any other as it is. So small
-    input, such as one file, doesn't leave a costly step to one task, and large input isn't moved."""
+    """A scan of fewer partitions than there are cores, dealt out to all of them, if it is no larger than SPREAD; any other as it is.
+    So small input, such as one file, doesn't leave a costly step to one task, and large input isn't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     try:
         plan = df._jdf.queryExecution()
-        if "Exchange" in plan.executedPlan().toString():  # partitioned anew already
+        if "Exchange" in plan.executedPlan().toString() or plan.optimizedPlan().stats().sizeInBytes().longValue() > SPREAD:
             return df
         held = plan.toRdd().getNumPartitions()
     except Exception:  # no classic DataFrame
