@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut, spread
 from . import bm25
 
 
@@ -15,14 +14,13 @@ def symbols(texts: DataFrame, key: str, content: str = "content") -> DataFrame:
     return texts.select(key, F.explode(X.missing_symbols(F.col(content))).alias("symbol"))
 
 
+def questions(wanted: DataFrame) -> DataFrame:
+    """``qid, term`` of the query "<symbol> definition" for each ``symbol``."""
+    return wanted.select(F.col("symbol").alias("qid"), F.explode(X.code_tokens(F.concat("symbol", F.lit(" definition")))).alias("term"))
+
+
 def best(chunks: DataFrame, wanted: list[str], limit: int = 1) -> DataFrame:
     """``symbol, id, score, rank``: for each symbol the chunks that answer "<symbol> definition", in one pass for all."""
-    spark = chunks.sparkSession
-    tokens = spread(chunks).select("id", X.code_tokens(bm25.documents(chunks)).alias("t"))
-    queries = spark.createDataFrame([(s,) for s in wanted], "qid string").select("qid", F.explode(X.code_tokens(F.concat("qid", F.lit(" definition")))).alias("term"))
-    queries = cut(queries)
-    sizes = cut(tokens.select("id", F.size("t").alias("dl"), F.array_intersect("t", F.array(*(F.lit(r[0]) for r in queries.select("term").distinct().collect()))).alias("hits")).dropDuplicates(["id"]))
-    n, average = sizes.agg(F.count("*"), F.avg("dl")).first()
-    posting = sizes.select(F.explode("hits").alias("term"), "id", "dl")
-    found = bm25.search_many(posting, n, average or 1.0, queries, "id", limit)
+    asked = questions(chunks.sparkSession.createDataFrame([(s,) for s in wanted], "symbol string"))
+    found = bm25.search_corpus(chunks, "id", X.code_tokens(bm25.documents(chunks)), asked, limit, once=True)
     return found.withColumnRenamed("qid", "symbol")

@@ -147,10 +147,8 @@ def search_chunks(s, d):
 
 
 def bm25_batch(s, d):
-    posting = bm25.postings(spread(_docs(s, d)), "doc_id", raw(F.col("text")))
-    n, average = _docs(s, d).agg(F.count("*"), F.avg(F.size(raw(F.col("text"))))).first()
     q = _t(s, d, "eval_items").filter("text is not null").select(F.col("item_id").alias("qid"), F.explode(raw(F.col("text"))).alias("term"))
-    return bm25.search_many(posting, n, average or 1.0, q, "doc_id", 3).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return bm25.search_corpus(_docs(s, d), "doc_id", raw(F.col("text")), q, 3).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 # exact search
@@ -194,7 +192,7 @@ def grep_regex(s, d):
 
 
 def grep_short_pattern_cap(s, d):
-    return grep.grep_literal(files(s, d), SHORT, 20).select("file", "line", "match")
+    return grep.grep_literal(files(s, d), SHORT, 20, unfiltered=100).select("file", "line", "match")
 
 
 # maintenance
