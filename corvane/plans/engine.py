@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..errors import CorvaneError, one_of, query_text
 from ..functions import text as X
 from ..operators import bm25, chunking, delta, graph, grep, outline, pack, probe
-from ..session import cut, ship
+from ..session import cut, scratch, ship
 from ..sources import files as sources
 from ..sources.store import Store
 from . import render
@@ -30,29 +30,64 @@ class Engine:
 
     # index
     def index(self, force: bool = False) -> dict:
-        """Brings the index up to date and says how: rebuilt, updated or up_to_date, and the number of new chunks."""
+        """Brings the index up to date and says how: rebuilt, updated or up_to_date, and the number of new chunks.
+
+        An update chunks, tokenises and writes what changed; of the rest it compares times, and resolves
+        imports anew from those stored, since a new file may be what an old one imports.
+        """
         now = self.files.filter(F.col("content").isNotNull())
         if force:
             self.store.purge()
-        fresh = not self.store.current()
-        if fresh:
-            new = cut(chunking.indexed(self._chunked(now)))
-            every, kept = new, now
-        else:
-            plan = cut(delta.plan(now, self.store.read("files")))
-            if plan.filter("action <> 'keep'").isEmpty():
+        with scratch(self.spark):
+            if not self.store.current():
+                return {"status": "rebuilt", "chunks": self._write(now, None)}
+            stored = self.store.read("files").select("path", "mtime")
+            plan = cut(delta.plan(now, stored))
+            counts = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}
+            if not counts.keys() - {"keep"}:
                 return {"status": "up_to_date", "chunks": 0}
-            changed = delta.touched(plan, "add", "modify")
-            new = cut(chunking.indexed(self._chunked(now.join(changed, "path", "left_semi"))))
-            every, kept = cut(delta.apply(self.store.read("chunks"), plan, new)), now
-        posting = bm25.postings(every.withColumnRenamed("id", "chunk_id"), "chunk_id", X.code_tokens(bm25.documents(every)))
-        posting = cut(posting)
-        stats = posting.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
-        self.store.write(stats=stats, files=cut(kept), chunks=every, postings=posting, trigrams=grep.postings(kept), edges=graph.resolve(kept))
-        return {"status": "rebuilt" if fresh else "updated", "chunks": new.count()}
-
-    def _chunked(self, files: DataFrame) -> DataFrame:
-        return chunking.chunk_definitions(files.select("path", "content"))
+            replaced = counts.get("modify", 0) + counts.get("remove", 0)
+            if self.store.crowded(replaced, sum(counts.values())):
+                return {"status": "updated", "chunks": self._write(now, None, plan)}
+            return {"status": "updated", "chunks": self._write(now, plan)}
+
+    def _write(self, now: DataFrame, plan: DataFrame | None, of: DataFrame | None = None) -> int:
+        """A generation of what ``plan`` says has changed, or of everything; the number of new chunks (of those changed by ``of``)."""
+        whole = plan is None
+        changed = now if whole else cut(now.join(delta.touched(plan, "add", "modify"), "path", "left_semi"))
+        new = cut(chunking.indexed(chunking.chunk_definitions(changed.select("path", "content"))))
+        posting = cut(bm25.postings(new.withColumnRenamed("id", "chunk_id"), "chunk_id", X.code_tokens(bm25.documents(new))))
+        imports = cut(graph.raw_imports(changed).distinct())
+        # chunks without any token have no postings and no length
+        counted = posting.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        paths, links, grams, gone = now.select("path"), imports, grep.postings(changed), {}
+        if not whole:
+            removed = cut(delta.touched(plan, "modify", "remove"))
+            old = self.store.read("chunks").select(F.col("file_path").alias("path"), F.col("id").alias("chunk_id")).join(removed, "path", "left_semi").select("chunk_id")
+            old = cut(old)
+            lost = self.store.read("postings").join(old, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+            every = self.store.read("stats").select("n", "total").unionByName(counted).unionByName(lost.select((-F.col("n")).alias("n"), (-F.col("total")).alias("total")))
+            counted = cut(every.agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+            links = self.store.read("imports").join(delta.touched(plan, "modify", "remove").withColumnRenamed("path", "src"), "src", "left_anti").unionByName(imports)
+            gone = {"removed": removed, "removed_chunks": old}
+        edges = graph.resolve(paths, aliases=self._aliases(), imports=links)
+        size = now.agg(F.sum(F.length("content"))).first()[0] or 0 if whole else 0
+        self.store.write(whole=whole, size=size, stats=counted, files=changed, chunks=new, postings=posting, trigrams=grams, imports=imports, edges=edges, **gone)
+        return new.count() if of is None else new.join(delta.touched(of, "add", "modify").withColumnRenamed("path", "file_path"), "file_path", "left_semi").count()
+
+    def _aliases(self) -> DataFrame | None:
+        """The path aliases that the settings at the root name."""
+        settings = self.files.filter(F.col("path").isin("tsconfig.json", "jsconfig.json"))
+        found = sources.aliases(settings)
+        return None if found.isEmpty() else found
+
+    def statistics(self) -> tuple[int, float]:
+        n, total = self.store.read("stats").select("n", "total").first()
+        return n, total / n if n else 1.0
+
+    def forget_imports(self) -> None:
+        """Imports are read from the files again with the next index."""
+        self.store.purge()
 
     def chunks(self) -> DataFrame:
         if not self.store.current():
@@ -72,20 +107,26 @@ class Engine:
         if not words:
             return chunks.limit(0).withColumn("score", F.lit(0.0))
         mine = self.store.of("postings", words)
-        n, average = self.store.read("stats").first()
+        n, average = self.statistics()
         queries = self.spark.createDataFrame([("q", w) for w in words], "qid string, term string")
-        best = bm25.search_many(mine, n, average or 1.0, queries, "chunk_id", limit)
+        best = bm25.search_many(mine, n, average, queries, "chunk_id", limit)
         base = bm25.DELTA * sum(r[0] for r in bm25.terms(mine, n).select("idf").collect())
         found = chunks.join(F.broadcast(best.withColumnRenamed("chunk_id", "id").select("id", (F.col("score") + base).alias("score"))), "id")
         ordered = found.orderBy(F.col("score").desc(), "file_path", "start_line")
         return ordered.filter(F.col("score") >= min_score) if min_score is not None else ordered
 
-    def grep(self, pattern: str, regex: bool = False, limit: int | None = 20) -> DataFrame:
+    def _many(self, queries: DataFrame, limit: int) -> DataFrame:
+        """Several queries (``qid, term``) over the stored postings of their terms."""
+        queries = cut(queries)
+        words = [r[0] for r in queries.select("term").distinct().collect()]
+        return bm25.search_many(self.store.of("postings", words), *self.statistics(), queries, "chunk_id", limit)
+
+    def grep(self, pattern: str, regex: bool = False, limit: int | None = 20, per_file: int | None = grep.PER_FILE) -> DataFrame:
         self.chunks()
         literals = X.regex_literals(pattern) if regex and _valid(pattern) else [pattern]
         wanted = grep.grams(literals)
         posting = self.store.of("trigrams", wanted) if wanted else None
-        return (grep.grep_regex if regex else grep.grep_literal)(self.store.read("files"), pattern, limit, posting)
+        return (grep.grep_regex if regex else grep.grep_literal)(self.store.read("files"), pattern, limit, posting, per_file=per_file)
 
     def find(self, query: str, most: int = 5) -> DataFrame:
         """The best places for a query, of twice as many that are looked at."""
@@ -148,11 +189,9 @@ class Engine:
             own = self.chunks().filter((F.col("file_path") == path) & (F.length("name") > 4)).withColumn("n", F.row_number().over(w)).filter("n <= 5")
             names = [r[0] for r in own.select("name").collect()]
             if names:
-                posting, chunks = self.store.read("postings"), self.chunks()
-                n, average = self.store.read("stats").first()
                 q = self.spark.createDataFrame([(s,) for s in names], "qid string").select("qid", F.explode(X.code_tokens(F.col("qid"))).alias("term"))
-                hits = bm25.search_many(posting.drop("bucket"), n, average or 1.0, q, "chunk_id", 20)
-                near = chunks.join(hits.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(F.col("file_path").alias("node")).distinct()
+                hits = self._many(q, 20)
+                near = self.chunks().join(F.broadcast(hits.select(F.col("chunk_id").alias("id")).distinct()), "id", "left_semi").select(F.col("file_path").alias("node")).distinct()
         return graph.impact(self.edges(), start, depth, near)
 
     # packing
@@ -218,8 +257,10 @@ class Engine:
         wanted = [r[0] for r in probe.symbols(one.withColumn("k", F.lit(0)), "k").select("symbol").orderBy("symbol").limit(limit).collect()]
         if not wanted:
             return []
-        found = probe.best(self.chunks(), wanted).join(self.chunks(), "id")
-        at = {r["symbol"]: r for r in found.collect()}
+        self.chunks()
+        asked = probe.questions(self.spark.createDataFrame([(w,) for w in wanted], "symbol string"))
+        hits = cut(self._many(asked, 1).select(F.col("qid").alias("symbol"), F.col("chunk_id").alias("id"), "score"))
+        at = {r["symbol"]: r for r in self.chunks().join(F.broadcast(hits), "id").collect()}
         return [{"symbol": s, "file": at[s]["file_path"] if s in at else None, "line": at[s]["start_line"] if s in at else None, "suggestion": f"{s} definition"} for s in wanted]
 
     def map(self, form: str = "tree", signatures: bool = True, most: int | None = 10) -> str:
