@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut, partitions
 
 # What is no source, as globs relative to the root, and folders a map leaves out.
 EXCLUDED = (
@@ -40,53 +42,86 @@ def is_text(content: Column) -> Column:
     return F.position(F.lit(b"\x00"), F.substring(content, 1, SNIFFED)) == 0
 
 
-def read_tree(spark: SparkSession, root: str, *, sizes: bool = True, globs: tuple[str, ...] = tuple(EXCLUDED)) -> DataFrame:
+#: Entries that a task lists of the folders below before it leaves the rest to others; bytes of contents in a batch.
+LISTED, BATCH = 5_000, 32 << 20
+_ENTRY = "path string, folder boolean, mtime double, length bigint"
+
+
+def _uri(root: str) -> str:
+    return root if re.match(r"[a-z][a-z0-9+.-]*:", root) else "file://" + os.path.abspath(root)
+
+
+def listing(spark: SparkSession, root: str, globs: tuple[str, ...] = tuple(EXCLUDED)) -> DataFrame:
+    """``path, mtime, length`` of all files below ``root``, hidden ones too, by paths relative to it.
+
+    Folders are listed by the workers: each goes down from the folders it is given until it has met LISTED entries, and what is
+    left goes to all workers again. Folders that ``globs`` exclude as a whole aren't entered; links to folders aren't followed.
+    """
+    uri, closed = _uri(root), frozenset(g.removesuffix("/**") for g in globs if g.endswith("/**"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        base = base.rstrip("/")
+        for b in batches:
+            todo, out = b.column(0).to_pylist(), []
+            while todo and len(out) < LISTED:
+                at = todo.pop()
+                for e in system.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/") or "/", allow_not_found=True)):
+                    inside = e.path[len(base) :].lstrip("/")
+                    if e.type == fs.FileType.File:
+                        out.append((inside, False, e.mtime_ns / 1e9 if e.mtime_ns is not None else None, e.size))
+                    elif e.type == fs.FileType.Directory and inside not in closed and not (uri.startswith("file:") and os.path.islink(e.path)):
+                        todo.append(inside)
+            out += [(at, True, None, None) for at in todo]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.float64(), pa.int64()))], ["path", "folder", "mtime", "length"])
+
+    found, todo = None, spark.createDataFrame([("",)], "path string")
+    while True:
+        level = cut(todo.repartition(partitions(spark)).mapInArrow(walk, _ENTRY))
+        files = level.filter("not folder").select("path", "mtime", "length")
+        found = files if found is None else found.unionByName(files)
+        todo = level.filter("folder").select("path")
+        if todo.isEmpty():
+            return found
+
+
+def read_tree(spark: SparkSession, root: str, *, sizes: bool = True, most: int = MAX_SIZE, globs: tuple[str, ...] = tuple(EXCLUDED)) -> DataFrame:
     """``path, mtime, length, content`` of the text files below ``root``, which are read in parallel.
 
-    The size is tested on the listing, so files too large are never opened.
+    Sizes (up to ``most`` bytes; any without ``sizes``) and ``globs`` are tested on the listing, so files left out are never opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if sizes:
-        raw = raw.filter(sized(F.col("length")))
-    raw = raw.select("path", "modificationTime", "length", "content").unionByName(_underscored(spark, root, sizes))
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    inside = X.relative(path, root)
-    kept = raw.filter(~excluded(inside, globs)).filter(is_text(F.col("content")))
-    return kept.select(inside.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), "length", X.valid_text(F.col("content")).alias("content"))
-
-
-_RAW = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def _underscored(spark: SparkSession, root: str, sizes: bool) -> DataFrame:
-    """Files below a name that begins with an underscore, which Spark's own listing passes over."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found, todo = [], [(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop, False)]
-    while todo:
-        fs, at, hidden = todo.pop()
-        for s in fs.listStatus(at):
-            name = s.getPath().getName()
-            if name.startswith(".") or name in SKIPPED:
-                continue
-            below = hidden or name.startswith("_")
-            if s.isDirectory():
-                todo.append((fs, s.getPath(), below))
-            elif below and (not sizes or 0 < s.getLen() <= MAX_SIZE):
-                found.append((s.getPath().toString(), s.getModificationTime() / 1000, s.getLen()))
+    listed = listing(spark, root, globs).filter(~excluded(F.col("path"), globs))
+    listed = (listed.filter(sized(F.col("length"), most)) if sizes else listed).repartition(partitions(spark))
+    uri = _uri(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as files
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(uri)
         for b in batches:
-            contents = []
-            for uri in b.column(0).to_pylist():
-                system, at = files.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-                with system.open_input_stream(at) as f:
-                    contents.append(f.read())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(contents, pa.binary())], ["path", "modificationTime", "length", "content"])
-
-    listed = spark.createDataFrame(found, "path string, t double, length bigint").select("path", F.timestamp_seconds("t").alias("modificationTime"), "length")
-    return listed.mapInArrow(read, _RAW)
+            rows, held = [], 0
+            for path, mtime, length in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                        rows.append((path, mtime, length, f.read()))
+                except OSError:  # gone since it was listed, or not to be read
+                    continue
+                held += length or 0
+                if held >= BATCH:
+                    yield _contents(rows)
+                    rows, held = [], 0
+            yield _contents(rows)
+
+    raw = listed.mapInArrow(read, "path string, mtime double, length bigint, content binary")
+    return raw.filter(is_text(F.col("content"))).select("path", "mtime", "length", X.valid_text(F.col("content")).alias("content"))
+
+
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.binary()))], ["path", "mtime", "length", "content"])
 
 
 def aliases(settings: DataFrame, content: str = "content") -> DataFrame:

@@ -106,6 +106,14 @@ def test_grep(spark):
         assert grep.grep_literal(files, p, None, posting).exceptAll(grep.grep_literal(files, p, None)).isEmpty()
     assert [(r.line, r.match) for r in grep.grep_regex(files, r"^fir\w+", 3).collect()] == [(1, "first"), (3, "first"), (1, "first")]
     assert grep.grep_regex(files, "(?i)FIRST", None).count() == 7
+    for per_file in (None, 60):
+        assert grep.grep_literal(files, "first", None, per_file=per_file).count() == 11 and grep.grep_literal(files, "aa", None, per_file=per_file).count() == 4
+        assert sorted(map(repr, grep.grep_literal(files, "first", None, per_file=per_file).collect())) == sorted(map(repr, grep.grep_literal(files, "first", None, per_file=9).collect()))
+    assert grep.grep_regex(files, "first", None, per_file=None).count() == 11
+    many = spark.createDataFrame([(f"f{i:03}", "raise ValueError\ncall(1)\n") for i in range(300)], "path string, content string")
+    for pattern in ("raise ValueError", "(?i)RAISE valueerror", r"\w+\(\d\)", "(raise|throw) \\w"):
+        assert grep.grep_regex(many, pattern, None).count() == 300 and grep.grep_regex(many, pattern, None, grep.postings(many)).count() == 300
+    assert grep.grep_literal(many, "ra", None).count() == 300 and grep.grep_literal(many, "ra", None, unfiltered=100).count() == 100
     assert "second line" in grep.grep_literal(files, "second").first().context
     for bad in ("", "  "):
         with pytest.raises(CorvaneError):
@@ -230,12 +238,20 @@ def test_excluded(spark, path, out):
     assert spark.range(1).select(sources.excluded(F.lit(path))).first()[0] is out
 
 
-def test_read_tree(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1", "__init__.py": b"y", "_d/z.py": b"z", "big": b"x" * ((1 << 20) + 1), "fit": b"x" * (1 << 20), "zero": b"", "nul": b"a\x00b", "late": b"a" * 8192 + b"\x00", "bad": b"A\xffB", "node_modules/k.js": b"k"}.items():
+def test_read_tree(spark, tmp_path, monkeypatch):
+    for name, data in {"a.py": b"x = 1", "__init__.py": b"y", "_d/z.py": b"z", ".h/q.py": b"q", "big": b"x" * ((1 << 20) + 1), "fit": b"x" * (1 << 20), "zero": b"", "nul": b"a\x00b", "late": b"a" * 8192 + b"\x00", "bad": b"A\xffB", "fffd": "a\ufffdb".encode() + b"\xff", "node_modules/k.js": b"k", "d/node_modules/k.js": b"k"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
+    for k in range(40):
+        (tmp_path / f"deep/{k % 7}/{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"deep/{k % 7}/{k % 3}/{k}.py").write_text(str(k))
+    monkeypatch.setattr(sources, "LISTED", 5)
     got = {r.path: r.content for r in sources.read_tree(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.py", "__init__.py", "_d/z.py", "fit", "late", "bad"} and got["bad"] == "AB"
+    assert {p for p in got if not p.startswith("deep/")} == {"a.py", "__init__.py", "_d/z.py", ".h/q.py", "fit", "late", "bad", "fffd", "d/node_modules/k.js"} and got["bad"] == "AB" and got["fffd"] == "a\ufffdb"
+    assert sum(p.startswith("deep/") for p in got) == 40 and got["deep/3/1/10.py"] == "10"
+    assert "big" in {r.path for r in sources.read_tree(spark, str(tmp_path), sizes=False).collect()}
+    assert "fit" not in {r.path for r in sources.read_tree(spark, str(tmp_path), most=1000).collect()}
+    assert sources.read_tree(spark, str(tmp_path / "absent")).count() == 0
 
 
 BRACED = {
