@@ -1,60 +1,46 @@
-"""Coded errors, with a suggestion and three renderings each."""
+"""Errors with a code callers may rely on, what to do about them, and three renderings."""
 
 from __future__ import annotations
 
 from typing import Any
 
-# The codes callers may rely on, and what to do about each.
-SUGGESTIONS = {
-    "INVALID_PATH": "Check that the path exists and is accessible",
-    "INVALID_QUERY": "Provide a non-empty search query",
-    "MISSING_REQUIRED": "Provide either a focus or a query (or both)",
-    "NO_INDEX": "Build the index first",
-    "INDEX_STALE": "Rebuild the index by force",
-    "INDEX_BUILD_FAILED": "Check file permissions and disk space",
-    "NO_RESULTS": "Try a broader query or a lower score threshold",
-    "SEARCH_FAILED": "Try rebuilding the index by force",
-    "FILE_NOT_FOUND": "Verify the file path is correct",
-    "FILE_READ_ERROR": "Check file permissions and encoding",
-    "UNSUPPORTED_FILE_TYPE": "Use a file of a supported language",
-    "MODEL_LOAD_FAILED": "Check that the model's files are in place",
-    "OUT_OF_MEMORY": "Ask for fewer files or chunks",
-    "INTERNAL_ERROR": "Report this with the query that caused it",
-}
+# The codes.
+CODES = frozenset(["INVALID_PATH", "INVALID_QUERY", "MISSING_REQUIRED", "NO_INDEX", "INDEX_BUILD_FAILED", "FILE_NOT_FOUND"])
 
 
 class CorvaneError(Exception):
-    def __init__(self, code: str, message: str, suggestion: str | None = None, **context: Any):
-        if code not in SUGGESTIONS:
+    def __init__(self, code: str, message: str, advice: str = "", **context: Any):
+        if code not in CODES:
             raise ValueError(f"unknown error code {code!r}")
         super().__init__(message)
-        self.code, self.message, self.suggestion, self.context = code, message, suggestion or SUGGESTIONS[code], context
+        self.code, self.message, self.advice, self.context = code, message, advice, context
 
     def as_dict(self) -> dict[str, Any]:
-        return {"error": self.message, "code": self.code, "suggestion": self.suggestion, "context": self.context}
+        return {"code": self.code, "message": self.message, **({"advice": self.advice} if self.advice else {}), **({"context": self.context} if self.context else {})}
 
     def as_xml(self) -> str:
         from .plans.render import attributes, escape
 
-        return f"<error {attributes(code=self.code, **self.context)}>\n  <message>{escape(self.message)}</message>\n  <suggestion>{escape(self.suggestion)}</suggestion>\n</error>"
+        advice = f"<advice>{escape(self.advice)}</advice>" if self.advice else ""
+        return f"<error {attributes(code=self.code, **self.context)}><message>{escape(self.message)}</message>{advice}</error>"
 
     def as_text(self) -> str:
-        lines = [f"Error [{self.code}]: {self.message}", f"Suggestion: {self.suggestion}"]
-        return "\n".join(lines + [f"Context: {self.context}"] * bool(self.context))
+        about = ", ".join(f"{k}={v}" for k, v in self.context.items())
+        return f"{self.code}: {self.message}" + (f" ({about})" if about else "") + (f"; {self.advice}" if self.advice else "")
 
 
 def query_text(query: str | None) -> str:
     if not query or not query.strip():
-        raise CorvaneError("INVALID_QUERY", "the query is empty")
+        raise CorvaneError("INVALID_QUERY", "the query is empty", "say what to look for")
     return query
 
 
 def one_of(focus: str | None, query: str | None) -> None:
     if not focus and not (query and query.strip()):
-        raise CorvaneError("MISSING_REQUIRED", "neither a focus nor a query is given")
+        raise CorvaneError("MISSING_REQUIRED", "neither a focus nor a query is given", "name a file to start from, or what to look for")
 
 
 def token_limit(n: int | None) -> int | None:
     if n is not None and n <= 0:
-        raise CorvaneError("INVALID_QUERY", "a token limit must be positive; leave it out for none")
+        raise CorvaneError("INVALID_QUERY", "a token limit must be positive", "leave it out for none")
     return n

@@ -157,6 +157,17 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst:
     return seen
 
 
+def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """``path, depth, imports, imported_by``: what ``start`` reaches, and for each which others of these it imports and is imported by."""
+    met = reach(edges, start, depth)
+    near = met.select("node")
+    pairs = importers(edges).join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").join(near.withColumnRenamed("node", "src"), "src", "left_semi")
+    out = pairs.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
+    back = pairs.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("imported_by"))
+    none = F.array().cast(STRINGS)
+    return met.join(out, "node", "left").join(back, "node", "left").select(F.col("node").alias("path"), "depth", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
+
+
 def importers(edges: DataFrame) -> DataFrame:
     """``dst, src``: each pair once."""
     return edges.filter(F.col("dst").isNotNull()).select("dst", "src").distinct()

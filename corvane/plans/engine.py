@@ -128,9 +128,10 @@ class Engine:
         posting = self.store.of("trigrams", wanted) if wanted else None
         return (grep.grep_regex if regex else grep.grep_literal)(self.store.read("files"), pattern, limit, posting, per_file=per_file)
 
-    def find(self, query: str, most: int = 5) -> DataFrame:
-        """The best places for a query, of twice as many that are looked at."""
-        return self.search(query, most * 2).filter("node_type <> 'anchor'").limit(most)
+    def find(self, query: str, most: int = 5) -> tuple[DataFrame, int]:
+        """The best places for a query, and how many were looked at: twice as many as are wanted."""
+        met = cut(self.search(query, most * 2))
+        return met.orderBy(F.col("score").desc(), "file_path", "start_line").limit(most), met.count()
 
     # graph
     def edges(self) -> DataFrame:
@@ -150,44 +151,48 @@ class Engine:
 
     def _start(self, path: str) -> DataFrame:
         if self.store.read("files").filter(F.col("path") == path).isEmpty():
-            raise CorvaneError("FILE_NOT_FOUND", "no such file", path=path)
+            raise CorvaneError("FILE_NOT_FOUND", "no such file", "paths are relative to the root", path=path)
         return self.spark.createDataFrame([(path,)], "node string")
 
     def dependencies(self, path: str, depth: int = 3) -> DataFrame:
         return graph.reach(self.edges(), self._start(path), depth)
 
     def discover(self, path: str) -> DataFrame:
-        """``path, kind``: what a file imports to two hops, its importers among those, and up to five files that its name finds."""
-        edges = self.edges()
-        met = graph.reach(edges, self._start(path), 2)
-        imports = met.filter("depth > 0").select(F.col("node").alias("path"), F.lit("import").alias("kind"))
-        back = graph.importers(edges).filter(F.col("dst") == path).select(F.col("src").alias("path"), F.lit("importer").alias("kind"))
+        """``path, imports, imported_by``: what a file reaches in two hops, and of these who imports whom."""
+        return graph.neighbourhood(self.edges(), self._start(path))
+
+    def related(self, path: str, most: int = 5) -> DataFrame:
+        """Up to ``most`` chunks that the file's name finds, outside of what it reaches."""
         stem = re.sub(r"\.[^./]*$", "", path.rpartition("/")[2])
-        near = self.search(stem, 5 + 10).select(F.col("file_path").alias("path")).distinct().join(met.select(F.col("node").alias("path")), "path", "left_anti").limit(5)
-        return imports.unionByName(back).unionByName(near.withColumn("kind", F.lit("related"))).distinct()
+        met = graph.reach(self.edges(), self._start(path), 2)
+        near = self.search(stem, most + 10).join(met.select(F.col("node").alias("file_path")), "file_path", "left_anti")
+        return near.orderBy(F.col("score").desc(), "file_path", "start_line").limit(most)
 
-    def explain(self, path: str, function: str | None = None) -> dict:
-        start, edges = self._start(path), self.edges()
+    def explain(self, path: str, function: str | None = None, most: int = 1_000) -> dict:
+        """A function, or the whole file, with at most ``most`` of what it imports and of what imports it."""
+        edges = self.edges()
+        self._start(path)
         own = self.chunks().filter(F.col("file_path") == path)
         target = own.filter(F.lower("name") == function.lower()).orderBy("start_line").limit(1).collect() if function else []
         related = []
         if function:
             stem = re.sub(r"\.[^./]*$", "", path.rpartition("/")[2])
-            related = [r["file_path"] for r in self.search(f"{function} {stem}", 8).filter(F.col("file_path") != path).limit(3).collect()]
-        content = target[0]["content"] if target else self.store.read("files").filter(F.col("path") == path).first()["content"]
+            related = [r.asDict() for r in self.search(f"{function} {stem}", 8).filter(F.col("file_path") != path).limit(3).collect()]
+        content = target[0]["content"] if target else self.store.read("files", F.col("path") == path).first()["content"]
         return {
-            "path": path, "name": target[0]["name"] if target else "", "content": content, "related": related,
-            "imports": [r[0] for r in edges.filter(F.col("src") == path).orderBy("ord").select("dst").collect()],
-            "importers": [r[0] for r in graph.importers(edges).filter(F.col("dst") == path).orderBy("src").select("src").collect()],
+            "path": path, "name": target[0]["name"] if target else "", "start_line": target[0]["start_line"] if target else 1, "end_line": target[0]["end_line"] if target else content.count("\n") + 1,
+            "content": content, "related": related,
+            "imports": [r[0] for r in edges.filter(F.col("src") == path).orderBy("ord").limit(most).select("dst").collect()],
+            "importers": [r[0] for r in graph.importers(edges).filter(F.col("dst") == path).orderBy("src").limit(most).select("src").collect()],
         }
 
-    def impact(self, path: str, depth: int = 3, fuzzy: bool = True) -> DataFrame:
-        """What a change of ``path`` may touch; ``fuzzy`` adds files that its first five symbols find."""
+    def impact(self, path: str, depth: int = 3, fuzzy: bool = True, function: str | None = None) -> DataFrame:
+        """What a change of ``path`` may touch; ``fuzzy`` adds files that its first five symbols, or ``function``, find."""
         start, near = self._start(path), None
         if fuzzy:
             w = Window.partitionBy(F.lit(0)).orderBy("start_line")
             own = self.chunks().filter((F.col("file_path") == path) & (F.length("name") > 4)).withColumn("n", F.row_number().over(w)).filter("n <= 5")
-            names = [r[0] for r in own.select("name").collect()]
+            names = [function] if function else [r[0] for r in own.select("name").collect()]
             if names:
                 q = self.spark.createDataFrame([(s,) for s in names], "qid string").select("qid", F.explode(X.code_tokens(F.col("qid"))).alias("term"))
                 hits = self._many(q, 20)
@@ -195,7 +200,8 @@ class Engine:
         return graph.impact(self.edges(), start, depth, near)
 
     # packing
-    def pack(self, focus: str | None = None, query: str | None = None, *, max_files: int = 10, max_chunks: int = 20, max_tokens: int | None = None, min_score: float | None = None, import_depth: int = 1, offset: int = 0, chunk_mode: bool = False, skeleton: bool = False) -> dict:
+    def pack(self, focus: str | None = None, query: str | None = None, *, max_files: int = 10, max_chunks: int = 20, max_tokens: int | None = None, min_score: float | None = None, import_depth: int = 1, offset: int = 0, chunk_mode: bool = False, skeleton: bool = False, focus_only: bool = False) -> dict:
+        query = None if focus_only else query
         one_of(focus, query)
         focus = self.inside(focus) if focus else None
         files = self.store.read("files") if self.chunks() is not None else None
@@ -236,43 +242,58 @@ class Engine:
                 inside = cut(room)
                 cutoff = pack.at_most(inside, max(0, max_files - len(taken)))
                 reason = "max_files" if inside.count() > max_files - len(taken) else "token_budget" if inside.count() < best.count() else reason
-                for r in cutoff.orderBy("rank").collect():
-                    shown = outline.skeleton_of(r["path"], r["content"], frozenset({r["name"]} if r["name"] else ())) if skeleton else r["content"]
+                # what the query found of a file stays whole: the definitions of that name, and those its lines lie in
+                places = rows.groupBy("path").agg(F.collect_set("name").alias("names"), F.flatten(F.collect_set(F.sequence("start_line", "end_line"))).alias("lines"))
+                for r in cutoff.join(places, "path").orderBy("rank").collect():
+                    shown = outline.skeleton_of(r["path"], r["content"], frozenset(n for n in r["names"] if n), frozenset(r["lines"])) if skeleton else r["content"]
                     taken.append({"path": r["path"], "content": shown, "reason": f"match: {r['name'] or 'chunk'}", "score": r["score"]})
         sized = [(f["content"].count("\n") + 1, len(f["content"]), -(-len(f["content"]) // 4) + 50) for f in [*taken, *chunks]]
         table = self.spark.createDataFrame(sized, "lines int, chars int, tokens int")
         row = pack.summary(table, available, max_chunks if chunk_mode else max_files, offset, reason, max_tokens, "chunks" if chunk_mode else "files").first().asDict()
         return {"files": taken, "chunks": chunks, "summary": row}
 
-    def audit(self, **how) -> DataFrame:
-        """What a pack costs, file by file, without its text."""
+    def audit(self, **how) -> list[dict]:
+        """What a pack costs, file by file, without its text: the dearest first."""
         packed = self.pack(**{**how, "chunk_mode": False})
-        rows = self.spark.createDataFrame([(f["path"], f["content"]) for f in packed["files"]], "path string, content string")
-        return pack.audit(rows).orderBy(F.col("tokens").desc(), "path")
+        rows = self.spark.createDataFrame([(f["path"], f["content"], f["reason"]) for f in packed["files"]], "path string, content string, reason string")
+        costs = {r["path"]: r.asDict() for r in pack.audit(rows).collect()}
+        return sorted(({**costs[f["path"]], "reason": f["reason"]} for f in packed["files"]), key=lambda r: (-r["tokens"], r["path"]))
 
     # symbols and maps
-    def probe(self, text: str, limit: int = 10) -> list[dict]:
-        """Symbols that ``text`` uses and doesn't define, and the chunk that defines each best."""
-        one = self.spark.createDataFrame([(text,)], "content string")
-        wanted = [r[0] for r in probe.symbols(one.withColumn("k", F.lit(0)), "k").select("symbol").orderBy("symbol").limit(limit).collect()]
+    def probe(self, text: str, limit: int = 10) -> dict:
+        """Symbols that ``text`` uses and doesn't define, how many these are, the chunk that defines each of the first ``limit`` best, and what the text defines."""
+        one = self.spark.createDataFrame([(text,)], "content string").withColumn("k", F.lit(0))
+        every = [r[0] for r in probe.symbols(one, "k").select("symbol").orderBy("symbol").collect()]
+        defined = [r[0] for r in one.select(F.explode(F.array_sort(X.definitions(F.col("content"))))).limit(20).collect()]
+        wanted = every[:limit]
         if not wanted:
-            return []
+            return {"count": 0, "missing": [], "defined": defined}
         self.chunks()
         asked = probe.questions(self.spark.createDataFrame([(w,) for w in wanted], "symbol string"))
         hits = cut(self._many(asked, 1).select(F.col("qid").alias("symbol"), F.col("chunk_id").alias("id"), "score"))
         at = {r["symbol"]: r for r in self.chunks().join(F.broadcast(hits), "id").collect()}
-        return [{"symbol": s, "file": at[s]["file_path"] if s in at else None, "line": at[s]["start_line"] if s in at else None, "suggestion": f"{s} definition"} for s in wanted]
-
-    def map(self, form: str = "tree", signatures: bool = True, most: int | None = 10) -> str:
-        """The folders and files; a text as large as the list of paths."""
-        nodes = [r.asDict() for r in sources.tree(self.files.select("path")).collect()]
+        missing = [{"symbol": s, "file": at[s]["file_path"] if s in at else None, "name": at[s]["name"] if s in at else None, "line": at[s]["start_line"] if s in at else None, "suggestion": f"pack focus={at[s]['file_path']}" if s in at else f"search {s} definition"} for s in wanted]
+        return {"count": len(every), "missing": missing, "defined": defined}
+
+    def map_lines(self, most: int | None = 10) -> DataFrame:
+        """``path, at, line``: signatures of all files, as a table of any size."""
+        return outline.shown(outline.signatures(self.files), most)
+
+    def map(self, form: str = "tree", signatures: bool = True, most: int | None = 10, files: int = 20_000) -> str:
+        """The folders and files, the first ``files`` of them by path, as a text; ``map_lines`` has all."""
+        paths = cut(self.files.select("path").orderBy("path").limit(files + 1))
+        held = [r[0] for r in paths.orderBy("path").collect()]
+        shown_paths = self.spark.createDataFrame([(p,) for p in held[:files]], "path string")
+        nodes = [r.asDict() for r in sources.tree(shown_paths).collect()]
         shown: dict[str, list[str]] = {}
         if signatures:
-            for r in outline.shown(outline.signatures(self.files), most).orderBy("path", "at").collect():
+            few = self.files.join(F.broadcast(shown_paths), "path", "left_semi")
+            for r in outline.shown(outline.signatures(few), most).orderBy("path", "at").collect():
                 shown.setdefault(r["path"], []).append(r["line"])
+        rest = f"\n... (files beyond the first {files} by path)" if len(held) > files else ""
         if form == "flat":
-            return "\n".join(line for n in sorted((n for n in nodes if n["is_file"]), key=lambda n: n["path"]) for line in [n["path"], *(f"  {s}" for s in shown.get(n["path"], []))])
-        return render.tree(nodes, shown, self.root)
+            return "\n".join(line for n in sorted((n for n in nodes if n["is_file"]), key=lambda n: n["path"]) for line in [n["path"], *(f"  {s}" for s in shown.get(n["path"], []))]) + rest
+        return render.tree(nodes, shown, self.root) + rest
 
 
 def _valid(pattern: str) -> bool:

@@ -23,15 +23,10 @@ def pack(result: dict, form: str = "xml", *, quiet: bool = False, verbose: bool
 
 
 def _quiet(r: dict) -> str:
-    lines = []
-    if r["files"]:
-        lines += ["# Files", *(f"- {f['path']}" + (f" ({f['score']:.2f})" if f.get("score") is not None else "") for f in r["files"])]
-    if r["chunks"]:
-        lines += ["# Chunks", *(f"- {c['path']}:{c['start_line']}-{c['end_line']}" + (f" [{c['name']}]" if c["name"] else "") + f" ({c['score']:.2f})" for c in r["chunks"])]
-    s = r["summary"]
-    more = f" (more: offset {s['next_offset']})" if s.get("has_more") else ""
-    lines.append(f"# {len(r['files'])} files, {len(r['chunks'])} chunks, ~{s['total_tokens']} tokens{more}")
-    return "\n".join(lines)
+    """A line per result: its place, and its score and name where it has them, by tabs; then the totals."""
+    rows = [(f["path"], f.get("score"), "") for f in r["files"]] + [(f"{c['path']}:{c['start_line']}-{c['end_line']}", c["score"], c["name"]) for c in r["chunks"]]
+    lines = ["\t".join([place, "" if score is None else f"{score:.2f}", name or ""]).rstrip("\t") for place, score, name in rows]
+    return "\n".join([*lines, _foot(r["summary"])])
 
 
 def _xml(r: dict, verbose: bool) -> str:
@@ -63,12 +58,94 @@ def _chunks(r: dict, verbose: bool) -> str:
 
 
 def _foot(s: dict) -> str:
-    parts = [f"{s['returned']} results, {s['total_lines']} lines, ~{s['total_tokens']} tokens"]
-    if s.get("truncated"):
-        parts.append(f"TRUNCATED: {s['reason']} ({s['returned']}/{s['total_available']} shown)" + (f" | {s['suggestion']}" if s.get("suggestion") else ""))
-    if s.get("has_more"):
-        parts.append(f"next_offset={s['next_offset']}")
-    return f"<!-- {' | '.join(parts)} -->"
+    """What of the summary row has a value, field by field."""
+    shown = {k: v for k, v in s.items() if v is not None and v is not False and k not in ("limit", "offset", "suggestion")}
+    return f"<!-- {' '.join(f'{k}={v}' for k, v in shown.items())}{' ' + s['suggestion'] if s.get('suggestion') else ''} -->"
+
+
+def _place(r: dict) -> dict:
+    return {"path": r["file_path"] if "file_path" in r else r["path"], "lines": f"{r['start_line']}-{r['end_line']}" if r.get("start_line") is not None else None, "name": r.get("name") or None}
+
+
+def _code(r: dict) -> list[str]:
+    path = r["file_path"] if "file_path" in r else r["path"]
+    return ["```" + path.rpartition(".")[2], r["content"], "```"]
+
+
+def _sections(title: str, parts: dict[str, list[str]]) -> str:
+    """Markdown: a title and the parts that hold something."""
+    return "\n".join([f"# {title}", *(line for name, lines in parts.items() if lines for line in ["", f"## {name}", *lines])])
+
+
+def find(query: str, found: list[dict], total: int, form: str = "xml") -> str:
+    if form == "compact":
+        return "\n".join([f"# {query}", *(line for r in found for line in ["", f"## {r['file_path']}:{r['start_line']}-{r['end_line']} {r['name']} {r['score']:.2f}", *_code(r)]), "", f"{len(found)} of {total}"])
+    lines = [f"<implementations {attributes(query=query, total=total)}>"]
+    for r in found:
+        lines += [f"  <impl {attributes(**_place(r), score=f'{r['score']:.2f}', score_type='bm25plus')}>", *_code(r), "  </impl>"]
+    return "\n".join([*lines, "</implementations>"])
+
+
+def explain(x: dict, form: str = "xml") -> str:
+    target = {"path": x["path"], "start_line": x["start_line"], "end_line": x["end_line"], "name": x["name"], "content": x["content"]}
+    if form == "compact":
+        related = [line for r in x["related"] for line in [f"### {r['file_path']}:{r['start_line']}-{r['end_line']} {r['name']}".rstrip(), *_code(r)]]
+        return _sections(x["path"], {f"Target {x['name']}".rstrip(): _code(target), "Imports": [f"- {p}" for p in x["imports"]], "Imported by": [f"- {p}" for p in x["importers"]], "Related": related})
+    lines = ["<explanation>", f"  <target {attributes(**_place(target))}>", *_code(target), "  </target>"]
+    for tag, paths in (("imports", x["imports"]), ("imported_by", x["importers"])):
+        lines += [f"  <{tag}>", *(f"    <file {attributes(path=p)}/>" for p in paths), f"  </{tag}>"] if paths else []
+    if x["related"]:
+        lines += ["  <related>", *(line for r in x["related"] for line in [f"    <chunk {attributes(**_place(r))}>", *_code(r), "    </chunk>"]), "  </related>"]
+    return "\n".join([*lines, "</explanation>"])
+
+
+def impact(target: str, function: str | None, found: list[dict], form: str = "xml") -> str:
+    kinds = {k: sorted((r["path"] for r in found if r["kind"] == k)) for k in ("direct", "transitive")}
+    if form == "compact":
+        return _sections(f"Impact of {target}{f' ({function})' if function else ''}: {len(found)}", {k.capitalize(): [f"- {p}" for p in v] for k, v in kinds.items()})
+    lines = [f"<impact {attributes(target=target, function=function, total_affected=len(found))}>"]
+    for k, v in kinds.items():
+        lines += [f"  <{k}ly_affected {attributes(count=len(v))}>", *(f"    <file {attributes(path=p)}/>" for p in v), f"  </{k}ly_affected>"]
+    return "\n".join([*lines, "</impact>"])
+
+
+def discovery(entry: str, nodes: list[dict], related: list[dict], form: str = "xml") -> str:
+    if form == "compact":
+        graph = [line for n in nodes for line in [f"- {n['path']}", *(f"  - {word} {p}" for word, ps in (("imports", n["imports"]), ("imported by", n["imported_by"])) for p in ps)]]
+        return _sections(f"Discovery from {entry}: {len(nodes)} files", {"Graph": graph, "Related": [f"- {r['file_path']}:{r['start_line']}-{r['end_line']} {r['name']}".rstrip() for r in related]})
+    lines = [f"<discovery {attributes(entry=entry, total_files=len(nodes))}>", "  <dependency_graph>"]
+    lines += [f"    <file {attributes(path=n['path'], imports=','.join(n['imports']), imported_by=','.join(n['imported_by']))}/>" for n in nodes]
+    lines += ["  </dependency_graph>", "  <related>", *(f"    <chunk {attributes(**_place(r))}/>" for r in related), "  </related>"] if related else ["  </dependency_graph>"]
+    return "\n".join([*lines, "</discovery>"])
+
+
+def search(query: str, found: list[dict]) -> str:
+    lines = [f"<search_results {attributes(query=query, count=len(found))}>"]
+    for r in found:
+        place = _place(r)
+        lines += [f"  <result {attributes(file=place.pop('path'), **place, score=round(r['score'], 3))}>", f"    <preview>{escape(r['content'][:500])}</preview>", "  </result>"]
+    return "\n".join([*lines, "</search_results>"])
+
+
+def grep(pattern: str, regex: bool, found: list[dict]) -> str:
+    lines = [f"<grep_results {attributes(pattern=pattern, mode='regex' if regex else 'literal', count=len(found))}>"]
+    for r in found:
+        lines += [f"  <match {attributes(file=r['file'], line=r['line'])}>", f"    <text>{escape(r['match'])}</text>", f"    <context>{escape(r['context'])}</context>", "  </match>"]
+    return "\n".join([*lines, "</grep_results>"])
+
+
+def probe(found: dict) -> str:
+    missing = found["missing"]
+    lines = [f"<probe_result {attributes(status='incomplete' if missing else 'complete', missing_count=found['count'])}>"]
+    lines += [f"  <suggestion {attributes(symbol=m['symbol'], file=m['file'], name=m['name'] or None, line=m['line'])}>{escape(m['suggestion'])}</suggestion>" for m in missing]
+    lines += [f"  <defined>{escape(d)}</defined>" for d in found["defined"]]
+    return "\n".join([*lines, "</probe_result>"])
+
+
+def audit(found: list[dict], skeleton: bool) -> str:
+    total, advice = (found[0]["total"], found[0]["advice"]) if found else (0, "")
+    lines = [f"<audit_result {attributes(total_tokens=total, total_files=len(found), total_lines=sum(r['lines'] for r in found), skeleton_mode=str(skeleton).lower())}>", f"  <recommendation>{escape(advice)}</recommendation>"]
+    return "\n".join([*lines, *(f"  <file {attributes(path=r['path'], tokens=r['tokens'], lines=r['lines'], reason=r['reason'])}/>" for r in found), "</audit_result>"])
 
 
 def rows(name: str, found: list[dict], body: str | None = None) -> str:

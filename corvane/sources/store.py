@@ -115,7 +115,7 @@ class Store:
         """A table as it stands; ``where`` is applied in the scans."""
         said = self.pointer()
         if not said:
-            raise CorvaneError("NO_INDEX", "there is no index", path=self.root)
+            raise CorvaneError("NO_INDEX", "nothing has been indexed here", "run index first", path=self.root)
         generations = said["generations"]
         if name not in KEYS and name not in GATHERED:
             generations = generations[-1:]
