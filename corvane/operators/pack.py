@@ -87,9 +87,11 @@ def summary(packed: DataFrame, available: int, limit: int, offset: int, reason:
     })
 
 
-def audit(files: DataFrame, content: str = "content") -> DataFrame:
-    """``path, tokens, lines, total, advice``: files by what they cost, and what the whole calls for."""
-    rows = files.select("path", X.token_estimate(F.col(content)).alias("tokens"), F.size(F.split(F.regexp_replace(content, "\r?\n$", ""), "\n", -1)).alias("lines"))
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+def audit(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, path, tokens, lines, total, advice``: files by what they cost, and what the whole, of each of ``keys``, calls for."""
+    rows = files.select(*keys, "path", X.token_estimate(F.col(content)).alias("tokens"), F.size(F.split(F.regexp_replace(content, r"\r?\n\z", ""), "\n", -1)).alias("lines"))
+    by = keys or ("_all",)
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    whole = rows.join(rows.groupBy(*by).agg(F.sum("tokens").alias("total")), list(by))
     advice = F.when(F.col("total") > LARGE, "use skeletons").when(F.col("total") > LEAN, "consider skeletons").otherwise("take it whole")
-    return rows.withColumn("total", total).withColumn("advice", advice)
+    return whole.withColumn("advice", advice).drop("_all")

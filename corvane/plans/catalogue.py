@@ -8,11 +8,16 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import bm25, chunking, delta, graph, grep, outline, pack, probe
-from ..session import spread
+from ..session import leave_no_trace, shared_dir, spread
 from ..sources import files as sources
+from ..streaming import watch
 from . import sql
+from .engine import Engine
 
 QUERY = "the token budget of a rejected harbor sampler"
+PHRASE = "token budget"
+#: Settings with two aliases that fit relative imports, one of them with two targets.
+SETTINGS = '{"compilerOptions": {"baseUrl": "elsewhere", "paths": {"./*": ["a/*", "b/*"], "./m*": ["c/*"]}}} // end'
 LITERAL, OVERLAPPING, PATTERN, SHORT = "return nil", "  ", r"raise (\w+)Error\(", "=>"
 
 
@@ -191,6 +196,14 @@ def grep_regex(s, d):
     return grep.grep_regex(_having(s, d, "raise "), PATTERN, None).select("file", "line", "match")
 
 
+def grep_ignore_case(s, d):
+    return grep.grep_regex(files(s, d), r"(?i)RAISE \w+", None, per_file=None).groupBy("file").agg(F.count("*").alias("hits"))
+
+
+def grep_no_literal(s, d):
+    return grep.grep_regex(files(s, d), r"\w+\(\d\)", None).select("file", "line", "match")
+
+
 def grep_short_pattern_cap(s, d):
     return grep.grep_literal(files(s, d), SHORT, 20, unfiltered=100).select("file", "line", "match")
 
@@ -216,10 +229,6 @@ def upsert(s, d):
     return delta.upsert(f, new, "path")
 
 
-def index_info(s, d):
-    return chunks(s, d).groupBy("file_path").agg(F.count("*").alias("n")).agg(F.sum("n").alias("chunks"), F.count("*").alias("files"))
-
-
 # graph
 def _edges(s, d):
     return _t(s, d, "edges")
@@ -255,13 +264,11 @@ def importers(s, d):
     return graph.importers(_edges(s, d)).groupBy("dst").agg(F.count("*").alias("importers"), F.min("src").alias("first"))
 
 
-def discover(s, d):
-    """What a file reaches in two hops, and which of these import each other."""
-    e = _edges(s, d)
-    start = e.filter("dst is not null").groupBy("src").agg(F.countDistinct("dst").alias("n")).orderBy(F.col("n").desc(), "src").limit(1).select(F.col("src").alias("node"))
-    met = graph.reach(e, start, 2)
-    inside = graph.importers(e).join(met.select(F.col("node").alias("dst")), "dst", "left_semi").join(met.select(F.col("node").alias("src")), "src", "left_semi")
-    return met.join(inside.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("imported_by")), "node", "left").select("node", "depth", F.coalesce("imported_by", F.lit(0)).alias("imported_by"))
+def alias_targets(s, d):
+    """Where imports lead that an alias fits, in order of trial."""
+    settings = s.createDataFrame([(SETTINGS,)], "content string")
+    imports = graph.raw_imports(scanned(s, d)).filter(F.col("language").isin("typescript", "javascript")).select("src", "language", "import").distinct().withColumn("ord", F.lit(0))
+    return graph.bases(imports, sources.aliases(settings)).select("src", "import", F.posexplode("bases").alias("nth", "base")).filter(F.startswith("base", F.lit("elsewhere")))
 
 
 # packing of results
@@ -306,9 +313,8 @@ def pack_budget_per_file(s, d):
 
 
 def audit_tiers(s, d):
-    f = scanned(s, d).filter("content is not null").select("repo", "path", X.token_estimate(F.col("content")).alias("tokens")).distinct()
-    per = f.groupBy("repo").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files"))
-    return per.withColumn("advice", F.when(F.col("tokens") > pack.LARGE, "use skeletons").when(F.col("tokens") > pack.LEAN, "consider skeletons").otherwise("take it whole"))
+    f = scanned(s, d).filter("content is not null").distinct()
+    return pack.audit(f, keys=("repo",)).select("repo", "path", "tokens", "total", "advice")
 
 
 def coverage(s, d):
@@ -346,17 +352,147 @@ def skeletonize(s, d):
 # events
 def debounce_sessions(s, d):
     e = _t(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    g = e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    g = watch.debounced(e, "user_id", "10 minutes")
     return g.select("user_id", "events", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
+def debounce_all(s, d):
+    """Bursts of the whole feed."""
+    e = _t(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return watch.debounced(e, None, "1 minute").select("events", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
+# the engine: its index is built once for all of these
+def _indexed(s, d, name, table, root_of=None):
+    at = f"{shared_dir(s).rstrip('/')}/corvane-{s.sparkContext.applicationId}-{name}-{abs(hash(d))}"
+    e = Engine(s, table, at, root_of=root_of)
+    if not e.store.current():
+        e.index()
+        leave_no_trace(s, at)
+    return e
+
+
+def texts(s, d):
+    """The engine over the documents, as files."""
+    t = _t(s, d, "documents").filter("text is not null")
+    return _indexed(s, d, "texts", t.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0.0).alias("mtime"), F.col("text").alias("content")))
+
+
+def code(s, d):
+    """The engine over the files of all repositories."""
+    return _indexed(s, d, "code", files(s, d).select("path", F.coalesce("mtime", F.lit(0.0)).alias("mtime"), "content"), F.split("path", "/")[0])
+
+
+def engine_search(s, d):
+    return texts(s, d).search(QUERY, 10).select("file_path", "start_line", "end_line", F.round("score", 6).alias("score"))
+
+
+def engine_find(s, d):
+    found, total = texts(s, d).find(QUERY, 5)
+    return found.select("file_path", "start_line", F.round("score", 6).alias("score"), F.lit(total).alias("total"))
+
+
+def engine_grep(s, d):
+    return texts(s, d).grep(PHRASE, limit=None).select("file", "line", "match")
+
+
+def engine_grep_regex(s, d):
+    return texts(s, d).grep(r"(?i)TOKEN BUDGET", True, None, None).groupBy("file").agg(F.count("*").alias("hits"))
+
+
+def index_info(s, d):
+    i = texts(s, d).info()
+    return s.createDataFrame([(i["chunks"], i["files"], i["trigrams"])], "chunks bigint, files bigint, trigrams bigint")
+
+
+def engine_pack(s, d):
+    p = texts(s, d).pack(query=QUERY, max_files=5)
+    return s.createDataFrame([(n, f["path"], f["content"]) for n, f in enumerate(p["files"], 1)], "rank int, path string, content string")
+
+
+def engine_pack_chunks(s, d):
+    p = texts(s, d).pack(query=QUERY, max_chunks=8, max_tokens=4000, chunk_mode=True)
+    return s.createDataFrame([(c["path"], c["start_line"], c["end_line"], round(c["score"], 6)) for c in p["chunks"]], "path string, start_line int, end_line int, score double")
+
+
+def engine_audit(s, d):
+    rows = texts(s, d).audit(query=QUERY, max_files=5)
+    return s.createDataFrame([(r["path"], r["tokens"], r["lines"], r["total"], r["advice"]) for r in rows], "path string, tokens bigint, lines int, total bigint, advice string")
+
+
+def engine_edges(s, d):
+    return code(s, d).edges().select("src", "dst", "ord")
+
+
+def _start_of(e):
+    """The file with most imports, and the one that most import."""
+    edges = e.edges()
+    return [edges.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), c).first()[0] for c in ("src", "dst")]
+
+
+def discover(s, d):
+    """What a file reaches in two hops, and which of these import each other."""
+    e = code(s, d)
+    return e.discover(_start_of(e)[0]).select("path", "depth", F.concat_ws(",", "imports").alias("imports"), F.concat_ws(",", "imported_by").alias("imported_by"))
+
+
+def engine_impact(s, d):
+    e = code(s, d)
+    return e.impact(_start_of(e)[1], 3, fuzzy=False)
+
+
+def engine_impact_fuzzy(s, d):
+    e = code(s, d)
+    return e.impact(_start_of(e)[1], 3)
+
+
+def engine_explain(s, d):
+    e = code(s, d)
+    x = e.explain(_start_of(e)[1])
+    return s.createDataFrame([(k, p) for k in ("imports", "importers") for p in x[k]], "kind string, path string")
+
+
+def engine_probe(s, d):
+    """What a file uses and doesn't define."""
+    e = code(s, d)
+    text = e.store.read("files", F.col("path") == _start_of(e)[0]).first()["content"]
+    return s.createDataFrame([(m["symbol"],) for m in e.probe(text, 1000)["missing"]], "symbol string")
+
+
+# what must hold of results that SQL can't state: each query counts what breaks a rule
+def ast_chunks_lines(s, d):
+    """Chunks that aren't the lines they say, and lines that two chunks of a file have."""
+    c = chunking.chunk_definitions(files(s, d)).filter("not is_anchor").withColumnRenamed("content", "body")
+    lines = files(s, d).select("path", F.split("content", "\n", -1).alias("lines"))
+    held = c.join(lines, "path").select("path", "start_line", "end_line", (F.col("body") != F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).alias("wrong"))
+    w = Window.partitionBy("path").orderBy("start_line")
+    return held.withColumn("twice", F.lag("end_line").over(w) >= F.col("start_line")).agg(F.count_if("wrong").alias("wrong"), F.count_if("twice").alias("twice"))
+
+
+def neighbours_of_texts(s, d):
+    t = _t(s, d, "documents").filter("text is not null").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    return chunking.neighbours(chunking.chunk_definitions(t), t).select("path", "start_line", "end_line", "content", "context_prev", "context_next")
+
+
+def skeleton_lines(s, d):
+    """Lines of skeletons that are neither lines of their file nor stand for a body."""
+    f = files(s, d).filter("content is not null")
+    lines = lambda c: F.transform(F.split(c, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\s{}]+", " ")))
+    both = outline.skeletonize(f).join(f.select("path", "content"), "path")
+    extra = F.array_except(lines(F.col("skeleton")), lines(F.col("content")))
+    marks = F.filter(extra, lambda x: ~x.isin("...", "// ...", ""))
+    return both.agg(F.sum(F.size(marks)).alias("extra"), F.count_if(F.length("skeleton") > F.length("content") + 64).alias("longer"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokenize_raw, tokenize_parts, tokenize_affix, code_tokens, content_dedup, chunk_ids, repo_hashes, text_filter, ext_language, token_estimates, previews, chunk_fallback, ast_chunks, chunk_neighbours,
         doc_stats, term_df, bm25_all_scores, bm25_no_overlap, bm25_topk, bm25_min_score_after_limit, search_chunks, bm25_batch, trigram_stats, document_trigrams, trigram_candidates, grep_literal, grep_overlapping,
-        grep_context, grep_indexed, grep_regex, grep_short_pattern_cap, delta_plan, delta_apply, upsert, index_info, raw_imports, resolve_imports, resolve_pairs, dep_bfs, impact_reverse, importers, discover, merge_chunks,
-        pack_chunk_budget, pack_file_budget, pack_page, pack_merged, pack_summary, pack_budget_per_file, audit_tiers, coverage, symbols_missing, symbols_defined, probe_best, map_tree, repo_map, skeletonize, debounce_sessions,
+        grep_context, grep_indexed, grep_regex, grep_short_pattern_cap, delta_plan, delta_apply, upsert, raw_imports, resolve_imports, resolve_pairs, dep_bfs, impact_reverse, importers, alias_targets, merge_chunks,
+        pack_chunk_budget, pack_file_budget, pack_page, pack_merged, pack_summary, pack_budget_per_file, audit_tiers, coverage, symbols_missing, symbols_defined, probe_best, map_tree, repo_map, skeletonize, debounce_sessions, debounce_all,
+        grep_ignore_case, grep_no_literal, engine_search, engine_find, engine_grep, engine_grep_regex, index_info, engine_pack, engine_pack_chunks, engine_audit, engine_edges, discover, engine_impact, engine_impact_fuzzy, engine_explain, engine_probe,
+        ast_chunks_lines, neighbours_of_texts, skeleton_lines,
     )
 }
 SQL = sql.SQL

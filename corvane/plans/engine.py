@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +19,11 @@ from . import render
 
 
 class Engine:
-    """``files`` has ``path, mtime, content``; paths are relative to the root. ``store`` keeps the index."""
+    """``files`` has ``path, mtime, content``; paths are relative to the root. ``store`` keeps the index. Where the files are of several
+    projects, ``root_of`` gives the folder of each path's project, in which its imports are looked for."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None):
+    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None, root_of: Column | None = None):
+        self.root_of = root_of
         self.spark, self.files, self.store, self.root, self.folder = ship(spark), files.select("path", "mtime", "content"), Store(spark, store), root, folder
 
     @classmethod
@@ -70,7 +72,7 @@ class Engine:
             counted = cut(every.agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
             links = self.store.read("imports").join(delta.touched(plan, "modify", "remove").withColumnRenamed("path", "src"), "src", "left_anti").unionByName(imports)
             gone = {"removed": removed, "removed_chunks": old}
-        edges = graph.resolve(paths, aliases=self._aliases(), imports=links)
+        edges = graph.resolve(paths, self.root_of, aliases=self._aliases(), imports=links)
         size = now.agg(F.sum(F.length("content"))).first()[0] or 0 if whole else 0
         self.store.write(whole=whole, size=size, stats=counted, files=changed, chunks=new, postings=posting, trigrams=grams, imports=imports, edges=edges, **gone)
         return new.count() if of is None else new.join(delta.touched(of, "add", "modify").withColumnRenamed("path", "file_path"), "file_path", "left_semi").count()

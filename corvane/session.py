@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _leave_no_trace(spark: SparkSession, path: str) -> None:
+def leave_no_trace(spark: SparkSession, path: str) -> None:
     """``path`` goes when the driver's JVM ends, however that comes about short of a kill."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -75,7 +75,7 @@ def cut(df: DataFrame) -> DataFrame:
     if _scratch:
         _scratch[-1].append(path)
     else:
-        _leave_no_trace(spark, path)
+        leave_no_trace(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
