@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import docpairs, leakage, packing, pii, provenance, splitting, termfreq, validity
 
@@ -32,6 +33,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_verdicts(spark, sf).filter("faults > 0").select("file_id").distinct()
 
 
+def p2_json(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_verdicts(spark, sf).filter("language = 'json' and faults > 0").select("file_id").distinct()
+
+
 def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented_functions(_table(spark, sf, "chunks"))
 
@@ -40,13 +45,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pairs(spark, sf).select("id", "func_name").distinct()
 
 
+def p3_go(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_pairs(spark, sf).filter(F.col("language") == "go").select("id", "func_name").distinct()
+
+
 def p4_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.provenance(_table(spark, sf, "files"))
 
 
 def p4_containment(spark: SparkSession, sf: str) -> DataFrame:
     """With a share that edits leave far behind, so that the tables hold cases."""
-    return provenance.containment(_table(spark, sf, "files"), 0.3).select("file_id", F.round("containment", 9).alias("containment"))
+    return provenance.containment(_table(spark, sf, "files"), 0.1).select("file_id", F.round("containment", 9).alias("containment"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +70,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_pieces(spark, sf).select("id").distinct()
 
 
+def p5_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of each chunk put together again, and whether they keep to the limit and to their lines."""
+    w = Window.partitionBy("id").orderBy("piece")
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n")))
+    ends = F.when(F.endswith("content", F.lit("\n")), 1).otherwise(0)
+    next_line = F.lead("start_line").over(w)
+    p = p5_pieces(spark, sf).withColumn("kept", (F.col("end_line") - F.col("start_line") == lines - ends) & (next_line.isNull() | (next_line == F.col("end_line") + ends)))
+    p = p.withColumn("kept", F.col("kept") & (F.length("content") + F.when(F.col("piece") > 0, F.length("context_prev")).otherwise(0) <= splitting.LIMIT))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), "")
+    return p.groupBy("id").agg(F.md5(whole).alias("md5"), F.bool_and("kept").alias("kept"))
+
+
 def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
     return packing.windows_of_documents(_table(spark, sf, "documents"))
 
@@ -86,11 +107,18 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors"))
 
 
+def p8_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text made of its redaction again, by putting the mentions back where they stood: nothing else was changed."""
+    placeholder = F.create_map(*(F.lit(x) for pair in pii.PLACEHOLDERS.items() for x in pair))
+    back = F.aggregate("mentions", F.col("redacted"), lambda a, m: F.concat(F.substring(a, F.lit(1), m["start"]), m["value"], F.substring(a, m["start"] + F.length(placeholder[m["pii_type"]]) + 1, F.lit(1 << 30))))
+    return p8_redacted(spark, sf).select("doc_id", F.md5(back).alias("md5"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found_pii(_table(spark, sf, "documents"), _table(spark, sf, "contributors")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_found, p3_pairs, p3_found, p4_provenance, p4_containment, p4_found, p5_pieces, p5_found, p6_windows, p6_filled, p7_leaks, p7_found, p8_redacted, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_term_frequencies, p1_found, p2_verdicts, p2_rates, p2_json, p2_found, p3_pairs, p3_go, p3_found, p4_provenance, p4_containment, p4_found, p5_pieces, p5_rebuilt, p5_found, p6_windows, p6_filled, p7_leaks, p7_found, p8_redacted, p8_rest, p8_found)}
 
 _COUNTED = "SELECT trigram, file_id, pos FROM trigrams WHERE file_id IS NOT NULL AND length(trigram) = 3"
 _MARKED = f"""
@@ -127,9 +155,24 @@ _CONTAINED = f"""
 WITH f AS {_CODE}, c AS (SELECT content, inside, min(repo) AS a, max(repo) AS z, {_LINES} AS ls FROM f GROUP BY content, inside),
 l AS (SELECT content, inside, a, z, len(ls) AS n, unnest(ls) AS line FROM c),
 s AS (SELECT o.content, t.content AS source, any_value(o.n) AS n, count(*) AS shared FROM l o JOIN l t USING (line) WHERE NOT o.inside AND t.inside AND (o.a <> o.z OR t.a <> t.z OR o.a <> t.a) GROUP BY 1, 2)
-SELECT file_id, round(max(shared / n), 9) AS containment FROM f JOIN s USING (content) WHERE NOT inside AND shared / n >= 0.3 GROUP BY file_id"""
+SELECT file_id, round(max(shared / n), 9) AS containment FROM f JOIN s USING (content) WHERE NOT inside AND shared / n >= 0.1 GROUP BY file_id"""
+
+_GO = r"(?:(?:^[ \t]*//[^\n]*\n)+|^[ \t]*/\*(?:[^*]|\*+[^*/])*\*+/[ \t]*\n)[ \t]*func[ \t]*(?:\([^()]*\)[ \t]*)?\w+[ \t]*[\[(]"
+# comment and head of each function that has one right above, the comment without its marks and lines for single parameters
+_PAIRED = f"""
+SELECT DISTINCT id, regexp_extract(pair, '(?s).*func[ \\t]*(?:\\([^()]*\\)[ \\t]*)?(\\w+)[ \\t]*[\\[(]$', 1) AS func_name FROM (
+    SELECT id, unnest(regexp_extract_all(replace(content, chr(13), ''), '(?m){_GO}')) AS pair FROM chunks
+    WHERE lower(regexp_replace(type, '\\s', '', 'g')) IN ('function', 'class') AND lower(file_path) LIKE '%.go')
+WHERE len(flatten(list_transform(list_filter(list_transform(string_split(regexp_extract(pair, '(?s)^(.*)func', 1), chr(10)), lambda l: regexp_replace(trim(l, ' ' || chr(9)), '^(//[/!]?|/\\*+!?|\\*+)? ?', '')), lambda l: NOT regexp_matches(l, '^\\s*[@:]')),
+    lambda l: list_filter(regexp_split_to_array(l, '\\s+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}_]'))))) >= 5"""
 
 SQL = {
+    # DuckDB lets commas before a closing bracket, NaN and Infinity pass
+    "p2_json": r"""SELECT DISTINCT file_id FROM files WHERE lower(path) LIKE '%.json' AND regexp_matches(content, '\S')
+        AND (NOT json_valid(content) OR regexp_matches(regexp_replace(content, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i),\s*[\]}]|nan|inf'))""",
+    "p3_go": _PAIRED,
+    "p5_rebuilt": "SELECT DISTINCT id, md5(content) AS md5, true AS kept FROM chunks WHERE length(content) > 800",
+    "p8_rest": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "p4_containment": _CONTAINED,
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
