@@ -25,10 +25,16 @@ class Engine:
     def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None, root_of: Column | None = None):
         self.root_of = root_of
         self.spark, self.files, self.store, self.root, self.folder = ship(spark), files.select("path", "mtime", "content"), Store(spark, store), root, folder
+        # what there is, and the contents of some of it
+        self.listed = self.files.filter(F.col("content").isNotNull()).select("path", "mtime")
+        self.contents = lambda listed: self.files.filter(F.col("content").isNotNull()).join(listed.select("path"), "path", "left_semi")
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str, store: str) -> Engine:
-        return cls(spark, sources.read_tree(spark, folder), store, folder.rstrip("/").rpartition("/")[2], folder.rstrip("/"))
+        listed = sources.source_files(spark, folder)
+        e = cls(spark, sources.read_files(listed, folder), store, folder.rstrip("/").rpartition("/")[2], folder.rstrip("/"))
+        e.listed, e.contents = listed, lambda some: sources.read_files(some, folder).select("path", "mtime", "content")
+        return e
 
     # index
     def index(self, force: bool = False) -> dict:
@@ -37,32 +43,31 @@ class Engine:
         An update chunks, tokenises and writes what changed; of the rest it compares times, and resolves
         imports anew from those stored, since a new file may be what an old one imports.
         """
-        now = self.files.filter(F.col("content").isNotNull())
         if force:
             self.store.purge()
         with scratch(self.spark):
             if not self.store.current():
-                return {"status": "rebuilt", "chunks": self._write(now, None)}
-            stored = self.store.read("files").select("path", "mtime")
-            plan = cut(delta.plan(now, stored))
+                return {"status": "rebuilt", "chunks": self._write(None)}
+            plan = cut(delta.plan(self.listed, self.store.read("seen")))
             counts = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}
             if not counts.keys() - {"keep"}:
                 return {"status": "up_to_date", "chunks": 0}
             replaced = counts.get("modify", 0) + counts.get("remove", 0)
             if self.store.crowded(replaced, sum(counts.values())):
-                return {"status": "updated", "chunks": self._write(now, None, plan)}
-            return {"status": "updated", "chunks": self._write(now, plan)}
+                return {"status": "updated", "chunks": self._write(None, plan)}
+            return {"status": "updated", "chunks": self._write(plan)}
 
-    def _write(self, now: DataFrame, plan: DataFrame | None, of: DataFrame | None = None) -> int:
+    def _write(self, plan: DataFrame | None, of: DataFrame | None = None) -> int:
         """A generation of what ``plan`` says has changed, or of everything; the number of new chunks (of those changed by ``of``)."""
         whole = plan is None
-        changed = now if whole else cut(now.join(delta.touched(plan, "add", "modify"), "path", "left_semi"))
+        seen = self.listed if whole else self.listed.join(delta.touched(plan, "add", "modify"), "path", "left_semi")
+        changed = cut(self.contents(seen))
         new = cut(chunking.indexed(chunking.chunk_definitions(changed.select("path", "content"))))
         posting = cut(bm25.postings(new.withColumnRenamed("id", "chunk_id"), "chunk_id", X.code_tokens(bm25.documents(new))))
         imports = cut(graph.raw_imports(changed).distinct())
         # chunks without any token have no postings and no length
         counted = posting.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-        paths, links, grams, gone = now.select("path"), imports, grep.postings(changed), {}
+        paths, links, grams, gone = self.listed.select("path"), imports, grep.postings(changed), {}
         if not whole:
             removed = cut(delta.touched(plan, "modify", "remove"))
             old = self.store.read("chunks").select(F.col("file_path").alias("path"), F.col("id").alias("chunk_id")).join(removed, "path", "left_semi").select("chunk_id")
@@ -73,13 +78,13 @@ class Engine:
             links = self.store.read("imports").join(delta.touched(plan, "modify", "remove").withColumnRenamed("path", "src"), "src", "left_anti").unionByName(imports)
             gone = {"removed": removed, "removed_chunks": old}
         edges = graph.resolve(paths, self.root_of, aliases=self._aliases(), imports=links)
-        size = now.agg(F.sum(F.length("content"))).first()[0] or 0 if whole else 0
-        self.store.write(whole=whole, size=size, stats=counted, files=changed, chunks=new, postings=posting, trigrams=grams, imports=imports, edges=edges, **gone)
+        size = changed.agg(F.sum(F.length("content"))).first()[0] or 0 if whole else 0
+        self.store.write(whole=whole, size=size, stats=counted, seen=seen.select("path", "mtime"), files=changed, chunks=new, postings=posting, trigrams=grams, imports=imports, edges=edges, **gone)
         return new.count() if of is None else new.join(delta.touched(of, "add", "modify").withColumnRenamed("path", "file_path"), "file_path", "left_semi").count()
 
     def _aliases(self) -> DataFrame | None:
         """The path aliases that the settings at the root name."""
-        settings = self.files.filter(F.col("path").isin("tsconfig.json", "jsconfig.json"))
+        settings = self.contents(self.listed.filter(F.col("path").isin("tsconfig.json", "jsconfig.json")))
         found = sources.aliases(settings)
         return None if found.isEmpty() else found
 
@@ -283,13 +288,13 @@ class Engine:
 
     def map(self, form: str = "tree", signatures: bool = True, most: int | None = 10, files: int = 20_000) -> str:
         """The folders and files, the first ``files`` of them by path, as a text; ``map_lines`` has all."""
-        paths = cut(self.files.select("path").orderBy("path").limit(files + 1))
+        paths = cut(self.listed.select("path").orderBy("path").limit(files + 1))
         held = [r[0] for r in paths.orderBy("path").collect()]
         shown_paths = self.spark.createDataFrame([(p,) for p in held[:files]], "path string")
         nodes = [r.asDict() for r in sources.tree(shown_paths).collect()]
         shown: dict[str, list[str]] = {}
         if signatures:
-            few = self.files.join(F.broadcast(shown_paths), "path", "left_semi")
+            few = self.contents(self.listed.join(F.broadcast(shown_paths), "path", "left_semi"))
             for r in outline.shown(outline.signatures(few), most).orderBy("path", "at").collect():
                 shown.setdefault(r["path"], []).append(r["line"])
         rest = f"\n... (files beyond the first {files} by path)" if len(held) > files else ""

@@ -88,14 +88,20 @@ def listing(spark: SparkSession, root: str, globs: tuple[str, ...] = tuple(EXCLU
             return found
 
 
-def read_tree(spark: SparkSession, root: str, *, sizes: bool = True, most: int = MAX_SIZE, globs: tuple[str, ...] = tuple(EXCLUDED)) -> DataFrame:
-    """``path, mtime, length, content`` of the text files below ``root``, which are read in parallel.
-
-    Sizes (up to ``most`` bytes; any without ``sizes``) and ``globs`` are tested on the listing, so files left out are never opened.
-    """
+def source_files(spark: SparkSession, root: str, *, sizes: bool = True, most: int = MAX_SIZE, globs: tuple[str, ...] = tuple(EXCLUDED)) -> DataFrame:
+    """``path, mtime, length`` of the files below ``root`` that may be source: by ``globs`` and by size, up to ``most`` bytes (any without ``sizes``)."""
     listed = listing(spark, root, globs).filter(~excluded(F.col("path"), globs))
-    listed = (listed.filter(sized(F.col("length"), most)) if sizes else listed).repartition(partitions(spark))
-    uri = _uri(root)
+    return listed.filter(sized(F.col("length"), most)) if sizes else listed
+
+
+def read_tree(spark: SparkSession, root: str, **how) -> DataFrame:
+    """``path, mtime, length, content`` of the text files among ``source_files``; files left out are never opened."""
+    return read_files(source_files(spark, root, **how), root)
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """The text files among ``listed`` with their contents, read in parallel."""
+    uri, listed = _uri(root), listed.select("path", "mtime", "length").repartition(partitions(listed.sparkSession))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

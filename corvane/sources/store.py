@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +26,18 @@ GENERATIONS, REPLACED = 12, 0.3
 #: Names of replaced files or chunks that are broadcast.
 FEW = 200_000
 #: The column by which the rows of a table are replaced; tables without one are read of the last generation only.
-KEYS = {"files": "path", "chunks": "file_path", "imports": "src", "postings": "chunk_id"}
+KEYS = {"files": "path", "seen": "path", "chunks": "file_path", "imports": "src", "postings": "chunk_id"}
 GATHERED = ("trigrams",)  # of contents: what no file has any more finds nothing
 
 
+#: Tables of a generation that are written at once.
+WRITERS = 6
+
+
+def bucketed(df: DataFrame, key: Column, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
 @dataclass
 class Store:
     spark: SparkSession
@@ -78,16 +87,21 @@ class Store:
         said = self.pointer()
         buckets = said["buckets"] if said and not whole else max(LEAST, min(MOST, size // BUCKET))
         name = f"g-{uuid.uuid4().hex}"
-        schemas = dict(said.get("schemas", {}))
-        for table, df in tables.items():
+        schemas = {**said.get("schemas", {}), **{table: df.schema.json() for table, df in tables.items()}}
+
+        def put(table: str, df: DataFrame) -> None:
             if table in ("postings", "trigrams"):
                 # rebalanced: the bucket of a term that a third of all rows have is written by several tasks
                 key = F.col("term" if table == "postings" else "trigram")
-                df = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).hint("rebalance", "bucket").sortWithinPartitions(key)
+                df = bucketed(df, key, buckets).hint("rebalance", "bucket").sortWithinPartitions(key)
                 df.write.partitionBy("bucket").parquet(self._at(name, table))
             else:
                 df.write.parquet(self._at(name, table))
-            schemas[table] = df.schema.json()
+
+        # small tables are mostly waiting for their job to start
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(lambda t: put(*t), tables.items()))
+        schemas.update({t: bucketed(tables[t], F.lit(""), buckets).schema.json() for t in ("postings", "trigrams") if t in tables})
         held = [name] if whole else [*said["generations"], name]
         try:
             self._point({"version": schema.VERSION, "buckets": buckets, "generations": held, "schemas": schemas, "before": said.get("generations", [])})

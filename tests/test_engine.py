@@ -31,6 +31,10 @@ def test_index_is_brought_up_to_date(engine, spark):
     fresh = Engine.over(spark, str(root), e.store.root)
     assert fresh.index()["status"] == "updated"
     assert fresh.search("brand_new_function").first()["file_path"] == "app/new.py"
+    (root / "app/blob.py").write_bytes(b"a\x00b")
+    assert Engine.over(spark, str(root), e.store.root).index() == {"status": "updated", "chunks": 0}
+    assert Engine.over(spark, str(root), e.store.root).index() == {"status": "up_to_date", "chunks": 0}
+    os.remove(root / "app/blob.py")
     os.remove(root / "app/new.py")
     again = Engine.over(spark, str(root), e.store.root)
     assert again.index() == {"status": "updated", "chunks": 0} and again.grep("only in the new file").count() == 0
@@ -116,7 +120,7 @@ def test_tools(spark, engine, tmp_path):
     assert len(said.getvalue().splitlines()) == 2
 
 
-TABLES = ("files", "chunks", "postings", "trigrams", "imports", "edges", "stats")
+TABLES = ("files", "seen", "chunks", "postings", "trigrams", "imports", "edges", "stats")
 
 
 def test_updates_leave_what_a_rebuild_would(spark, tmp_path, monkeypatch):
