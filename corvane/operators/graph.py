@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..session import cut
+from . import braces
 
 # Languages whose imports are resolved, their extensions in order of trial, index files, import
 # statements, and modules of Python's library.
@@ -52,6 +58,47 @@ def raw_imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("import", clean).filter(F.length("import") > 0)
 
 
+def _python_imports(text: str) -> list[str] | None:
+    """What a module's statements name, as its patterns would read it; none if it doesn't parse."""
+    try:
+        nodes = [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Import, ast.ImportFrom))]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    nodes.sort(key=lambda n: (n.lineno, n.col_offset))
+    return [x for n in nodes for x in ([a.name for a in n.names] if isinstance(n, ast.Import) else ["." * n.level + (n.module or "")])]
+
+
+def imports_of(name: str, text: str) -> list[str]:
+    """Imports in order: from the syntax tree for Python, else what patterns find outside of comments and strings."""
+    if name == "python" and (found := _python_imports(text)) is not None:
+        return found
+    code = braces.blanked(text, _FAMILY[name]) if name in _FAMILY else text
+    met = []
+    for k, p in enumerate([*IMPORTS[name], *([GO_BLOCK] if name == "go" else [])]):
+        for m in re.finditer(p, text):
+            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            if code[at] == text[at]:
+                met += [(k, m.start(), x) for x in (re.findall(_QUOTED, m[1]) if p == GO_BLOCK else [m[1]])]
+    return [x for _, _, x in sorted(met, key=lambda x: x[:2])]
+
+
+_FAMILY = {"typescript": "ecma", "javascript": "ecma", "rust": "rust", "go": "go"}
+
+
+def syntax_imports(files: DataFrame) -> DataFrame:
+    """As ``raw_imports``, without what stands in comments, strings and documentation."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.string())
+        for b in batches:
+            found = [[i for x in imports_of(name, text) if (i := re.sub("^['\";,]+|['\";,]+$", "", x.strip(" ")))] for name, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["src", "language", "found"])
+
+    lang = language(F.col("path"))
+    rows = files.select(F.col("path").alias("src"), lang.alias("language"), "content").filter(F.col("language").isin(*IMPORTS) & F.col("content").isNotNull())
+    return rows.mapInArrow(read, "src string, language string, found array<string>").select("src", "language", F.posexplode("found").alias("ord", "import"))
+
+
 def normal(path: Column) -> Column:
     """Without ``.`` parts, and with ``..`` applied."""
     def step(a: Column, p: Column) -> Column:

@@ -64,7 +64,7 @@ class Engine:
         changed = cut(self.contents(seen))
         new = cut(chunking.indexed(chunking.chunk_definitions(changed.select("path", "content"))))
         posting = cut(bm25.postings(new.withColumnRenamed("id", "chunk_id"), "chunk_id", X.code_tokens(bm25.documents(new))))
-        imports = cut(graph.raw_imports(changed).distinct())
+        imports = cut(graph.syntax_imports(changed).distinct())
         # chunks without any token have no postings and no length
         counted = posting.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
         paths, links, grams, gone = self.listed.select("path"), imports, grep.postings(changed), {}

@@ -172,6 +172,20 @@ def test_imports(spark):
     assert [r.dst for r in graph.resolve(more, aliases=aliases).filter("src = 'web/z.ts'").collect()] == ["web/dir/index.ts"]
 
 
+def test_imports_in_texts_are_none(spark):
+    rows = [
+        ("a.py", '"""\nimport hidden\nfrom also import hidden\n"""\nimport one, two.three as t\nfrom . import four\nfrom ..five import six\ndef f():\n    import seven\n'), ("bad.py", "import one\ndef f(:\n"),
+        ("a.ts", "// import x from './no'\nconst s = `\nimport y from './no'`;\nimport z from './yes';\nexport * from './re';\n/* require('./no') */ require('./req');\n"), ("a.go", '/*\nimport "no"\n*/\nimport "yes"\nimport (\n\t"p/q"\n\tx "r"\n)\n'), ("a.rs", "// use no::a;\nuse yes::b;\n  mod part;\n"), ("n.py", None), ("x.md", "import no"),
+    ]
+    found = {}
+    for r in graph.syntax_imports(spark.createDataFrame(rows, "path string, content string")).orderBy("src", "ord").collect():
+        found.setdefault(r.src, []).append(r["import"])
+    assert found == {"a.py": ["one", "two.three", ".", "..five", "seven"], "bad.py": ["one"], "a.ts": ["./yes", "./re", "./req"], "a.go": ["yes", "p/q", "r"], "a.rs": ["yes::b", "part"]}
+    plain = {(r.src, r["import"]) for r in graph.raw_imports(spark.createDataFrame(CODE, "path string, content string")).collect()}
+    tree = {(r.src, r["import"]) for r in graph.syntax_imports(spark.createDataFrame(CODE, "path string, content string")).collect()}
+    assert tree - plain == {("app/core/deep.py", "os")} and plain <= tree  # the second name of one statement
+
+
 def test_traversal(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "f"), ("c", "f"), ("x", None), ("a", "b")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")
