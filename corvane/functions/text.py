@@ -39,19 +39,14 @@ def _clean(tokens: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, F.lower), lambda x: F.length(x) > 1))
 
 
-def _affix(token: Column, affixes: tuple[str, ...], suffix: bool) -> Column:
-    """What is left of ``token`` without the first affix that fits; only that one is tried."""
-    left = None
-    for a in affixes:
-        fits = (F.endswith if suffix else F.startswith)(token, F.lit(a)) & (F.length(token) > len(a) + 2)
-        root = F.substring(token, F.lit(1), F.length(token) - len(a)) if suffix else F.substring(token, len(a) + 1, 1 << 30)
-        left = F.when(fits, root) if left is None else left.when(fits, root)
-    return left
+# a suffix that ends in one tried before it never comes to be tried; of the others at most one fits
+_SUFFIXED = "^(.{3,})(?:" + "|".join(a for k, a in enumerate(SUFFIXES) if not any(a.endswith(b) for b in SUFFIXES[:k])) + ")$"
+_PREFIXED = "^(?:" + "|".join(PREFIXES) + ")(.{3,})$"
 
 
 def affix_roots(tokens: Column) -> Column:
-    """Roots of more than two letters, by suffix and by prefix."""
-    both = F.concat(F.transform(tokens, lambda t: _affix(t, SUFFIXES, True)), F.transform(tokens, lambda t: _affix(t, PREFIXES, False)))
+    """What is left of tokens without their suffix, and without their prefix: the first affix that leaves more than two letters."""
+    both = F.concat(F.transform(tokens, lambda t: F.regexp_extract(t, _SUFFIXED, 1)), F.transform(tokens, lambda t: F.regexp_extract(t, _PREFIXED, 1)))
     return F.filter(both, lambda r: F.length(r) > 2)
 
 

@@ -84,17 +84,17 @@ SPREAD = 1 << 30
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out to all of them, if it is no larger than SPREAD; any other as it is.
-    So small input, such as one file, doesn't leave a costly step to one task, and large input isn't moved."""
+    """A scan no larger than SPREAD, dealt out to all cores unless it has several partitions for each; any other as it is.
+    So small input, such as a file of few row groups, of which many splits are empty, doesn't leave a costly step to one task, and
+    large input isn't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        plan = df._jdf.queryExecution()
-        if "Exchange" in plan.executedPlan().toString() or plan.optimizedPlan().stats().sizeInBytes().longValue() > SPREAD:
-            return df
-        held = plan.toRdd().getNumPartitions()
-    except Exception:  # no classic DataFrame
+    if not hasattr(df, "_jdf"):  # no classic DataFrame
+        return df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD:
         return df
-    return df.repartition(cores) if 0 < held < cores else df
+    held = plan.toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < held < 4 * cores else df
 
 
 def partitions(spark: SparkSession) -> int:
