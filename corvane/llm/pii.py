@@ -12,7 +12,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import product, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -41,6 +41,8 @@ _SAYING = (
 ).split()
 #: Cues that places, products and reasons follow as well.
 _WEAK_CUES = frozenset("from to with by an à a for für mit avec con von par por".split())
+#: Letters up to which a cue of people is looked for as a word by itself.
+SHORT = 3
 #: Before such a cue they make it a sure one: what people do, and what is done by people.
 _DONE = frozenset(
     "ask asked approved call changed confirmed contributed fixed found merged noted reported requested reviewed sent signed spotted suggested tested thanks thank written speak spoke talk talked "
@@ -127,10 +129,14 @@ _INVERTED = re.compile(rf"(?<![\w@/.-])({_FAMILY}),{_N}({_INITIAL}|{_W})(?:{_N}{
 @cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT), ("street", [f" {w}" for w in _STREETS]), ("person", _PERSON_CUES), ("says", [f" {w}" for w in _SAYING])):
+    for kind, cues in (("id", _ID_CUES), ("phone", _PHONE_CUES), ("at", _AT), ("street", [f" {w}" for w in _STREETS]), ("person", [w for w in _PERSON_CUES if len(w) > SHORT]), ("says", [f" {w}" for w in _SAYING])):
         for cue in cues:
             if cue.strip():
                 a.add_word(cue, (*a.get(cue, ()), (kind, len(cue))))
+    # short ones with what stands around a word, since they lie in many others
+    for cue in (w for w in _PERSON_CUES if len(w) <= SHORT):
+        for before, after in product(" \n(>*:,", " .:,\n(="):
+            a.add_word(before + cue + after, (("short", len(cue)),))
     a.make_automaton()
     return a
 
@@ -377,10 +383,14 @@ def mentions(text: str, known: Known) -> list[tuple[int, int, str]]:
     found = Found(text)
     at, streets, last, people = [], [], {}, []
     low = _fold(text)
-    for end, cues in _automaton().iter(low):
+    for end, cues in _automaton().iter("\n" + low):
+        end -= 1
         for kind, size in cues:
             begin = end - size + 1
-            if kind == "at":
+            if kind == "short":
+                if _CAPITAL.match(text, end):
+                    people.append((begin - 1, end))
+            elif kind == "at":
                 at.append(begin)
             elif low[end + 1 : end + 2].isalnum() and kind in ("street", "person", "says"):
                 continue
