@@ -17,6 +17,8 @@ _STRINGS = "|".join([
 ])
 _NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
 
+_ZEROS, _BYTES = re.compile(r"0[\d_]*[1-9][\d_]*"), re.compile("[rR]?[bB][rR]?[\"']")
+
 WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 SOFT = "match case type _ print"
 OPERATORS = "** // >> << <= >= == != -> += -= *= /= //= %= @= &= |= ^= >>= <<= **= := ... + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; ="
@@ -114,7 +116,7 @@ class Line(Parser):
             if last or not self.take(":"):
                 return
 
-    def arguments(self) -> None:
+    def arguments(self, generator: bool = True) -> None:
         keyword = doubled = False
         first = True
         while not self.at(")"):
@@ -135,6 +137,8 @@ class Line(Parser):
                     self.fail("positional argument after a keyword one")
                 self.named()
                 if self.at("for", "async"):
+                    if not generator:
+                        self.fail("a class has no generator among its bases")
                     self.comprehension()
                     if not first or not self.at(")"):
                         if not self.at(")") and not (first and self.at(",") and self.peek() == ")"):
@@ -298,9 +302,10 @@ class Line(Parser):
         bare = False
         while not self.at(close):
             if self.take("**"):
+                if bare:
+                    self.fail("a named parameter must follow *")
                 self.parameter(lambda_, False)
                 self.take(",")
-                bare = False
                 if not self.at(close):
                     self.fail("nothing may follow a ** parameter")
                 break
@@ -424,7 +429,7 @@ class Line(Parser):
                 if self.take("->"):
                     self.exprs()
             elif self.take("("):
-                self.arguments()
+                self.arguments(generator=False)
         return word
 
     def decorated(self):
@@ -626,7 +631,8 @@ class _Decorator(Exception):
 _KEPT: dict[str, tuple] = {}
 _OPEN = kinds("( [ {")
 _NEXT = {"elif": ("if", "elif"), "else": ("if", "elif", "while", "for", "try", "except"), "except": ("try", "except"), "finally": ("try", "except", "else-try")}
-_FIELDS = re.compile(r"\{\{|\}\}|\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
+# texts in a field may hold braces; a quote in its format is none
+_FIELDS = re.compile(r"\{\{|\}\}|\{((?:[^{}\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}]*\})*)\}|\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
 _SPEC = re.compile(r"=?\s*(?:![rsa]\s*)?(?::(?!=).*)?$", re.S)
 
 
@@ -654,7 +660,7 @@ def _fields(token: str) -> bool:
     if not any(q in body.strip("\"'") for q in "\"'") and set("{}") & set(_FIELDS.sub("", body)):
         return False  # a brace that belongs to no field
     for m in _FIELDS.finditer(token):
-        inner = m[1]
+        inner = m[1] if m[1] is not None else m[2]
         if inner is None:
             continue
         tokens, s = LEXER.lex(inner)
@@ -693,6 +699,13 @@ def parse(text: str):
     for i, t in enumerate(tokens):
         if s[i] == STRING and "{" in t and t[0] in "fFrRtT" and ("f" in (h := t[:2].lower()) or "t" in h) and not _fields(t):
             faults.append((i, "f-string: expression expected"))
+        elif t[0] == "0" and len(t) > 1 and s[i] == NUMBER and _ZEROS.fullmatch(t):
+            faults.append((i, "leading zeros in a number"))
+        elif s[i] == STRING and t[0] in "bBrR" and _BYTES.match(t):
+            if not t.isascii():
+                faults.append((i, "bytes can only hold ASCII characters"))
+            if s[i + 1 : i + 2] == STRING and not _BYTES.match(tokens[i + 1]) or i and s[i - 1] == STRING and not _BYTES.match(tokens[i - 1]):
+                faults.append((i, "bytes and text side by side"))
     # logical lines: (indent, first token, kinds)
     lines, start, indent, depth, part, at = [], 0, "", 0, [], 0
     if marks and marks[0] == 0:

@@ -111,6 +111,19 @@ def test_python_agrees_with_its_own_parser():
         assert syntax.faults("python", text) == [], path
 
 
+SNIPPETS = ["class A(x for x in y): pass", "0777", "b'é'", "def f(*, **k): pass", "b'a' 'b'", "x = 00", "x = 0_0", "0777.5", "08e1", "07j", "class A(B, metaclass=C): pass", "f(x for x in y)", "def f(*, a, **k): pass", "b'a' b'b'", "'a' 'é'", "lambda *, **k: 1", "rb'é'", "Rb'x' b'y'", "'b' 'é'", "f\"{a.split('}')[-1]}\"", "f'{x:{y}}'", "f'{x!r:>10}'", "f'{x y}'"]
+
+
+@pytest.mark.parametrize("text", SNIPPETS)
+def test_snippets_as_the_compiler_has_them(text):
+    try:
+        compile(text, "x", "exec", ast.PyCF_ONLY_AST)
+        good = True
+    except SyntaxError:
+        good = False
+    assert (syntax.faults("python", text) == []) == good
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sampled_from(list(GOOD)), st.text(max_size=60))
 def test_any_text_gets_a_verdict(language, text):
