@@ -136,9 +136,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def _routes(partial: DataFrame, most: int) -> tuple[list[str], int, list[list[str]]]:
-    """Terms, and per depth the prefixes, heavier than a route may be. At most ROUTES times the shuffle
-    partitions of each depth can be, whatever the input."""
+def _common(a: str, b: str) -> int:
+    """Characters that two terms, and so all terms between them, begin with."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _routes(partial: DataFrame, most: int) -> tuple[list[str], int, list[tuple[int, list[str]]]]:
+    """Terms, and prefixes by their depth, heavier than a route may be. At most ROUTES times the shuffle
+    partitions of each depth can be, whatever the input. What all terms below the heavy prefixes of a depth have in common is passed over
+    in one step, so that long common beginnings, as of addresses, cost no job per character."""
     weight = cut(partial.groupBy("term").agg(F.sum("n").alias("n")))
     total = weight.agg(F.sum("n")).first()[0] or 0
     limit = max(1, total // most)
@@ -146,19 +152,21 @@ def _routes(partial: DataFrame, most: int) -> tuple[list[str], int, list[list[st
     light, bursts, depth = weight.filter(~F.col("term").isin(*heavy)) if heavy else weight, [], 1
     while True:
         prefix = F.substring("term", 1, depth)
-        full = [r[0] for r in light.groupBy(prefix.alias("p")).agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("p").collect()]
-        if not full:
-            return list(heavy), max([1, *(-(-n // limit) for n in heavy.values())]), bursts
-        bursts.append(full)
+        rows = light.groupBy(prefix.alias("p")).agg(F.sum("n").alias("n"), F.min("term").alias("low"), F.max("term").alias("high")).filter(F.col("n") > limit).collect()
+        if not rows:
+            return list(heavy), max([1, *(-(-n // limit) for n in heavy.values())]), [*bursts, (depth, [])]
+        full = [r["p"] for r in rows]
+        bursts.append((depth, full))
         light = light.filter(prefix.isin(*full) & (F.length("term") > depth))
-        depth += 1
+        depth = max(depth, min(_common(r["low"], r["high"]) for r in rows)) + 1
 
 
-def _route(heavy: list[str], salts: int, bursts: list[list[str]]) -> Column:
-    route = F.substring("term", 1, len(bursts) + 1)
-    for depth in range(len(bursts), 0, -1):
+def _route(heavy: list[str], salts: int, bursts: list[tuple[int, list[str]]]) -> Column:
+    """The prefix at the first depth at which it isn't heavy, as none is at the last one."""
+    route = F.substring("term", 1, bursts[-1][0])
+    for depth, full in reversed(bursts[:-1]):
         p = F.substring("term", 1, depth)
-        route = F.when(~p.isin(*bursts[depth - 1]), p).otherwise(route)
+        route = F.when(~p.isin(*full), p).otherwise(route)
     if heavy:
         salt = F.pmod(F.xxhash64("record"), F.lit(salts)).cast("string")
         route = F.when(F.col("term").isin(*heavy), F.concat_ws("\u0000", "term", salt)).otherwise(route)

@@ -63,6 +63,14 @@ def test_records_are_numbers(spark):
         termfreq.term_frequencies(spark.createDataFrame([("a", "b")], "t string, r string"), "t", "r")
 
 
+def test_common_beginnings_are_passed_over(spark):
+    partial = spark.createDataFrame([(f"https://a.example/long/way/{i:03}/{k}", 1, 10) for i in range(40) for k in range(3)], "term string, record long, n int")
+    heavy, salts, bursts = termfreq._routes(partial, 4)
+    assert not heavy and salts == 1 and [d for d, _ in bursts] == [1, 29]
+    routed = partial.withColumn("route", termfreq._route(heavy, salts, bursts)).groupBy("route").count().collect()
+    assert sorted(r["count"] for r in routed) == [30] * 4 and [d for d, _ in termfreq._routes(partial, 10)[2]] == [1, 29, 30]
+
+
 def test_long_terms_route(spark):
     df = spark.createDataFrame([("prefix" * 30 + str(i % 70), i % 9, i) for i in range(3000)], "t string, r long, p int")
     assert termfreq.term_frequencies(df, "t", "r", "p").agg(F.sum("occurrences"), F.count("*")).first()[:] == (3000, 70)
