@@ -54,8 +54,7 @@ def p4_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """With a share that edits leave far behind, so that the tables hold cases."""
-    return provenance.containment(_table(spark, sf, "files"), 0.1).select("file_id", F.round("containment", 9).alias("containment"))
+    return provenance.containment(_table(spark, sf, "files")).select("file_id", F.round("containment", 9).alias("containment"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,11 +150,14 @@ SELECT doc_id, item_id, CAST(max(run) AS INT) AS run, CAST(max(last - first + 1)
 
 _CODE = "(SELECT DISTINCT ON (file_id) file_id, repo, path, content, regexp_matches(path, '{}', 'i') AS inside FROM files WHERE regexp_matches(content, '\\S') AND regexp_matches(lower(path), '\\.(py|js|mjs|ts|go|rs|java)$'))".format(provenance._FOLDERS)
 _LINES = "list_distinct(list_filter(list_transform(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) >= 12))"
-_CONTAINED = f"""
+def contained_sql(share: float) -> str:
+    """Of each file outside of third-party folders the largest share of its lines in one file inside, by a join of all lines."""
+    return f"""
 WITH f AS {_CODE}, c AS (SELECT content, inside, min(repo) AS a, max(repo) AS z, {_LINES} AS ls FROM f GROUP BY content, inside),
 l AS (SELECT content, inside, a, z, len(ls) AS n, unnest(ls) AS line FROM c),
 s AS (SELECT o.content, t.content AS source, any_value(o.n) AS n, count(*) AS shared FROM l o JOIN l t USING (line) WHERE NOT o.inside AND t.inside AND (o.a <> o.z OR t.a <> t.z OR o.a <> t.a) GROUP BY 1, 2)
-SELECT file_id, round(max(shared / n), 9) AS containment FROM f JOIN s USING (content) WHERE NOT inside AND shared / n >= 0.1 GROUP BY file_id"""
+SELECT file_id, round(max(shared / n), 9) AS containment FROM f JOIN s USING (content) WHERE NOT inside AND shared / n >= {share} GROUP BY file_id"""
+
 
 _GO = r"(?:(?:^[ \t]*//[^\n]*\n)+|^[ \t]*/\*(?:[^*]|\*+[^*/])*\*+/[ \t]*\n)[ \t]*func[ \t]*(?:\([^()]*\)[ \t]*)?\w+[ \t]*[\[(]"
 # comment and head of each function that has one right above, the comment without its marks and lines for single parameters
@@ -173,7 +175,7 @@ SQL = {
     "p3_go": _PAIRED,
     "p5_rebuilt": "SELECT DISTINCT id, md5(content) AS md5, true AS kept FROM chunks WHERE length(content) > 800",
     "p8_rest": "SELECT doc_id, md5(text) AS md5 FROM documents",
-    "p4_containment": _CONTAINED,
+    "p4_containment": contained_sql(provenance.CONTAINED),
     "p1_term_frequencies": _MARKED,
     "p1_found": f"SELECT trigram, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
     "p6_filled": "SELECT count(*) AS documents, 0 AS split, 0 AS over, true AS filled FROM documents WHERE text IS NOT NULL",

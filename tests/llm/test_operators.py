@@ -186,6 +186,19 @@ def test_containment(spark, monkeypatch, share, hot):
     assert {r.path: r.containment for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_containment_in_the_tables(spark):
+    """A small share, which many files reach, against SQL."""
+    import duckdb
+
+    files = SF.replace("sf0.001", "sf0.01") + "/files.parquet"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW files AS SELECT * FROM '{files}'")
+    want = {k: v for k, v in duck.execute(queries.contained_sql(0.1)).fetchall()}
+    got = {r.file_id: round(r.containment, 9) for r in provenance.containment(spark.read.parquet(files), 0.1).collect()}
+    assert got == want and len(got) > 30
+
+
 @pytest.mark.parametrize("hot", [500_000, 1])
 def test_edited_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(hot_keys, "HOT", hot)
