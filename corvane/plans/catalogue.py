@@ -424,39 +424,44 @@ def engine_edges(s, d):
     return code(s, d).edges().select("src", "dst", "ord")
 
 
-def _start_of(e):
-    """The file with most imports, and the one that most import."""
-    edges = e.edges()
-    return [edges.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), c).first()[0] for c in ("src", "dst")]
+def _start_of(e, column):
+    """The file with most imports (src), or the one that most import (dst); none where no import leads to a file."""
+    most = e.edges().groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column).first()
+    return most and most[0]
 
 
 def discover(s, d):
     """What a file reaches in two hops, and which of these import each other."""
     e = code(s, d)
-    return e.discover(_start_of(e)[0]).select("path", "depth", F.concat_ws(",", "imports").alias("imports"), F.concat_ws(",", "imported_by").alias("imported_by"))
+    start = _start_of(e, "src")
+    if start is None:
+        return s.createDataFrame([], "path string, depth int, imports string, imported_by string")
+    return e.discover(start).select("path", "depth", F.concat_ws(",", "imports").alias("imports"), F.concat_ws(",", "imported_by").alias("imported_by"))
 
 
-def engine_impact(s, d):
+def engine_impact(s, d, fuzzy=False):
     e = code(s, d)
-    return e.impact(_start_of(e)[1], 3, fuzzy=False)
+    start = _start_of(e, "dst")
+    return s.createDataFrame([], "path string, depth int, kind string") if start is None else e.impact(start, 3, fuzzy=fuzzy)
 
 
 def engine_impact_fuzzy(s, d):
-    e = code(s, d)
-    return e.impact(_start_of(e)[1], 3)
+    return engine_impact(s, d, True)
 
 
 def engine_explain(s, d):
     e = code(s, d)
-    x = e.explain(_start_of(e)[1])
+    start = _start_of(e, "dst")
+    x = e.explain(start) if start else {"imports": [], "importers": []}
     return s.createDataFrame([(k, p) for k in ("imports", "importers") for p in x[k]], "kind string, path string")
 
 
 def engine_probe(s, d):
     """What a file uses and doesn't define."""
     e = code(s, d)
-    text = e.store.read("files", F.col("path") == _start_of(e)[0]).first()["content"]
-    return s.createDataFrame([(m["symbol"],) for m in e.probe(text, 1000)["missing"]], "symbol string")
+    start = _start_of(e, "src")
+    found = e.probe(e.store.read("files", F.col("path") == start).first()["content"], 1000)["missing"] if start else []
+    return s.createDataFrame([(m["symbol"],) for m in found], "symbol string")
 
 
 # what must hold of results that SQL can't state: each query counts what breaks a rule
