@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from ..errors import CorvaneError, one_of, query_text
 from ..functions import text as X
 from ..operators import bm25, chunking, delta, graph, grep, outline, pack, probe
-from ..session import cut, scratch, ship
+from ..session import cut, scratch, ship, spread
 from ..sources import files as sources
 from ..sources.store import Store
 from . import render
@@ -62,24 +63,30 @@ class Engine:
         whole = plan is None
         seen = self.listed if whole else self.listed.join(delta.touched(plan, "add", "modify"), "path", "left_semi")
         changed = cut(self.contents(seen))
-        new = cut(chunking.indexed(chunking.chunk_definitions(changed.select("path", "content"))))
-        posting = cut(bm25.postings(new.withColumnRenamed("id", "chunk_id"), "chunk_id", X.code_tokens(bm25.documents(new))))
-        imports = cut(graph.syntax_imports(changed).distinct())
-        # chunks without any token have no postings and no length
-        counted = posting.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-        paths, links, grams, gone = self.listed.select("path"), imports, grep.postings(changed), {}
+        dealt = spread(changed)
+        chunked = chunking.indexed(chunking.chunk_definitions(dealt.select("path", "content")))
+        gone = {} if whole else {"removed": delta.touched(plan, "modify", "remove")}
+        # these wait for nothing but each other's jobs
+        with ThreadPoolExecutor(4) as pool:
+            chunked = pool.submit(cut, chunked.withColumn("tokens", X.code_tokens(bm25.documents(chunked))))
+            imports = pool.submit(cut, graph.syntax_imports(dealt).distinct())
+            aliases = pool.submit(self._aliases)
+            if not whole:
+                old = pool.submit(lambda: cut(self.store.read("chunks").join(gone["removed"].withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("chunk_id"), "dl")))
+        chunked, imports, aliases = chunked.result(), imports.result(), aliases.result()
+        posting = chunked.select(F.explode("tokens").alias("term"), F.col("id").alias("chunk_id"), F.size("tokens").alias("dl"))
+        new = chunked.withColumn("dl", F.size("tokens")).drop("tokens")
+        size_of = lambda df: df.agg(F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        counted, links = size_of(new), imports
         if not whole:
-            removed = cut(delta.touched(plan, "modify", "remove"))
-            old = self.store.read("chunks").select(F.col("file_path").alias("path"), F.col("id").alias("chunk_id")).join(removed, "path", "left_semi").select("chunk_id")
-            old = cut(old)
-            lost = self.store.read("postings").join(old, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+            lost = size_of(old.result())
             every = self.store.read("stats").select("n", "total").unionByName(counted).unionByName(lost.select((-F.col("n")).alias("n"), (-F.col("total")).alias("total")))
-            counted = cut(every.agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-            links = self.store.read("imports").join(delta.touched(plan, "modify", "remove").withColumnRenamed("path", "src"), "src", "left_anti").unionByName(imports)
-            gone = {"removed": removed, "removed_chunks": old}
-        edges = graph.resolve(paths, self.root_of, aliases=self._aliases(), imports=links)
+            counted = every.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            links = self.store.read("imports").join(gone["removed"].withColumnRenamed("path", "src"), "src", "left_anti").unionByName(imports)
+            gone["removed_chunks"] = old.result().select("chunk_id")
+        edges = graph.resolve(self.listed.select("path"), self.root_of, aliases=aliases, imports=links)
         size = changed.agg(F.sum(F.length("content"))).first()[0] or 0 if whole else 0
-        self.store.write(whole=whole, size=size, stats=counted, seen=seen.select("path", "mtime"), files=changed, chunks=new, postings=posting, trigrams=grams, imports=imports, edges=edges, **gone)
+        self.store.write(whole=whole, size=size, stats=counted, seen=seen.select("path", "mtime"), files=changed, chunks=new, postings=posting, trigrams=grep.postings(dealt), imports=imports, edges=edges, **gone)
         return new.count() if of is None else new.join(delta.touched(of, "add", "modify").withColumnRenamed("path", "file_path"), "file_path", "left_semi").count()
 
     def _aliases(self) -> DataFrame | None:
@@ -99,7 +106,7 @@ class Engine:
     def chunks(self) -> DataFrame:
         if not self.store.current():
             self.index()
-        return self.store.read("chunks")
+        return self.store.read("chunks").drop("dl")
 
     def info(self) -> dict:
         n = self.chunks().agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files")).first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 #: Of the stored index; another number means that it is rebuilt.
-VERSION = 2
+VERSION = 3
 
 
 def _s(text: str) -> T.StructType:
