@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ LANGUAGES = {
 }
 
 ARRAY = "array<string>"
+#: Tokens that the frame of a file takes.
+FRAME = 50
 
 
 def raw_tokens(text: Column) -> Column:
@@ -111,7 +115,18 @@ def content_hash(content: Column) -> Column:
 
 def token_estimate(content: Column) -> Column:
     """Four characters to a token, and what a file's frame takes."""
-    return (F.ceil(F.length(content) / 4) + 50).cast("bigint")
+    return (F.ceil(F.length(content) / 4) + FRAME).cast("bigint")
+
+
+def token_count(content: Column, count: Callable[[str], int] | None = None) -> Column:
+    """Tokens by ``count``, a tokenizer that works on the workers, and what a file's frame takes; without one the estimate."""
+    if count is None:
+        return token_estimate(content)
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else count(t) + FRAME)
+
+    return F.pandas_udf(counted, "bigint")(content)
 
 
 def escape_xml(text: Column, quotes: bool = False) -> Column:

@@ -14,7 +14,7 @@ from typing import NamedTuple
 _ID = r"[^\W\d][\w$]*"
 _TEXTS = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?|\"(?:[^\"\\\n]|\\[\s\S])*\"?"
 #: Per family: what is blanked, how definitions begin (kind by keyword), imports and exports.
-FAMILIES = {"js": "ecma", "jsx": "ecma", "mjs": "ecma", "cjs": "ecma", "ts": "ecma", "tsx": "ecma", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "cs": "java", "php": "php"}
+FAMILIES = {"js": "ecma", "jsx": "ecma", "mjs": "ecma", "cjs": "ecma", "ts": "ecma", "tsx": "ecma", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "cs": "java", "php": "php", "sh": "bash", "bash": "bash", "zsh": "bash", "rb": "ruby"}
 _BLANK = {
     "ecma": _TEXTS + r"|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?|(?<=[=(,:;!&|?{}\[])[ \t]*/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/",
     "go": _TEXTS + r"|`[^`]*`?|'(?:[^'\\\n]|\\.)+'",
@@ -22,6 +22,9 @@ _BLANK = {
     "java": r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\")?|" + _TEXTS + r"|'(?:[^'\\\n]|\\.)+'",
     "c": _TEXTS + r"|'(?:[^'\\\n]|\\.)+'",
     "php": _TEXTS + r"|#[^\n]*|'(?:[^'\\]|\\[\s\S])*'?",
+    # a label of a case ends in a bracket that nothing opens
+    "bash": r"(?<!\S)#[^\n]*|\"(?:[^\"\\]|\\[\s\S])*\"?|'[^']*'?|\$\{[^{}\n]*\}|(?<=\n)[ \t]*[^\s(){}]+\)(?![ \t]*\{)",
+    "ruby": r"#[^\n]*|(?<=\n)=begin\b[\s\S]*?(?:\n=end\b[^\n]*|$)|\"(?:[^\"\\]|\\[\s\S])*\"?|'(?:[^'\\]|\\[\s\S])*'?",
 }
 _HEAD = {
     "ecma": rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?P<c>class|interface|enum|namespace)\s+(?P<cn>{_ID})|(?:async\s+)?function\s*\*?\s*(?P<fn>{_ID})?|type\s+(?P<tn>{_ID})\b|(?:const|let|var)\s+(?P<vn>{_ID})[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^()]*\)[^=\n]*=>|{_ID}\s*=>))",
@@ -29,9 +32,11 @@ _HEAD = {
     "rust": rf"(?:pub\s*(?:\([^()]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*(?:fn\s+(?P<fn>{_ID})|(?P<c>struct|enum|trait|union|mod)\s+(?P<cn>{_ID})|(?P<i>impl)\b[^{{;]*?(?P<in>{_ID})(?:<[^{{;]*>)?\s*(?:where[^{{;]*)?(?=\{{)|macro_rules!\s*(?P<mn>{_ID}))",
     "java": rf"(?:@{_ID}(?:\([^()\n]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|sealed|strictfp|internal|partial)\s+)*(?P<c>class|interface|enum|record|struct|namespace|@interface)\s+(?P<cn>{_ID})",
     "php": rf"(?:(?:abstract|final|readonly)\s+)*(?:(?P<c>class|interface|trait|enum)\s+(?P<cn>{_ID})|function\s+&?(?P<fn>{_ID}))",
+    "bash": r"(?:function\s+(?P<fn>[\w:.-]+)\s*(?:\(\s*\))?|(?P<vn>[\w:.-]+)\s*\(\s*\))\s*(?=\{)",
+    "ruby": r"(?:(?P<c>class|module)\s+(?P<cn>[\w:]+)|def\s+(?P<fn>[\w.]+[?!=]?|[^\s\w(]+))",
     "c": rf"(?:template\s*<[^;{{}}]*>\s*)?(?:(?P<c>struct|class|enum|namespace)\s+(?P<cn>{_ID})[^;{{}}()=]*(?=\{{)|(?:[\w:*&<>,]+[\s*&]+)+(?P<fn>[\w:~]+)\s*\([^;{{}}]*\)[^;{{}}=]*(?=\{{))",
 }
-_IMPORT = {"ecma": r"^import\s[^;\n]*", "go": r"^import\s+(?:\"[^\"]*\"|\([^)]*\))", "rust": r"^(?:pub\s+)?(?:use|mod)\s[^;{]*;", "java": r"^(?:import|using)\s[^;\n]*;", "php": r"^(?:use|require|include)(?:_once)?\b[^;\n]*;", "c": r"^#include\s[^\n]*"}
+_IMPORT = {"ecma": r"^import\s[^;\n]*", "go": r"^import\s+(?:\"[^\"]*\"|\([^)]*\))", "rust": r"^(?:pub\s+)?(?:use|mod)\s[^;{]*;", "java": r"^(?:import|using)\s[^;\n]*;", "php": r"^(?:use|require|include)(?:_once)?\b[^;\n]*;", "c": r"^#include\s[^\n]*", "bash": r"^(?:source|\.)\s[^\n]*", "ruby": r"^require(?:_relative)?\b[^\n]*"}
 _EXPORT = {"ecma": r"^export\s+(?:\*|\{)[^;\n]*"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 
@@ -69,6 +74,8 @@ def closings(code: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
 def definitions(text: str, family: str, nested: bool = False) -> list[Definition]:
     """Outermost definitions in order, or with ``nested`` all."""
     code = blanked(text, family)
+    if family == "ruby":
+        return _ended(code, nested)
     ends, outer = closings(code)
     starts = [a for a, _ in outer]
     line_ends = [m.start() for m in re.finditer("\n", text)]
@@ -101,6 +108,27 @@ def definitions(text: str, family: str, nested: bool = False) -> list[Definition
     return found
 
 
+def _ended(code: str, nested: bool) -> list[Definition]:
+    """Definitions that a line ``end``, indented as they are, closes; without one, or with a body after ``=``, they are a line long."""
+    begin = [0, *(m.end() for m in re.finditer("\n", code))]
+    ends: dict[str, list[int]] = {}
+    for m in re.finditer(r"^([ \t]*)end\b", code, re.M):
+        ends.setdefault(m[1], []).append(bisect_right(begin, m.start()))
+    found: list[Definition] = []
+    for m in _compiled("ruby")[1].finditer(code):
+        first = bisect_right(begin, m.start() + len(m[0]) - len(m[0].lstrip()))
+        if not nested and found and first <= found[-1].end:
+            continue
+        closing = ends.get(re.match(r"[ \t]*", m[0])[0], [])
+        k = bisect_right(closing, first)
+        stop = code.find("\n", m.end())
+        short = m["fn"] and re.search(r"(?<![=!<>])=(?![=~>])", re.sub(r"\([^()]*\)", "", code[m.end() : stop if stop >= 0 else len(code)]))
+        last = first if short or k == len(closing) else closing[k]
+        body = (begin[first] - 1, begin[last - 1]) if m["fn"] and last > first + 1 else None
+        found.append(Definition(first, last, "class" if m["c"] else "function", m["cn"] or m["fn"], body))
+    return found
+
+
 def signatures(text: str, family: str) -> list[tuple[str, int]]:
     """The heads of definitions, and of methods one level deeper, in order."""
     begin = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -109,7 +137,7 @@ def signatures(text: str, family: str) -> list[tuple[str, int]]:
     found = []
     for depth, d in sorted([*((0, d) for d in outer), *((1, m) for m in inner)], key=lambda x: (x[1].start, x[0])):
         at = begin[d.start - 1]
-        head = text[at : d.body[0]] if d.body else re.split("[{;]", text[at : begin[d.end] if d.end < len(begin) else len(text)])[0]
+        head = text[at : d.body[0]] if d.body else re.split("[{;]" if family != "ruby" else "\n", text[at : begin[d.end] if d.end < len(begin) else len(text)])[0]
         found.append((" ".join(head.split()), depth))
     return found
 
@@ -160,6 +188,9 @@ def skeleton(text: str, family: str, keep: frozenset[str] = frozenset(), lines:
         a, b = d.body
         begin = text.rfind("\n", 0, a) + 1
         indent = re.match(r"[ \t]*", text[begin:a])[0]
-        out.append("{\n" + indent + "    // ...\n" + indent + text[b:last])
+        if family == "ruby":
+            out.append("\n" + indent + "  # ...\n" + text[b:last])
+        else:
+            out.append("{\n" + indent + f"    {'#' if family == 'bash' else '//'} ...\n" + indent + text[b:last])
         last = a
     return text[:last] + "".join(reversed(out))

@@ -109,7 +109,7 @@ def _definitions(path: str, text: str) -> list[tuple] | None:
     rows = [piece for row in rows for piece in _split(row)]
     shown = [*imports[:IMPORTS], *exports[:EXPORTS], *signatures[:SIGNATURES]]
     if shown:
-        mark = "#" if path.endswith(("py", "pyw", "pyi")) else "//"
+        mark = "#" if path.endswith((".py", ".pyw", ".pyi", ".rb", ".sh", ".bash", ".zsh")) else "//"
         rows.append((path, "\n".join(f"{mark} {x}" for x in shown)[:SUMMARY], 1, 1, "anchor", "", [f"File: {path}"], True))
     return sorted(rows, key=lambda r: (not r[7], r[2]))
 

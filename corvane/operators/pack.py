@@ -6,6 +6,8 @@ construction; the same functions take any DataFrame with a key to rank within.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,9 +89,9 @@ def summary(packed: DataFrame, available: int, limit: int, offset: int, reason:
     })
 
 
-def audit(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ()) -> DataFrame:
+def audit(files: DataFrame, content: str = "content", keys: tuple[str, ...] = (), count: Callable[[str], int] | None = None) -> DataFrame:
     """``keys, path, tokens, lines, total, advice``: files by what they cost, and what the whole, of each of ``keys``, calls for."""
-    rows = files.select(*keys, "path", X.token_estimate(F.col(content)).alias("tokens"), F.size(F.split(F.regexp_replace(content, r"\r?\n\z", ""), "\n", -1)).alias("lines"))
+    rows = files.select(*keys, "path", X.token_count(F.col(content), count).alias("tokens"), F.size(F.split(F.regexp_replace(content, r"\r?\n\z", ""), "\n", -1)).alias("lines"))
     by = keys or ("_all",)
     rows = rows if keys else rows.withColumn("_all", F.lit(0))
     whole = rows.join(rows.groupBy(*by).agg(F.sum("tokens").alias("total")), list(by))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,10 @@ from . import render
 
 class Engine:
     """``files`` has ``path, mtime, content``; paths are relative to the root. ``store`` keeps the index. Where the files are of several
-    projects, ``root_of`` gives the folder of each path's project, in which its imports are looked for."""
+    projects, ``root_of`` gives the folder of each path's project, in which its imports are looked for. ``count`` is a tokenizer for budgets in place of the estimate."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None, root_of: Column | None = None):
-        self.root_of = root_of
+    def __init__(self, spark: SparkSession, files: DataFrame, store: str, root: str = "repository", folder: str | None = None, root_of: Column | None = None, count: Callable[[str], int] | None = None):
+        self.root_of, self.count = root_of, count
         self.spark, self.files, self.store, self.root, self.folder = ship(spark), files.select("path", "mtime", "content"), Store(spark, store), root, folder
         # what there is, and the contents of some of it
         self.listed = self.files.filter(F.col("content").isNotNull()).select("path", "mtime")
@@ -225,7 +226,7 @@ class Engine:
             first = self._start(focus).select(F.col("node").alias("path"), F.lit(0).alias("depth"))
             deps = graph.reach(self.edges(), self._start(focus), import_depth).filter("depth > 0").select(F.col("node").alias("path"), "depth")
             ranked = first.unionByName(deps).join(files, "path").withColumn("rank", F.struct("depth", "path"))
-            body = X.token_estimate(F.col("content"))
+            body = X.token_count(F.col("content"), self.count)
             within = cut(pack.file_budget(ranked, body, max_tokens).withColumn("n", F.row_number().over(w)))
             available = deps.count() + 1
             kept = within.filter(F.col("n") <= max_files).orderBy("n").collect()
@@ -233,7 +234,7 @@ class Engine:
             for r in kept:
                 shown = outline.skeleton_of(r["path"], r["content"]) if skeleton and r["path"] != focus else r["content"]
                 taken.append({"path": r["path"], "content": shown, "reason": "focus file" if r["path"] == focus else "import", "score": None})
-            used = sum(-(-len(f["content"]) // 4) + 50 for f in taken)
+            used = sum(map(self._cost, taken))
         chunks: list[dict] = []
         if query and (max_tokens is None or used < max_tokens):
             limit = max_chunks if chunk_mode else max_files
@@ -245,14 +246,14 @@ class Engine:
             rows = pack.covered(pack.page(hits, limit, offset, min_score), whole)
             if chunk_mode:
                 once = rows.withColumn("n", F.row_number().over(Window.partitionBy("path", "start_line", "end_line").orderBy("rank"))).filter("n = 1").drop("n")
-                inside = cut(pack.chunk_budget(once, X.token_estimate(F.col("content")), max_tokens, used))
+                inside = cut(pack.chunk_budget(once, X.token_count(F.col("content"), self.count), max_tokens, used))
                 cutoff = pack.at_most(inside, max_chunks)
                 reason = "max_chunks" if inside.count() > max_chunks else "token_budget" if inside.count() < once.count() else reason
                 merged = pack.merge(cutoff.withColumn("reason", F.format_string("match (score: %.2f)", "score")), files)
                 chunks = [r.asDict() for r in merged.orderBy("path", "start_line").collect()]
             else:
                 best = rows.groupBy("path").agg(F.min("rank").alias("rank"), F.max("score").alias("score"), F.min_by("name", "rank").alias("name"))
-                room = pack.file_budget(best.join(files, "path"), X.token_estimate(F.col("content")), max_tokens, used)
+                room = pack.file_budget(best.join(files, "path"), X.token_count(F.col("content"), self.count), max_tokens, used)
                 inside = cut(room)
                 cutoff = pack.at_most(inside, max(0, max_files - len(taken)))
                 reason = "max_files" if inside.count() > max_files - len(taken) else "token_budget" if inside.count() < best.count() else reason
@@ -261,16 +262,20 @@ class Engine:
                 for r in cutoff.join(places, "path").orderBy("rank").collect():
                     shown = outline.skeleton_of(r["path"], r["content"], frozenset(n for n in r["names"] if n), frozenset(r["lines"])) if skeleton else r["content"]
                     taken.append({"path": r["path"], "content": shown, "reason": f"match: {r['name'] or 'chunk'}", "score": r["score"]})
-        sized = [(f["content"].count("\n") + 1, len(f["content"]), -(-len(f["content"]) // 4) + 50) for f in [*taken, *chunks]]
+        sized = [(f["content"].count("\n") + 1, len(f["content"]), self._cost(f)) for f in [*taken, *chunks]]
         table = self.spark.createDataFrame(sized, "lines int, chars int, tokens int")
         row = pack.summary(table, available, max_chunks if chunk_mode else max_files, offset, reason, max_tokens, "chunks" if chunk_mode else "files").first().asDict()
         return {"files": taken, "chunks": chunks, "summary": row}
 
+    def _cost(self, taken: dict) -> int:
+        text = taken["content"]
+        return (-(-len(text) // 4) if self.count is None else self.count(text)) + X.FRAME
+
     def audit(self, **how) -> list[dict]:
         """What a pack costs, file by file, without its text: the dearest first."""
         packed = self.pack(**{**how, "chunk_mode": False})
         rows = self.spark.createDataFrame([(f["path"], f["content"], f["reason"]) for f in packed["files"]], "path string, content string, reason string")
-        costs = {r["path"]: r.asDict() for r in pack.audit(rows).collect()}
+        costs = {r["path"]: r.asDict() for r in pack.audit(rows, count=self.count).collect()}
         return sorted(({**costs[f["path"]], "reason": f["reason"]} for f in packed["files"]), key=lambda r: (-r["tokens"], r["path"]))
 
     # symbols and maps

@@ -70,6 +70,10 @@ def test_queries(engine):
             call()
 
 
+def spark_of(e):
+    return e.spark
+
+
 def test_packs(engine):
     e, root = engine
     assert e.inside(f"{root}/app/../app/x.py") == "app/x.py" and e.inside("./a/b") == "a/b"
@@ -88,6 +92,10 @@ def test_packs(engine):
     assert e.pack("app/main.py", max_tokens=60)["summary"]["returned"] == 1
     assert e.pack("app/main.py", import_depth=3)["summary"]["returned"] > e.pack("app/main.py", import_depth=1)["summary"]["returned"] - 1
     assert e.audit(query="login")[0]["path"] and e.pack("app/main.py", "login", focus_only=True)["summary"]["total_available"] == e.pack("app/main.py")["summary"]["total_available"]
+    by_words = Engine(spark_of(e), e.files, e.store.root, count=lambda t: len(t.split()))
+    by_words.listed, by_words.contents = e.listed, e.contents
+    counted = by_words.audit(query="login")
+    assert counted[0]["tokens"] == max(50 + len((root / c["path"]).read_text().split()) for c in counted) and by_words.pack(query="login", max_files=1)["summary"]["total_tokens"] < 100
     long = e.pack(query="brand words padding", skeleton=True)
     assert long["files"]
 

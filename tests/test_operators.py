@@ -277,6 +277,25 @@ BRACED = {
     "a.php": ("<?php\nuse A\\B;\n\nfunction f($a) {\n  return '}';\n}\nfinal class C {\n}\n", [("function", "f", 4, 6), ("class", "C", 7, 8)]),
     "a.c": ("#include <x.h>\n\nstatic int f(int a) {\n  return a;\n}\n", [("function", "f", 3, 5)]),
 }
+OTHER = {
+    "a.sh": ("#!/bin/sh\nset -e # { no\n\nbuild() {\n  case \"$1\" in\n    all) make ;;\n    x|y) echo '}' ;;\n  esac\n  echo ${PATH}\n}\n\nfunction clean {\n  rm -r out\n}\nbuild\n", [("function", "build", 4, 10), ("function", "clean", 12, 14)], ["build()", "function clean"]),
+    "a.rb": ("require 'set'\n\nmodule Shop\n  class Cart\n    # def no\n    def add(item, n = 1)\n      if item\n        @items << item\n      end\n      \"def no\"\n    end\n\n    def empty? = @items.empty?\n  end\nend\n\ndef total(cart)\n  cart.sum\nend\n", [("class", "Shop", 3, 15), ("function", "total", 17, 19)], ["module Shop", "def total(cart)"]),
+}
+
+
+@pytest.mark.parametrize("path", OTHER)
+def test_shell_and_ruby(spark, path):
+    text, want, heads = OTHER[path]
+    family = braces.FAMILIES[path.rpartition(".")[2]]
+    assert [(d.kind, d.name, d.start, d.end) for d in braces.definitions(text, family)] == want
+    assert [s for s, _ in outline.signatures_of(path, text)] == heads and braces.imports(text, family)[0] == (["require 'set'"] if family == "ruby" else [])
+    bare = outline.skeleton_of(path, text)
+    assert "# ..." in bare and "make ;;" not in bare and "@items << item" not in bare and bare.count("end\n") == (text.count("end\n") - 1 if family == "ruby" else 0)
+    for broken in (text[: len(text) // 2], text.replace("}", "").replace("end", ""), "", "end\nend", "def", "f() {", "class"):
+        braces.definitions(broken, family)
+        outline.skeleton_of(path, broken)
+    long = text.replace("make", "make " + "words " * 12).replace("cart.sum", "cart.sum # " + "words " * 12)
+    assert {(r.type, r.name) for r in chunking.chunk_definitions(spark.createDataFrame([(path, long)], "path string, content string")).collect()} >= {(want[0][0], want[0][1]), ("anchor", "")}
 
 
 @pytest.mark.parametrize("path", BRACED)
