@@ -58,10 +58,19 @@ def blanked(text: str, family: str) -> str:
     return _compiled(family)[0].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def closings(code: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """For each opening bracket the one that closes it, and the braces at the outer level."""
+_TOP_LEVEL = {"go": re.compile(r"^(?:func|type|var|const|import)\b", re.M)}
+
+
+def closings(code: str, family: str = "") -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """For each opening bracket the one that closes it, and the braces at the outer level. In Go a declaration that begins a
+    line is at the outer level, so what is open there was left open and encloses nothing that follows."""
     ends, outer, open_ = {}, [], []
+    resets = [m.start() for m in _TOP_LEVEL[family].finditer(code)] if family in _TOP_LEVEL else []
+    next_reset = 0
     for m in _BRACKET.finditer(code):
+        while next_reset < len(resets) and resets[next_reset] < m.start():
+            open_.clear()
+            next_reset += 1
         if m[0] in "([{":
             open_.append(m.start())
         elif open_:
@@ -76,7 +85,7 @@ def definitions(text: str, family: str, nested: bool = False) -> list[Definition
     code = blanked(text, family)
     if family == "ruby":
         return _ended(code, nested)
-    ends, outer = closings(code)
+    ends, outer = closings(code, family)
     starts = [a for a, _ in outer]
     line_ends = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_right(line_ends, at - 1) + 1
@@ -99,7 +108,7 @@ def definitions(text: str, family: str, nested: bool = False) -> list[Definition
             brace, semi = code.find("{", ends[paren]), code.find(";", ends[paren])
         if brace >= 0 and brace in ends and (semi < 0 or brace < semi or kind == "function" and family == "go"):
             end, body = ends[brace] + 1, (brace, ends[brace]) if kind == "function" else None
-        elif semi >= 0:
+        elif semi >= 0 and not 0 <= brace < semi:  # else its body was left open
             end, body = semi + 1, None
         else:
             end, body = flat if flat >= 0 else len(text), None

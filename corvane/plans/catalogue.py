@@ -345,6 +345,12 @@ def repo_map(s, d):
     return outline.shown(outline.signatures(scanned(s, d)).dropDuplicates(["path"]), 10)
 
 
+def map_go(s, d):
+    """The signatures of Go files, which SQL can tell by their lines."""
+    go = scanned(s, d).filter(F.col("path").endswith(".go") & F.col("content").isNotNull()).dropDuplicates(["path"])
+    return outline.signatures(go).select("path", F.posexplode("sigs").alias("nth", "sig")).select("path", "nth", F.col("sig.text").alias("signature"))
+
+
 def skeletonize(s, d):
     return outline.skeletonize(files(s, d).filter("content is not null"))
 
@@ -495,7 +501,7 @@ QUERIES = {
         tokenize_raw, tokenize_parts, tokenize_affix, code_tokens, content_dedup, chunk_ids, repo_hashes, text_filter, ext_language, token_estimates, previews, chunk_fallback, ast_chunks, chunk_neighbours,
         doc_stats, term_df, bm25_all_scores, bm25_no_overlap, bm25_topk, bm25_min_score_after_limit, search_chunks, bm25_batch, trigram_stats, document_trigrams, trigram_candidates, grep_literal, grep_overlapping,
         grep_context, grep_indexed, grep_regex, grep_short_pattern_cap, delta_plan, delta_apply, upsert, raw_imports, resolve_imports, resolve_pairs, dep_bfs, impact_reverse, importers, alias_targets, merge_chunks,
-        pack_chunk_budget, pack_file_budget, pack_page, pack_merged, pack_summary, pack_budget_per_file, audit_tiers, coverage, symbols_missing, symbols_defined, probe_best, map_tree, repo_map, skeletonize, debounce_sessions, debounce_all,
+        pack_chunk_budget, pack_file_budget, pack_page, pack_merged, pack_summary, pack_budget_per_file, audit_tiers, coverage, symbols_missing, symbols_defined, probe_best, map_tree, repo_map, map_go, skeletonize, debounce_sessions, debounce_all,
         grep_ignore_case, grep_no_literal, engine_search, engine_find, engine_grep, engine_grep_regex, index_info, engine_pack, engine_pack_chunks, engine_audit, engine_edges, discover, engine_impact, engine_impact_fuzzy, engine_explain, engine_probe,
         ast_chunks_lines, neighbours_of_texts, skeleton_lines,
     )

@@ -276,6 +276,8 @@ SQL = {
         q AS (SELECT symbol, unnest({tokens("symbol || ' definition'")}) AS term FROM ({_ASKED})), p AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t), d AS (SELECT term, ln((any_value(n) + 1) / count(*)) AS idf FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
         s AS (SELECT symbol, id, sum(idf * 2.5 / (1.5 * (1 - 0.75 + 0.75 * dl / average) + 1)) AS score FROM p JOIN d USING (term) JOIN q USING (term), c GROUP BY symbol, id)
         SELECT symbol, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, id) = 1""",
+    "map_go": f"""SELECT path, CAST(k - 1 AS INT) AS nth, trim(regexp_replace(head, '\\s+', ' ', 'g')) AS signature FROM (SELECT path, unnest(h) AS head, generate_subscripts(h, 1) AS k
+        FROM (SELECT path, regexp_extract_all(replace(content, chr(13), ''), '(?m)^(?:func [^{{\\n]*|type \\w+[^{{\\n]*)') AS h FROM {FILES} WHERE path LIKE '%.go'))""",
     "ast_chunks_lines": "SELECT 0 AS wrong, 0 AS twice",
     "skeleton_lines": "SELECT 0 AS extra, 0 AS longer",
     "neighbours_of_texts": f"""WITH c AS (SELECT * FROM {_FOLDED}), l AS (SELECT path AS file_path, string_split(content, chr(10)) AS ls FROM {_TEXTS}),

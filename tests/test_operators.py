@@ -313,6 +313,11 @@ def test_braced_definitions(path):
         outline.skeleton_of(path, broken)
 
 
+def test_what_is_left_open_encloses_nothing():
+    text = "package p\n\nfunc A() {\n\tif x {\n\t\treturn\n\n// doc\nfunc B(a int) int {\n\treturn a\n}\n\ntype T struct {\n\tx int\n}\n"
+    assert [(d.name, d.start, d.end) for d in braces.definitions(text, "go")] == [("A", 3, 3), ("B", 8, 10), ("T", 12, 14)]
+
+
 def test_braced_chunks(spark):
     files = spark.createDataFrame([(p, t.replace("return", "return /* words that make it long enough to stay */")) for p, (t, _) in BRACED.items()], "path string, content string")
     got = {(r.path, r.type, r.name) for r in chunking.chunk_definitions(files).collect()}
